@@ -7,93 +7,92 @@ from pyspark.sql import functions as F
 
 from garderobe import values as V
 from garderobe.functions.hem import class_from_inches
-from garderobe.functions.money import rounded
-from garderobe.functions.text import all_matches, child_audience, color_tags, first_match, matches
-
-
-def _rule_value(text: Column, flat_context: Column, field: str, pattern: str, flat: bool) -> Column:
-    number = F.regexp_extract(text, "(?i)" + pattern, 1)
-    unit = F.lower(F.regexp_extract(text, "(?i)" + pattern, 2))
-    raw = F.expr("try_cast(null as double)")
-    raw = F.when(number != "", F.replace(number, F.lit(","), F.lit(".")).cast("double")).otherwise(raw)
-    raw = F.when(unit.startswith("cm") | unit.startswith("centimeter"), raw / 2.54).otherwise(raw)
-    if field != "length":
-        doubled = F.lit(True) if flat else flat_context & (raw < V.CIRCUMFERENCE_FLOOR[field])
-        raw = F.when(doubled, raw * 2).otherwise(raw)
-    inches = rounded(raw, 1)
-    low, high = V.PLAUSIBLE_INCHES[field]
-    return F.when(inches.between(low, high), inches)
-
-
-def measurements(text: Column) -> Column:
-    """Struct (bust, waist, hip, length, from_waist) in inches; the first plausible rule of a field wins."""
-    flat_context = matches(text, V.FLAT_CONTEXT)
-    fields = {}
-    from_waist = None
-    for field in ("bust", "waist", "hip", "length"):
-        rules = [r for r in V.MEASUREMENT_RULES if r[0] == field]
-        found = [_rule_value(text, flat_context, field, pattern, flat) for _, pattern, flat, _ in rules]
-        fields[field] = F.coalesce(*found)
-        if field == "length":
-            from_waist = found[0].isNotNull()
-    return F.struct(*[c.alias(n) for n, c in fields.items()], from_waist.alias("from_waist"))
+from garderobe.functions.text import all_matches, child_audience, color_tags, first_match, quoted
+
+
+def measurement_values(column: str) -> Column:
+    """Array of inches, one slot per text rule; NULL where the rule is absent or implausible.
+
+    Each rule's number and unit are cut out once into a struct; the arithmetic then runs on the struct's fields.
+    """
+    hits = ", ".join(
+        f"named_struct('number', regexp_extract({column}, {quoted('(?i)' + pattern)}, 1), "
+        f"'unit', lower(regexp_extract({column}, {quoted('(?i)' + pattern)}, 2)), 'flat', {str(flat).lower()}, "
+        f"'floor', {float(V.CIRCUMFERENCE_FLOOR.get(field, 0))}D, 'low', {float(V.PLAUSIBLE_INCHES[field][0])}D, "
+        f"'high', {float(V.PLAUSIBLE_INCHES[field][1])}D)"
+        for field, pattern, flat, _ in V.MEASUREMENT_RULES
+    )
+    flat_context = f"{column} rlike {quoted('(?i)' + V.FLAT_CONTEXT)}"
+    inches = (
+        f"transform(array({hits}), h -> named_struct('h', h, 'v', cast(replace(nullif(h.number, ''), ',', '.') as double) / "
+        "case when startswith(h.unit, 'cm') or startswith(h.unit, 'centimeter') then 2.54D else 1.0D end))"
+    )
+    doubled = (
+        f"transform({inches}, x -> named_struct('h', x.h, 'v', floor(x.v * "
+        f"case when x.h.flat or (x.v < x.h.floor and {flat_context}) then 2.0D else 1.0D end * 10.0D + 0.5D) / 10.0D))"
+    )
+    return F.expr(f"transform({doubled}, x -> case when x.v between x.h.low and x.h.high then x.v end)")
+
+
+def measurements(values: Column) -> Column:
+    """Struct (bust, waist, hip, length, from_waist) from the rule slots; the first plausible rule of a field wins."""
+    def slots(field: str) -> list[Column]:
+        return [values[i] for i, rule in enumerate(V.MEASUREMENT_RULES) if rule[0] == field]
+
+    from_waist = next(i for i, rule in enumerate(V.MEASUREMENT_RULES) if rule[3])
+    return F.struct(*[F.coalesce(*slots(f)).alias(f) for f in ("bust", "waist", "hip", "length")],
+                    values[from_waist].isNotNull().alias("from_waist"))
 
 
 def first_word(text: Column) -> Column:
     return F.element_at(F.split(F.trim(text), r"\s+"), 1)
 
 
-def attribute_vector(length_class: Column, silhouette: Column, colors: Column, pattern: Column, neckline: Column,
-                     occasions: Column, fabric: Column, is_vintage: Column | None = None) -> Column:
-    """Sparse map tag -> weight."""
+def attribute_vector(length_class: str = "length_class", silhouette: str = "silhouette", colors: str = "colors",
+                     pattern: str = "pattern", neckline: str = "neckline", occasions: str = "occasions",
+                     fabric: str = "fabric", is_vintage: str | None = None) -> Column:
+    """Sparse map tag -> weight, from the named columns."""
     w = V.TAG_WEIGHTS
 
-    def one(kind: str, value: Column) -> Column:
-        entry = F.struct(F.concat(F.lit(kind + ":"), value).alias("key"), F.lit(w[kind]).alias("value"))
-        return F.when(value.isNotNull(), F.array(entry)).otherwise(F.array())
+    def one(kind: str, value: str) -> str:
+        entry = f"array(named_struct('key', '{kind}:' || {value}, 'value', {w[kind]}D))"
+        return f"if({value} is not null, {entry}, array())"
 
-    def many(kind: str, values: Column) -> Column:
-        return F.transform(
-            F.array_distinct(values),
-            lambda v: F.struct(F.concat(F.lit(kind + ":"), v).alias("key"), F.lit(w[kind]).alias("value")),
-        )
+    def many(kind: str, values: str) -> str:
+        return (f"transform(array_distinct({values}), v -> named_struct('key', '{kind}:' || v, "
+                f"'value', {w[kind]}D))")
 
     parts = [
-        one("length", length_class),
-        one("silhouette", silhouette),
-        many("color", F.transform(colors, lambda c: c["family"])),
-        one("pattern", F.when(pattern != "solid", pattern)),
-        one("neckline", neckline),
-        many("occasion", occasions),
-        one("fabric", first_word(fabric)),
+        one("length", length_class), one("silhouette", silhouette), many("color", f"transform({colors}, c -> c.family)"),
+        one("pattern", f"nullif({pattern}, 'solid')"), one("neckline", neckline), many("occasion", occasions),
+        one("fabric", f"split(trim({fabric}), ' +')[0]"),
     ]
     if is_vintage is not None:
-        parts.append(one("era", F.when(is_vintage, F.lit("vintage"))))
-    return F.map_from_entries(F.concat(*parts))
+        parts.append(one("era", f"if({is_vintage}, 'vintage', null)"))
+    return F.expr(f"map_from_entries(concat({', '.join(parts)}))")
 
 
 def extract(listings: DataFrame) -> DataFrame:
     """One extraction row per listing from ``title`` and ``description`` (a projection: no shuffle)."""
     text = F.concat(F.col("title"), F.lit("\n"), F.coalesce("description", F.lit("")))
-    phrase = F.regexp_extract("_text", r"(?i)falls\s+to\s+an?\s+([a-z\s-]+?)\s+length", 1)
     staged = listings.withColumn("_text", text).withColumns({
-        "measurements": measurements(F.col("_text")),
-        "colors": color_tags(F.col("_text")),
-        "silhouette": first_match(F.col("_text"), V.SILHOUETTE_WORDS),
-        "neckline": first_match(F.col("_text"), V.NECKLINE_WORDS),
-        "sleeve": first_match(F.col("_text"), V.SLEEVE_WORDS),
-        "fabric": first_match(F.col("_text"), V.FABRIC_WORDS),
-        "_pattern": first_match(F.col("_text"), V.PATTERN_WORDS),
-        "occasions": all_matches(F.col("_text"), V.OCCASION_WORDS),
-        "_worded_class": F.coalesce(
-            F.when(phrase != "", first_match(phrase, V.LENGTH_WORDS)), first_match(F.col("_text"), V.LENGTH_WORDS)
-        ),
-        "audience": F.when(child_audience(F.col("title")), F.lit("child")),
+        "_slots": measurement_values("_text"),
+        "colors": color_tags("_text"),
+        "silhouette": first_match("_text", V.SILHOUETTE_WORDS),
+        "neckline": first_match("_text", V.NECKLINE_WORDS),
+        "sleeve": first_match("_text", V.SLEEVE_WORDS),
+        "fabric": first_match("_text", V.FABRIC_WORDS),
+        "_pattern": first_match("_text", V.PATTERN_WORDS),
+        "occasions": all_matches("_text", V.OCCASION_WORDS),
+        "_phrase": F.regexp_extract("_text", r"(?i)falls\s+to\s+an?\s+([a-z\s-]+?)\s+length", 1),
+        "_worded": first_match("_text", V.LENGTH_WORDS),
+        "audience": F.when(child_audience("title"), F.lit("child")),
     })
+    staged = staged.withColumn("measurements", measurements(F.col("_slots")))
     m = F.col("measurements")
     staged = staged.withColumn("length_inches", F.when(~m["from_waist"], m["length"]))
     staged = staged.withColumns({
-        "length_class": F.coalesce("_worded_class", class_from_inches(F.col("length_inches"))),
+        "length_class": F.coalesce(first_match("_phrase", V.LENGTH_WORDS), "_worded", class_from_inches(F.col("length_inches"))),
         "length_basis": F.when(F.col("length_inches").isNotNull(), F.lit("stated")),
         "pattern": F.coalesce("_pattern", F.when(F.size("colors") > 0, F.lit("solid"))),
     })
@@ -106,11 +105,8 @@ def extract(listings: DataFrame) -> DataFrame:
     conf = V.EXTRACT_CONFIDENCE
     return staged.withColumns({
         "confidence": F.least(F.lit(conf["cap"]), conf["base"] + conf["per_field"] * n),
-        "attribute_vector": attribute_vector(
-            F.col("length_class"), F.col("silhouette"), F.col("colors"), F.col("pattern"), F.col("neckline"),
-            F.col("occasions"), F.col("fabric"),
-        ),
-    }).drop("_text", "_pattern", "_worded_class")
+        "attribute_vector": attribute_vector(),
+    }).drop("_text", "_slots", "_pattern", "_phrase", "_worded")
 
 
 EXTRACTED = [

@@ -17,28 +17,33 @@ from garderobe.values import (
 _EMPTY = "array<int>"
 
 
-def sizes_of_label(label: Column) -> Column:
-    """One label to its US sizes: even sizes stand alone, odd (junior) sizes straddle, alpha sizes come from a table."""
-    text = F.trim(label)
-    digits = F.regexp_extract(text, r"(?i)^(?:us\s*|size\s*)?0*(\d{1,2})$", 1)
-    n = F.expr("cast(null as int)")
-    n = F.when(digits != "", digits.cast("int")).otherwise(n)
-    alpha = F.regexp_replace(F.regexp_replace(F.upper(text), r"[\s.+]+$", ""), r"^0+(?=[A-Z])", "")
-    by_alpha = F.array().cast(_EMPTY)
-    for name, sizes in ALPHA_SIZES.items():
-        by_alpha = F.when(alpha == name, F.array(*[F.lit(s) for s in sizes])).otherwise(by_alpha)
-    return (
-        F.when(n.isNull(), by_alpha)
-        .when(n > MAX_US_SIZE, F.array().cast(_EMPTY))
-        .when(n % 2 == 0, F.array(n))
-        .otherwise(F.array(n - 1, n + 1))
+def _alpha_table() -> Column:
+    return F.map_from_arrays(
+        F.array(*[F.lit(name) for name in ALPHA_SIZES]),
+        F.array(*[F.array(*[F.lit(s) for s in sizes]) for sizes in ALPHA_SIZES.values()]),
     )
 
 
+def label_sizes(labels: Column) -> Column:
+    """US sizes per label: even sizes stand alone, odd (junior) sizes straddle, alpha sizes come from a table."""
+    alpha = r"^0+(?=[A-Z])"
+    read = F.transform(labels, lambda label: F.struct(
+        F.try_to_number(F.nullif(F.regexp_extract(F.trim(label), r"(?i)^(?:us\s*|size\s*)?0*(\d{1,2})$", 1), F.lit("")),
+                        F.lit("99")).cast("int").alias("n"),
+        F.regexp_replace(F.regexp_replace(F.upper(F.trim(label)), r"[\s.+]+$", ""), alpha, "").alias("alpha"),
+    ))
+    return F.transform(read, lambda r: (
+        F.when(r["n"].isNull(), F.coalesce(F.try_element_at(_alpha_table(), r["alpha"]), F.array().cast(_EMPTY)))
+        .when(r["n"] > MAX_US_SIZE, F.array().cast(_EMPTY))
+        .when(r["n"] % 2 == 0, F.array(r["n"]))
+        .otherwise(F.array(r["n"] - 1, r["n"] + 1))
+    ))
+
+
 def normalized_sizes(labels: Column) -> Column:
     """All labels of a listing to a sorted set of US sizes."""
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce(labels, F.array().cast("array<string>")),
-                                                               sizes_of_label))))
+    present = F.coalesce(labels, F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.flatten(label_sizes(present))))
 
 
 def in_stock_labels(availability: Column) -> Column:
@@ -80,10 +85,8 @@ def size_compatible(sizes: Column, is_vintage: Column, garment: Column, silhouet
 
 def size_verdict(wanted: Column, labels: Column, availability: Column) -> Column:
     """unknown / not_listed / in_your_size / listed_sold_out for one product and one shopper."""
-    listed = F.filter(
-        labels,
-        lambda label: F.arrays_overlap(sizes_of_label(label), wanted),
-    )
+    pairs = F.arrays_zip(labels.alias("label"), label_sizes(labels).alias("sizes"))
+    listed = F.transform(F.filter(pairs, lambda p: F.arrays_overlap(p["sizes"], wanted)), lambda p: p["label"])
     open_ = F.exists(listed, lambda label: F.coalesce(availability[label], F.lit(True)))
     return (
         F.when((F.size(wanted) == 0) | (F.size(labels) == 0), F.lit("unknown"))

@@ -10,47 +10,52 @@ from garderobe.values import CHILD_WORDS, COLOR_WORDS, MAX_COLORS
 STRINGS = "array<string>"
 
 
+def quoted(value: str | None) -> str:
+    """A SQL literal. Rule tables are rendered as SQL text: one parse instead of a call per rule."""
+    if value is None:
+        return "cast(null as string)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def matches(text: Column, pattern: str) -> Column:
     return text.rlike("(?i)" + pattern)
 
 
-def first_match(text: Column, table: list[tuple[str, str]]) -> Column:
-    """Value of the first rule of ``table`` found in ``text``, NULL when none is."""
-    out = None
-    for pattern, value in table:
-        hit = matches(text, pattern)
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out
+def _hit(column: str, pattern: str) -> str:
+    return f"{column} rlike {quoted('(?i)' + pattern)}"
+
+
+def first_match(column: str, table: list[tuple[str, str]]) -> Column:
+    """Value of the first rule of ``table`` found in the text column, NULL when none is."""
+    rules = " ".join(f"when {_hit(column, p)} then {quoted(v)}" for p, v in table)
+    return F.expr(f"case {rules} end")
 
 
-def all_matches(text: Column, table: list[tuple[str, str]]) -> Column:
+def all_matches(column: str, table: list[tuple[str, str]]) -> Column:
     """Values of every rule found, in table order, without repeats."""
-    return F.array_distinct(F.array_compact(F.array(*[F.when(matches(text, p), F.lit(v)) for p, v in table])))
+    rules = ", ".join(f"case when {_hit(column, p)} then {quoted(v)} end" for p, v in table)
+    return F.expr(f"array_distinct(array_compact(array({rules})))")
 
 
-def color_tags(text: Column) -> Column:
+def color_tags(column: str) -> Column:
     """Up to three color structs in table order; a longer color name hides the shorter one inside it.
 
     One alternation pass finds every color word: long names come first in the table, so the leftmost-first match takes
     "hot pink" whole and never reports its "pink".
     """
-    bodies = [p.replace(r"\b", "") for p, *_ in COLOR_WORDS]
-    pattern = r"(?i)\b(" + "|".join(bodies) + r")\b"
-    names = F.array(*[F.lit(name) for _, name, _, _ in COLOR_WORDS])
-    tags = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(family).alias("family"), F.lit(hex_).cast("string").alias("hex"))
-        for _, name, family, hex_ in COLOR_WORDS
-    ])
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    tidy = F.transform(found, lambda w: F.replace(F.regexp_replace(F.lower(w), r"\s+", " "), F.lit("grey"),
-                                                  F.lit("gray")))
-    ranks = F.slice(F.array_sort(F.array_distinct(F.transform(tidy, lambda w: F.array_position(names, w)))), 1,
-                    MAX_COLORS)
-    return F.transform(F.filter(ranks, lambda r: r > 0), lambda r: F.element_at(tags, r.cast("int")))
-
-
-def child_audience(text: Column) -> Column:
-    return matches(text, CHILD_WORDS)
+    bodies = "|".join(p.replace(r"\b", "") for p, *_ in COLOR_WORDS)
+    pattern = quoted(rf"(?i)\b({bodies})\b")
+    names = ", ".join(quoted(name) for _, name, _, _ in COLOR_WORDS)
+    tags = ", ".join(
+        f"named_struct('name', {quoted(n)}, 'family', {quoted(f)}, 'hex', {quoted(h)})" for _, n, f, h in COLOR_WORDS
+    )
+    words_ = f"transform(regexp_extract_all({column}, {pattern}, 1), w -> replace(regexp_replace(lower(w), '\\\\s+', ' '), 'grey', 'gray'))"
+    ranks = f"array_sort(array_distinct(transform({words_}, w -> cast(array_position(array({names}), w) as int))))"
+    return F.expr(f"transform(slice(filter({ranks}, r -> r > 0), 1, {MAX_COLORS}), r -> element_at(array({tags}), r))")
+
+
+def child_audience(column: str) -> Column:
+    return F.expr(_hit(column, CHILD_WORDS))
 
 
 def words(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -23,6 +24,7 @@ def build_session(app: str = "garderobe", cores: int | str = "*", partitions: in
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", extra.pop("driver_memory", "12g"))
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.host", "127.0.0.1")
@@ -70,3 +72,14 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stage_once(spark: SparkSession, label: str, scope: str, build) -> DataFrame:
+    """A derived table many plans read, written on first use of this application and read from the shared folder after."""
+    key = (spark.sparkContext.applicationId, scope, label)
+    if key not in _STAGED:
+        _STAGED[key] = stage(build(), label)
+    return _STAGED[key]

@@ -5,12 +5,13 @@ Every relation is a lazy projection or join over whole tables, so work grows wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garderobe.functions.extraction import EXTRACTED, extract
 from garderobe.functions.sizes import normalized_sizes
-from garderobe.session import prepare
+from garderobe.functions.text import quoted
+from garderobe.session import prepare, stage_once
 from garderobe.functions.hashing import content_hash
 
 # "Now" of the catalog and of the event feed: fixed literals so results repeat.
@@ -25,27 +26,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def epoch_ms(ts: Column) -> Column:
-    return F.unix_millis(ts.cast("timestamp"))
+KINDS = ["shopify", "ebay", "jsonld", "fixture"]
 
 
-def pick(values: list[str | None], index: Column) -> Column:
-    """Element of a fixed list by a 0-based column index; None stands for a missing word."""
-    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (index + 1).cast("int"))
+def pick(values: list[str | None], index: str) -> str:
+    """SQL for the element of a fixed list at a 0-based index; None stands for a missing word."""
+    return f"element_at(array({', '.join(quoted(v) for v in values)}), cast(({index}) + 1 as int))"
 
 
-def source_of(nation: Column) -> Column:
-    return F.concat(pick(["shopify", "ebay", "jsonld", "fixture"], nation % 4), F.lit(":n"), nation.cast("string"))
+def source_of(nation: str) -> str:
+    return f"concat({pick(KINDS, f'{nation} % 4')}, ':n', {nation})"
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_nationkey")
-    return read(spark, sf_dir, "nation").select(
-        source_of(n).alias("source_id"),
-        pick(["shopify", "ebay", "jsonld", "fixture"], n % 4).alias("kind"),
-        F.col("n_name").alias("display_name"),
-        pick(["0 */6 * * *", "*/30 * * * *", "0 6 * * *", "0 0 1 * *"], n % 4).alias("cadence_cron"),
-        (n % 5 != 0).alias("enabled"),
+    return read(spark, sf_dir, "nation").selectExpr(
+        f"{source_of('n_nationkey')} as source_id",
+        f"{pick(KINDS, 'n_nationkey % 4')} as kind",
+        "n_name as display_name",
+        f"{pick(['0 */6 * * *', '*/30 * * * *', '0 6 * * *', '0 0 1 * *'], 'n_nationkey % 4')} as cadence_cron",
+        "n_nationkey % 5 <> 0 as enabled",
     )
 
 
@@ -58,8 +57,20 @@ OCCASION_TERMS = ["cocktail", "wedding guest", None, "brunch"]
 PATTERN_TERMS = ["floral", None, "polka dot", None, "gingham"]
 
 
-def div(key: Column, by: int) -> Column:
-    return F.floor(key / by)
+K = "p_partkey"
+TITLE = f"""concat_ws(' ', p_name, {pick(COLOR_TERMS, f'{K} div 42 % 5')}, {pick(PATTERN_TERMS, f'{K} % 5')},
+  {pick(FABRIC_TERMS, f'{K} div 5 % 6')}, {pick(SILHOUETTE_TERMS, f'{K} div 7 % 6')}, {pick(LENGTH_TERMS, f'{K} % 7')},
+  'dress', if({K} % 29 = 0, 'for girls', null))"""
+DESCRIPTION = f"""if({K} % 9 <> 0, concat_ws(' ', 'A piece', 'for ' || {pick(OCCASION_TERMS, f'{K} % 4')},
+  'with ' || {pick(NECK_TERMS, f'{K} div 11 % 4')}, if({K} % 3 = 0, concat('Bust: ', 30 + {K} % 20, ' in, waist ',
+  24 + {K} % 20, ' in, length: ', 32 + {K} % 30, ' in'), null)), null)"""
+SIZE_LABELS = """case p_size % 6 when 0 then array('S', 'M') when 1 then array(cast(p_size as string))
+  when 2 then cast(array() as array<string>) when 3 then array('XL', '1X') when 4 then array(concat('US ', p_size % 28))
+  else array(concat('0', p_size % 10), 'L+', 'OS') end"""
+SOURCE_URL = f"concat('https://store', s_nationkey, '.example.com/products/', {K}, '?utm_source=feed&variant=2')"
+IMAGES = f"""transform(slice(array(0, 1, 2), 1, cast({K} % 4 as int)), i -> concat(
+  if({K} % 23 = 0, 'https://placehold.co/', 'https://img.example.com/'), {K}, '/', i, '.jpg'))"""
+SEEN = f"{CATALOG_NOW_MS} - datediff(date'2001-11-05', _ship) * {HOUR_MS}L"
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,212 +83,143 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     base = part.join(seen, part.p_partkey == seen.l_partkey).join(supplier, "s_suppkey")
-    k, size, nation = F.col("p_partkey"), F.col("p_size"), F.col("s_nationkey")
-    title = F.concat_ws(
-        " ", F.col("p_name"), pick(COLOR_TERMS, div(k, 42) % 5), pick(PATTERN_TERMS, k % 5),
-        pick(FABRIC_TERMS, div(k, 5) % 6), pick(SILHOUETTE_TERMS, div(k, 7) % 6), pick(LENGTH_TERMS, k % 7),
-        F.lit("dress"), F.when(k % 29 == 0, F.lit("for girls")),
-    )
-    description = F.when(k % 9 != 0, F.concat_ws(
-        " ", F.lit("A piece"), F.concat(F.lit("for "), pick(OCCASION_TERMS, k % 4)),
-        F.concat(F.lit("with "), pick(NECK_TERMS, div(k, 11) % 4)),
-        F.when(k % 3 == 0, F.concat(
-            F.lit("Bust: "), (30 + k % 20).cast("string"), F.lit(" in, waist "), (24 + k % 20).cast("string"),
-            F.lit(" in, length: "), (32 + k % 30).cast("string"), F.lit(" in"),
-        )),
-    ))
-    labels = (
-        F.when(size % 6 == 0, F.array(F.lit("S"), F.lit("M")))
-        .when(size % 6 == 1, F.array(size.cast("string")))
-        .when(size % 6 == 2, F.array().cast("array<string>"))
-        .when(size % 6 == 3, F.array(F.lit("XL"), F.lit("1X")))
-        .when(size % 6 == 4, F.array(F.concat(F.lit("US "), (size % 28).cast("string"))))
-        .otherwise(F.array(F.concat(F.lit("0"), (size % 10).cast("string")), F.lit("L+"), F.lit("OS")))
-    )
-    source_url = F.concat(F.lit("https://store"), nation.cast("string"), F.lit(".example.com/products/"),
-                          k.cast("string"), F.lit("?utm_source=feed&variant=2"))
-    host = F.when(k % 23 == 0, F.lit("https://placehold.co/")).otherwise(F.lit("https://img.example.com/"))
-    seen_ms = F.lit(CATALOG_NOW_MS) - F.datediff(F.lit("2001-11-05").cast("date"), F.col("_ship")) * F.lit(HOUR_MS)
-    return (
-        base.select(
-            F.concat(F.lit("p"), k.cast("string")).alias("listing_id"),
-            k.alias("listing_key"),
-            source_of(nation).alias("source_id"),
-            k.cast("string").alias("source_listing_id"),
-            source_url.alias("source_url"),
-            F.when(k % 2 == 0, F.concat(source_url, F.lit("&campid=1"))).alias("affiliate_url"),
-            title.alias("title"),
-            description.alias("description"),
-            F.when(k % 31 != 0, F.col("p_brand")).alias("brand"),
-            F.round(F.col("p_retailprice") * 100).cast("long").alias("price_cents"),
-            pick(["USD", "USD", "USD", "USD", "USD", "USD", "GBP", "EUR", "CAD", "JPY"], k % 10).alias("currency"),
-            pick(["new", "like_new", "good", "fair", "unknown"], size % 5).alias("condition"),
-            (k % 7 == 0).alias("is_vintage"),
-            labels.alias("size_labels"),
-            F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), 1, (k % 4).cast("int")),
-                        lambda i: F.concat(host, k.cast("string"), F.lit("/"), i.cast("string"), F.lit(".jpg")))
-            .alias("image_urls"),
-            (seen_ms - (k % 30) * F.lit(DAY_MS)).alias("first_seen_ms"),
-            seen_ms.alias("last_seen_ms"),
-            F.when(k % 17 == 0, F.lit(CATALOG_NOW_MS) - (k % 100) * F.lit(HOUR_MS)).alias("removed_ms"),
-            F.when(k % 3 == 0, seen_ms).alias("verified_ms"),
-        )
-        .withColumn("size_normalized", normalized_sizes(F.col("size_labels")))
-        .withColumn("availability", F.map_from_arrays(
-            "size_labels", F.transform("size_labels", lambda _, i: (F.col("listing_key") + i) % 3 != 0)))
-        .withColumn("content_hash", content_hash(F.col("title"), F.col("description"), F.col("price_cents"),
-                                                 F.col("image_urls"), F.col("size_labels")))
+    rows = base.selectExpr(
+        f"concat('p', {K}) as listing_id",
+        f"{K} as listing_key",
+        f"{source_of('s_nationkey')} as source_id",
+        f"cast({K} as string) as source_listing_id",
+        f"{SOURCE_URL} as source_url",
+        f"if({K} % 2 = 0, concat({SOURCE_URL}, '&campid=1'), null) as affiliate_url",
+        f"{TITLE} as title",
+        f"{DESCRIPTION} as description",
+        f"if({K} % 31 <> 0, p_brand, null) as brand",
+        "cast(round(p_retailprice * 100) as bigint) as price_cents",
+        f"{pick(['USD'] * 6 + ['GBP', 'EUR', 'CAD', 'JPY'], f'{K} % 10')} as currency",
+        f"{pick(['new', 'like_new', 'good', 'fair', 'unknown'], 'p_size % 5')} as condition",
+        f"{K} % 7 = 0 as is_vintage",
+        f"{SIZE_LABELS} as size_labels",
+        f"{IMAGES} as image_urls",
+        f"{SEEN} as last_seen_ms",
+        f"if({K} % 17 = 0, {CATALOG_NOW_MS} - ({K} % 100) * {HOUR_MS}, null) as removed_ms",
     )
+    return rows.withColumns({
+        "first_seen_ms": F.expr(f"last_seen_ms - (listing_key % 30) * {DAY_MS}"),
+        "verified_ms": F.expr("if(listing_key % 3 = 0, last_seen_ms, null)"),
+        "size_normalized": normalized_sizes(F.col("size_labels")),
+        "availability": F.expr("map_from_arrays(size_labels, transform(size_labels, (x, i) -> (listing_key + i) % 3 <> 0))"),
+        "content_hash": content_hash(F.col("title"), F.col("description"), F.col("price_cents"), F.col("image_urls"),
+                                     F.col("size_labels")),
+    })
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with their attributes: the catalog table the ranking plans read.
+
+    Rule extraction runs once per content, so its result is written once and then scanned with pruned columns, instead
+    of being inlined into every predicate of every plan.
+    """
+    return stage_once(spark, "catalog", sf_dir, lambda: extract(listings(spark, sf_dir)))
 
 
 def extractions(spark: SparkSession, sf_dir: str, base: DataFrame | None = None) -> DataFrame:
     """Rule-extracted attributes of every listing, keyed by content hash."""
-    base = listings(spark, sf_dir) if base is None else base
-    return extract(base).select(
+    return candidates(spark, sf_dir).select(
         "content_hash", "listing_id", F.when(F.col("listing_key") % 20 == 0, "manual").otherwise("mock").alias("model"),
         *EXTRACTED, F.col("first_seen_ms").alias("extracted_ms"),
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings with their attributes. Both sides come from the same rows, so this is a projection, not a join."""
-    return extract(listings(spark, sf_dir))
-
-
 def listing_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("listing_id", F.posexplode("image_urls").alias("position", "url"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("c_custkey")
-    palette = ["red|#DC143C", "navy|#000080", "emerald|#50C878", "ivory|#FFFFF0"]
-
-    def swatch(i: Column) -> Column:
-        entry = F.split(pick(palette, i % 4), r"\|")
-        return F.struct(F.element_at(entry, 2).alias("hex"), F.element_at(entry, 1).alias("name"))
-
-    low = ((c % 13) * 2).cast("int")
-    tags = F.map_from_arrays(
-        F.array(*[F.lit(t) for t in ("length:midi", "silhouette:wrap", "color:red", "fabric:silk")]),
-        F.array(((c % 5) - 2) * F.lit(0.4), ((c % 7) - 3) * F.lit(0.3), ((c % 3) - 1) * F.lit(0.6), F.lit(0.5)),
+    swatches = ("array(named_struct('hex', '#DC143C', 'name', 'red'), named_struct('hex', '#000080', 'name', 'navy'), "
+                "named_struct('hex', '#50C878', 'name', 'emerald'), named_struct('hex', '#FFFFF0', 'name', 'ivory'))")
+    return read(spark, sf_dir, "customer").selectExpr(
+        "c_custkey as user_id",
+        "if(c_custkey % 19 <> 0, cast(60 + c_custkey % 13 as double), null) as height_inches",
+        "cast(c_custkey % 4 as double) as heel_inches",
+        "if(c_custkey % 11 = 0, cast(array() as array<int>), "
+        "array(cast(c_custkey % 13 * 2 as int), cast(c_custkey % 13 * 2 + 2 as int))) as sizes",
+        "named_struct('bust', if(c_custkey % 5 = 0, cast(30 + c_custkey % 10 as double), null), "
+        "'waist', if(c_custkey % 5 = 0, cast(24 + c_custkey % 10 as double), null), "
+        "'hip', if(c_custkey % 5 = 0, cast(34 + c_custkey % 10 as double), null)) as body",
+        "case c_custkey % 3 when 1 then array('knee', 'below_knee') when 2 then array('mid_calf', 'ankle', 'floor') "
+        "else cast(array() as array<string>) end as length_prefs",
+        "if(c_custkey % 6 = 0, 60000L, null) as budget_min_cents",
+        "if(c_custkey % 3 <> 0, 75000 + greatest(floor(c_acctbal), 0L) * 6, null) as budget_max_cents",
+        f"if(c_custkey % 4 = 0, slice({swatches}, 1, 0), array(element_at({swatches}, cast(c_custkey % 4 + 1 as int)), "
+        f"element_at({swatches}, cast((c_custkey + 1) % 4 + 1 as int)))) as palette",
+        "case when c_custkey % 7 = 0 then false when c_custkey % 7 <> 1 then true end as palette_boost_enabled",
+        "if(c_custkey % 9 = 0, cast(map() as map<string,double>), map('length:midi', (c_custkey % 5 - 2) * 0.4D, "
+        "'silhouette:wrap', (c_custkey % 7 - 3) * 0.3D, 'color:red', (c_custkey % 3 - 1) * 0.6D, 'fabric:silk', 0.5D)) "
+        "as style_tags",
     )
-    return read(spark, sf_dir, "customer").select(
-        c.alias("user_id"),
-        F.when(c % 19 != 0, (60 + c % 13).cast("double")).alias("height_inches"),
-        (c % 4).cast("double").alias("heel_inches"),
-        F.when(c % 11 == 0, F.array().cast("array<int>")).otherwise(F.array(low, (low + 2).cast("int"))).alias("sizes"),
-        F.struct(
-            F.when(c % 5 == 0, (30 + c % 10).cast("double")).alias("bust"),
-            F.when(c % 5 == 0, (24 + c % 10).cast("double")).alias("waist"),
-            F.when(c % 5 == 0, (34 + c % 10).cast("double")).alias("hip"),
-        ).alias("body"),
-        F.when(c % 3 == 1, F.array(F.lit("knee"), F.lit("below_knee")))
-        .when(c % 3 == 2, F.array(F.lit("mid_calf"), F.lit("ankle"), F.lit("floor")))
-        .otherwise(F.array().cast("array<string>")).alias("length_prefs"),
-        F.when(c % 6 == 0, F.lit(60000).cast("long")).alias("budget_min_cents"),
-        F.when(c % 3 != 0, F.lit(75000) + F.greatest(F.floor("c_acctbal"), F.lit(0)) * 6).alias("budget_max_cents"),
-        F.when(c % 4 == 0, F.array().cast("array<struct<hex:string,name:string>>"))
-        .otherwise(F.array(swatch(c), swatch(c + 1))).alias("palette"),
-        F.when(c % 7 == 0, F.lit(False)).when(c % 7 != 1, F.lit(True)).alias("palette_boost_enabled"),
-        F.when(c % 9 == 0, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
-        .otherwise(tags).alias("style_tags"),
-    )
-
 
-def _event_key() -> Column:
-    """Part key a given event points at; some keys are not in the catalog, as in a real feed."""
-    return (F.col("event_id") * 37 + F.col("user_id")) % 2500
 
-
-def props_k() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+# Part key a given event points at; some keys are not in the catalog, as in a real feed.
+EVENT_LISTING = "concat('p', (event_id * 37 + user_id) % 2500)"
+EVENT_TIMES = ["unix_millis(cast(ts as timestamp)) as created_ms", "cast(ts as timestamp) as ts"]
+PROP_K = "cast(get_json_object(props, '$.k') as int)"
 
 
 def swipes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     events = read(spark, sf_dir, "events") if events is None else events
-    return events.select(
-        F.col("event_id").alias("swipe_id"),
-        "user_id",
-        F.concat(F.lit("p"), _event_key().cast("string")).alias("listing_id"),
-        F.when(F.col("event_type").isin("view", "purchase"), "like")
-        .when(F.col("event_type") == "click", "save")
-        .when(F.col("event_type") == "signup", "dislike")
-        .otherwise("skip").alias("verdict"),
-        epoch_ms(F.col("ts")).alias("created_ms"),
-        F.col("ts").cast("timestamp").alias("ts"),
+    return events.selectExpr(
+        "event_id as swipe_id", "user_id", f"{EVENT_LISTING} as listing_id",
+        "case when event_type in ('view', 'purchase') then 'like' when event_type = 'click' then 'save' "
+        "when event_type = 'signup' then 'dislike' else 'skip' end as verdict",
+        *EVENT_TIMES,
     )
 
 
 def clicks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Raw outbound clicks: (click_id, listing_id, user_id, created_ms)."""
     events = read(spark, sf_dir, "events") if events is None else events
-    return events.filter(F.col("event_type") == "click").select(
-        F.col("event_id").alias("click_id"),
-        F.concat(F.lit("p"), _event_key().cast("string")).alias("listing_id"),
-        F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("user_id"),
-        epoch_ms(F.col("ts")).alias("created_ms"),
-        F.col("ts").cast("timestamp").alias("ts"),
+    return events.filter("event_type = 'click'").selectExpr(
+        "event_id as click_id", f"{EVENT_LISTING} as listing_id", "if(event_id % 4 <> 0, user_id, null) as user_id",
+        *EVENT_TIMES,
     )
 
 
 QUERY_WORDS = ["Red Midi", " red midi", "silk gown", "Blue wrap", "linen", "taffeta ballgown", ""]
 FILTER_KINDS = ["size", "price", "length", None]
 VERDICT_WORDS = ["like", "dislike", "save", "skip"]
+SIGNUP_STEPS = ["quiz_started", "quiz_step_completed", "quiz_completed"]
 
 
 def analytics_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     """Typed analytics events with JSON props, in the shape the event feed has."""
     events = read(spark, sf_dir, "events") if events is None else events
-    k, e, kind = props_k(), F.col("event_id"), F.col("event_type")
-    started = (kind == "signup") & (k % 3 == 0)
-    step = (kind == "signup") & (k % 3 == 1)
-    done = (kind == "signup") & (k % 3 == 2)
-    filt = (kind == "click") & (k % 2 == 0)
-    swipe = (kind == "click") & (k % 2 == 1)
-    search = kind == "purchase"
-    deck = (kind == "view") & (k % 2 == 0)
-    none = F.lit("{}")
-    props = (
-        F.when(step, F.to_json(F.struct((k % 7 + 1).alias("step"))))
-        .when(done, F.to_json(F.struct(F.floor(F.col("value") * 1000).alias("durationMs"))))
-        .when(filt, F.to_json(F.struct(pick(FILTER_KINDS, k % 4).alias("kind"))))
-        .when(swipe, F.to_json(F.struct(pick(VERDICT_WORDS, k % 4).alias("verdict"), (k % 100).alias("index"))))
-        .when(search, F.to_json(F.struct(
-            pick(QUERY_WORDS, k % 7).alias("query"),
-            F.when((e % 5 == 0) | (k % 7 == 5), F.lit(0)).otherwise(k).alias("resultCount"),
-            F.lit(True).alias("interpreted"),
-        )))
-        .when(deck, none)
-        .otherwise(F.to_json(F.struct((k % 10).alias("page"))))
-    )
-    return events.select(
-        e.alias("id"),
-        F.when(e % 4 != 0, F.col("user_id").cast("string")).alias("user_id"),
-        F.concat(F.lit("anon-"), F.col("user_id").cast("string")).alias("anon_id"),
-        F.when(started, "quiz_started").when(step, "quiz_step_completed").when(done, "quiz_completed")
-        .when(filt, "filter_applied").when(swipe, "deck_swipe").when(search, "search_submitted")
-        .when(deck, "deck_completed").otherwise("feed_viewed").alias("event_type"),
-        props.alias("props"),
-        epoch_ms(F.col("ts")).alias("created_ms"),
-        F.col("ts").cast("timestamp").alias("ts"),
+    typed = events.withColumn("k", F.expr(PROP_K)).withColumn("kind", F.expr(f"""case
+        when event_type = 'signup' then {pick(SIGNUP_STEPS, 'k % 3')}
+        when event_type = 'click' then if(k % 2 = 0, 'filter_applied', 'deck_swipe')
+        when event_type = 'purchase' then 'search_submitted'
+        when event_type = 'view' and k % 2 = 0 then 'deck_completed' else 'feed_viewed' end"""))
+    props = f"""case kind when 'quiz_started' then '{{}}' when 'deck_completed' then '{{}}'
+        when 'quiz_step_completed' then to_json(named_struct('step', k % 7 + 1))
+        when 'quiz_completed' then to_json(named_struct('durationMs', floor(value * 1000)))
+        when 'filter_applied' then to_json(named_struct('kind', {pick(FILTER_KINDS, 'k % 4')}))
+        when 'deck_swipe' then to_json(named_struct('verdict', {pick(VERDICT_WORDS, 'k % 4')}, 'index', k % 100))
+        when 'search_submitted' then to_json(named_struct('query', {pick(QUERY_WORDS, 'k % 7')},
+          'resultCount', if(event_id % 5 = 0 or k % 7 = 5, 0, k), 'interpreted', true))
+        else to_json(named_struct('page', k % 10)) end"""
+    return typed.selectExpr(
+        "event_id as id", "if(event_id % 4 <> 0, cast(user_id as string), null) as user_id",
+        "concat('anon-', user_id) as anon_id", "kind as event_type", f"{props} as props", *EVENT_TIMES,
     )
 
 
 def error_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     events = read(spark, sf_dir, "events") if events is None else events
-    k, e = props_k(), F.col("event_id")
-    stack = F.when(k % 3 != 0, F.concat(
-        F.lit("Error: boom\n    at handler (app/route.ts:"), (e % 50).cast("string"), F.lit(":7)\n  at step"),
-        (k % 4).cast("string"), F.lit(" (lib/x.ts:3)\n"), F.lit("done"),
-    ))
-    return events.filter(F.col("event_type") == "error").select(
-        e.alias("error_id"),
-        F.concat(F.lit("/api/"), pick(["rank", "search", "swipes"], k % 3)).alias("route"),
-        F.concat(F.lit("failed after "), e.cast("string"), F.lit(" ms in phase "), pick(["read", "join", "write", "send"], k % 4))
-        .alias("message"),
-        stack.alias("stack"),
-        epoch_ms(F.col("ts")).alias("ts_ms"),
-        F.col("ts").cast("timestamp").alias("ts"),
+    return events.filter("event_type = 'error'").withColumn("k", F.expr(PROP_K)).selectExpr(
+        "event_id as error_id",
+        f"concat('/api/', {pick(['rank', 'search', 'swipes'], 'k % 3')}) as route",
+        f"concat('failed after ', event_id, ' ms in phase ', {pick(['read', 'join', 'write', 'send'], 'k % 4')}) as message",
+        "if(k % 3 <> 0, concat('Error: boom\\n    at handler (app/route.ts:', event_id % 50, ':7)\\n  at step', k % 4, "
+        "' (lib/x.ts:3)\\ndone'), null) as stack",
+        "unix_millis(cast(ts as timestamp)) as ts_ms", "cast(ts as timestamp) as ts",
     )
 
 
@@ -299,18 +241,12 @@ def embeddings(spark: SparkSession, sf_dir: str, base: DataFrame | None = None)
 
 def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run log: one run per order; the order's totals stand for the run's counters."""
-    o = read(spark, sf_dir, "orders")
-    started = epoch_ms(F.col("o_orderdate"))
-    return o.select(
-        F.col("o_orderkey").alias("run_id"),
-        source_of(F.col("o_custkey") % 25).alias("source_id"),
-        started.alias("started_ms"),
-        (started + F.lit(60_000)).alias("finished_ms"),
-        F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "ok")
-        .otherwise("running").alias("status"),
-        F.to_json(F.struct(
-            F.floor(F.col("o_totalprice") / 1000).alias("fetched"),
-            (F.col("o_orderkey") % 7).alias("new"),
-            (F.col("o_orderkey") % 5).alias("errors"),
-        )).alias("stats"),
+    return read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as run_id",
+        f"{source_of('(o_custkey % 25)')} as source_id",
+        "unix_millis(cast(o_orderdate as timestamp)) as started_ms",
+        "unix_millis(cast(o_orderdate as timestamp)) + 60000 as finished_ms",
+        "case o_orderstatus when 'F' then 'error' when 'O' then 'ok' else 'running' end as status",
+        "to_json(named_struct('fetched', floor(o_totalprice / 1000), 'new', o_orderkey % 7, 'errors', o_orderkey % 5)) "
+        "as stats",
     )

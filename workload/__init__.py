@@ -4,5 +4,5 @@ import importlib
 
 from workload.registry import ORACLES, QUERIES
 
-for _area in ("events",):
+for _area in ("events", "catalog"):
     importlib.import_module(f"workload.{_area}")

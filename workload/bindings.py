@@ -103,8 +103,10 @@ SELECT content_hash, listing_id, CASE WHEN listing_key % 20 = 0 THEN 'manual' EL
     WHEN inches < 51 THEN 'mid_calf' WHEN inches < 57.5 THEN 'maxi' WHEN inches IS NOT NULL THEN 'floor' END)
     AS length_class,
   inches AS length_inches, CASE WHEN inches IS NOT NULL THEN 'stated' END AS length_basis, bust, waist,
-  list_filter([{pick(COLOR_FAMILIES, '(listing_key // 42) % 5')}, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'red'
-    WHEN 'blue' THEN 'blue' END], lambda c: c IS NOT NULL) AS families,
+  list_filter(CASE WHEN split_part(p_name, ' ', 1) = 'blue' AND (listing_key // 42) % 5 IN (1, 4)
+    THEN ['blue', {pick(COLOR_FAMILIES, '(listing_key // 42) % 5')}]
+    ELSE [{pick(COLOR_FAMILIES, '(listing_key // 42) % 5')}, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN 'red'
+    WHEN 'blue' THEN 'blue' END] END, lambda c: c IS NOT NULL) AS families,
   {pick(FABRIC_TERMS, '(listing_key // 5) % 6')} AS fabric, {pick(FABRIC_HEADS, '(listing_key // 5) % 6')} AS fabric_head,
   CASE WHEN described THEN {pick(NECKS, '(listing_key // 11) % 4')} END AS neckline,
   {pick(SILHOUETTES, '(listing_key // 7) % 6')} AS silhouette,
