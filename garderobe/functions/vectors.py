@@ -64,3 +64,20 @@ def decode_floats(blob: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BinaryType())
 def encode_floats(vector: pd.Series) -> pd.Series:
     return vector.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+
+
+@F.pandas_udf(T.DoubleType())
+def pair_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Cosine of row pairs, one matrix product per Arrow batch; NULL on either side stays NULL."""
+    out = pd.Series(np.nan, index=a.index)
+    both = a.notna() & b.notna()
+    if both.any():
+        x, y = _matrix(a[both]), _matrix(b[both])
+        scale = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+        dots = np.einsum("ij,ij->i", x, y)
+        out[both] = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+    return out.where(both, None)

@@ -148,7 +148,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case c_custkey % 3 when 1 then array('knee', 'below_knee') when 2 then array('mid_calf', 'ankle', 'floor') "
         "else cast(array() as array<string>) end as length_prefs",
         "if(c_custkey % 6 = 0, 60000L, null) as budget_min_cents",
-        "if(c_custkey % 3 <> 0, 75000 + greatest(floor(c_acctbal), 0L) * 6, null) as budget_max_cents",
+        "if(c_custkey % 3 <> 0, 75000 + greatest(floor(c_acctbal / 1000), 0L) * 6000, null) as budget_max_cents",
         f"if(c_custkey % 4 = 0, slice({swatches}, 1, 0), array(element_at({swatches}, cast(c_custkey % 4 + 1 as int)), "
         f"element_at({swatches}, cast((c_custkey + 1) % 4 + 1 as int)))) as palette",
         "case when c_custkey % 7 = 0 then false when c_custkey % 7 <> 1 then true end as palette_boost_enabled",

@@ -146,7 +146,7 @@ SELECT c_custkey AS user_id, CASE WHEN c_custkey % 19 <> 0 THEN CAST(60 + c_cust
   CASE c_custkey % 3 WHEN 1 THEN ['knee', 'below_knee'] WHEN 2 THEN ['mid_calf', 'ankle', 'floor']
     ELSE CAST([] AS VARCHAR[]) END AS length_prefs,
   CASE WHEN c_custkey % 6 = 0 THEN 60000 END AS budget_min_cents,
-  CASE WHEN c_custkey % 3 <> 0 THEN 75000 + greatest(CAST(floor(c_acctbal) AS BIGINT), 0) * 6 END AS budget_max_cents,
+  CASE WHEN c_custkey % 3 <> 0 THEN 75000 + greatest(CAST(floor(c_acctbal / 1000) AS BIGINT), 0) * 6000 END AS budget_max_cents,
   CASE WHEN c_custkey % 4 = 0 THEN CAST([] AS VARCHAR[]) ELSE [(['red', 'navy', 'emerald', 'ivory'])[c_custkey % 4 + 1],
     (['red', 'navy', 'emerald', 'ivory'])[(c_custkey + 1) % 4 + 1]] END AS palette,
   CASE WHEN c_custkey % 7 = 0 THEN false WHEN c_custkey % 7 <> 1 THEN true END AS palette_boost_enabled
@@ -160,11 +160,11 @@ SELECT user_id, tag, w FROM (SELECT c_custkey AS user_id, unnest(['length:midi',
 CTES["swipes"] = ([], """
 SELECT event_id AS swipe_id, user_id, 'p' || ((event_id * 37 + user_id) % 2500) AS listing_id,
   CASE WHEN event_type IN ('view', 'purchase') THEN 'like' WHEN event_type = 'click' THEN 'save'
-    WHEN event_type = 'signup' THEN 'dislike' ELSE 'skip' END AS verdict, epoch_ms(ts) AS created_ms FROM events""")
+    WHEN event_type = 'signup' THEN 'dislike' ELSE 'skip' END AS verdict, epoch_us(ts) // 1000 AS created_ms FROM events""")
 
 CTES["clicks"] = ([], """
 SELECT event_id AS click_id, 'p' || ((event_id * 37 + user_id) % 2500) AS listing_id,
-  CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id, epoch_ms(ts) AS created_ms
+  CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id, epoch_us(ts) // 1000 AS created_ms
 FROM events WHERE event_type = 'click'""")
 
 CTES["analytics"] = ([], f"""
@@ -177,7 +177,7 @@ SELECT id, user_id, anon_id, coalesce(user_id, anon_id) AS actor, event_type, cr
     lower(trim({pick(['Red Midi', ' red midi', 'silk gown', 'Blue wrap', 'linen', 'taffeta ballgown', ''], 'k % 7')})) END AS query,
   CASE WHEN event_type = 'search_submitted' THEN CASE WHEN id % 5 = 0 OR k % 7 = 5 THEN 0 ELSE k END END AS result_count
 FROM (SELECT event_id AS id, CASE WHEN event_id % 4 <> 0 THEN CAST(user_id AS VARCHAR) END AS user_id,
-    'anon-' || user_id AS anon_id, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k, epoch_ms(ts) AS created_ms,
+    'anon-' || user_id AS anon_id, value, CAST(json_extract(props, '$.k') AS INTEGER) AS k, epoch_us(ts) // 1000 AS created_ms,
     CASE WHEN event_type = 'signup' THEN (['quiz_started', 'quiz_step_completed', 'quiz_completed'])
         [CAST(json_extract(props, '$.k') AS INTEGER) % 3 + 1]
       WHEN event_type = 'click' THEN (['filter_applied', 'deck_swipe'])[CAST(json_extract(props, '$.k') AS INTEGER) % 2 + 1]
@@ -198,14 +198,14 @@ SELECT event_id AS error_id, '/api/' || (['rank', 'search', 'swipes'])[k % 3 + 1
     || (['read', 'join', 'write', 'send'])[k % 4 + 1] || chr(10)
     || CASE WHEN k % 3 <> 0 THEN 'at handler (app/route.ts' || chr(10) || 'at step' || (k % 4) || ' (lib/x.ts' ELSE '' END)
     AS stack_hash, ts_ms FROM
-(SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k, epoch_ms(ts) AS ts_ms FROM events WHERE event_type = 'error')""")
+(SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k, epoch_us(ts) // 1000 AS ts_ms FROM events WHERE event_type = 'error')""")
 
 CTES["vectors"] = (["listings"], """
 SELECT CASE WHEN vec_id % 13 = 0 THEN 'old-' || listing_id ELSE content_hash END AS content_hash, listing_id, vec_id,
   embedding AS vector, last_seen_ms AS embedded_ms FROM embeddings JOIN listings ON listing_key = vec_id""")
 
 CTES["runs"] = ([], f"""
-SELECT o_orderkey AS run_id, {source_of('(o_custkey % 25)')} AS source_id, epoch_ms(o_orderdate) AS started_ms,
+SELECT o_orderkey AS run_id, {source_of('(o_custkey % 25)')} AS source_id, epoch_us(o_orderdate) // 1000 AS started_ms,
   CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'ok' ELSE 'running' END AS status,
   CAST(floor(o_totalprice / 1000) AS BIGINT) AS fetched, o_orderkey % 7 AS new_rows, o_orderkey % 5 AS errors FROM orders""")
 
