@@ -216,7 +216,7 @@ def _(spark, d):
 
 
 @query("rerank_merge", feed_sql("""SELECT user_id, listing_id, new_rank AS rank, CASE WHEN rank < 24 THEN
-  round(0.6::DOUBLE * CASE WHEN head <= 1 THEN 1.0 ELSE 1 - new_rank::DOUBLE / (head - 1) END + 0.4::DOUBLE * score9, 6) ELSE round(score9, 6) END AS score
+  round(round(0.6::DOUBLE * CASE WHEN head <= 1 THEN 1.0 ELSE 1 - new_rank::DOUBLE / (head - 1) END + 0.4::DOUBLE * score9, 9), 6) ELSE round(score9, 6) END AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN rank < 24 THEN 0 ELSE 1 END, CASE WHEN rank < 24
     AND place IS NOT NULL THEN place WHEN rank < 24 THEN 1073741824 END, rank) - 1 AS new_rank, count(*) FILTER (rank < 24) OVER (PARTITION BY user_id) AS head
   FROM (SELECT r.user_id, r.listing_id, r.rank, s.score AS score9, CASE WHEN l.listing_key % 3 = 0 THEN l.listing_key % 101 * 100000 + l.listing_key END AS place
