@@ -18,7 +18,7 @@ def content_hash(title: Column, description: Column, price_cents: Column, images
 def error_fingerprint(route: Column, message: Column, stack: Column) -> Column:
     """Same error, whatever its numbers: digits in the message become #, the top five frames lose their positions."""
     frames = F.filter(
-        F.transform(F.split(F.coalesce(stack, F.lit("")), "\n"), F.trim), lambda line: line.startswith("at ")
+        F.transform(F.split(F.coalesce(stack, F.lit("")), "\n"), lambda line: F.trim(line)), lambda line: line.startswith("at ")
     )
     bare = F.transform(
         F.slice(frames, 1, 5),

@@ -22,6 +22,7 @@ LEVELS = 8
 DOMAIN = RADIX**LEVELS
 ANY_SIZE = -2
 NO_SIZE = -1
+ANY = "*"
 
 
 def profile_key(sizes: Column, low: Column, high: Column) -> Column:
@@ -51,42 +52,51 @@ def _blocks() -> Column:
     return F.expr(f"concat({', '.join(per_level)})")
 
 
-def profile_cells(profiles: DataFrame) -> DataFrame:
-    """(profile_id, cell, level, node) rows. Prices are whole cents, so [low, high] is [low, high + 1)."""
+def profile_cells(profiles: DataFrame, facets: list[str]) -> DataFrame:
+    """(profile_id, cell, level, node, facets...) rows. Prices are whole cents, so [low, high] is [low, high + 1).
+
+    A facet column holds the wanted values as an array; an empty one files the profile under "any value".
+    """
     bounded = profiles.select(
-        "profile_id", "sizes",
+        "profile_id", "sizes", *facets,
         F.greatest(F.coalesce("low", F.lit(0)), F.lit(0)).cast("long").alias("lo"),
         F.least(F.coalesce(F.col("high") + 1, F.lit(DOMAIN)), F.lit(DOMAIN)).cast("long").alias("hi"),
     )
     cells = F.when(F.size("sizes") == 0, F.array(F.lit(ANY_SIZE))).otherwise(
         F.array_append(F.col("sizes"), F.lit(NO_SIZE))
     )
-    return (
-        bounded.select("profile_id", cells.alias("cells"), F.explode(_blocks()).alias("b"))
-        .select("profile_id", F.explode("cells").alias("cell"), "b.level", "b.node")
-    )
+    rows = bounded.select("profile_id", cells.alias("cells"), *facets, F.explode(_blocks()).alias("b"))
+    rows = rows.select("profile_id", F.explode("cells").alias("cell"), *facets, "b.level", "b.node")
+    for facet in facets:
+        rows = rows.withColumn(facet, F.explode(F.when(F.size(facet) == 0, F.array(F.lit(ANY))).otherwise(F.col(facet))))
+    return rows
 
 
-def listing_cells(listings: DataFrame) -> DataFrame:
-    """Listings once per (size cell, price level); ``usd_cents`` picks the node of each level."""
+def listing_cells(listings: DataFrame, facets: dict[str, Column]) -> DataFrame:
+    """Listings once per (size cell, price level, facet value or any); ``usd_cents`` picks the node of each level."""
     cells = F.when(F.size("size_normalized") == 0, F.array(F.lit(NO_SIZE))).otherwise(F.col("size_normalized"))
     nodes = F.array(*[
         F.struct(F.lit(level).alias("level"), F.floor(F.col("_clipped") / RADIX**level).cast("long").alias("node"))
         for level in range(LEVELS)
     ])
-    return (
-        listings.withColumn("_clipped", F.least(F.col("usd_cents"), F.lit(DOMAIN - 1)))
-        .withColumn("cell", F.explode(F.array_append(cells, F.lit(ANY_SIZE))))
-        .withColumn("_n", F.explode(nodes))
-        .select("listing_id", "source_id", "brand", "last_seen_ms", "cell", "_n.level", "_n.node")
-    )
-
-
-def profile_candidates(profiles: DataFrame, listings: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
+    rows = listings.withColumns({
+        "_clipped": F.least(F.col("usd_cents"), F.lit(DOMAIN - 1)),
+        **{f"_f_{name}": value for name, value in facets.items()},
+    }).withColumn("cell", F.explode(F.array_append(cells, F.lit(ANY_SIZE)))).withColumn("_n", F.explode(nodes))
+    for name in facets:
+        both = F.array_compact(F.array(F.lit(ANY), F.col(f"_f_{name}")))
+        rows = rows.withColumn(f"_f_{name}", F.explode(both))
+    return rows.select("listing_id", "source_id", "brand", "last_seen_ms", "cell", "_n.level", "_n.node",
+                       *[F.col(f"_f_{name}").alias(name) for name in facets])
+
+
+def profile_candidates(profiles: DataFrame, listings: DataFrame, cap: int = CANDIDATE_CAP,
+                       facets: dict[str, Column] | None = None) -> DataFrame:
     """(profile_id, listing_id, ...) rows of each profile's source-fair, brand-spread candidate pool."""
-    wanted = profile_cells(profiles)
-    keys = ["cell", "level", "node"]
-    filed = listing_cells(listings).join(wanted.select(*keys).distinct(), keys, "left_semi")
+    facets = facets or {}
+    wanted = profile_cells(profiles, list(facets))
+    keys = ["cell", "level", "node", *facets]
+    filed = listing_cells(listings, facets).join(wanted.select(*keys).distinct(), keys, "left_semi")
     kept = fair_rank(filed, keys, cap).drop("_rs")
     pool = wanted.join(kept, keys).drop(*keys).dropDuplicates(["profile_id", "listing_id"])
     return stratified_cap(pool, ["profile_id"], cap)

@@ -41,6 +41,8 @@ def live_catalog(catalog: DataFrame, sources: DataFrame, now_ms: int) -> DataFra
 
 
 def with_profile(users: DataFrame) -> DataFrame:
+    if "profile_id" in users.columns:
+        return users
     return users.withColumn(
         "profile_id", profile_key(F.col("sizes"), F.col("budget_min_cents"), F.col("budget_max_cents"))
     )
