@@ -94,7 +94,10 @@ def known_brands(brands: DataFrame) -> DataFrame:
 
 
 def _take_brands(df: DataFrame, brands: DataFrame) -> DataFrame:
-    """Brand phrases of three, two, then one word; each round joins the text's word sequences with the brand table."""
+    """Brand phrases of three, two, then one word; each round joins the text's word sequences with the brand table.
+
+    The row travels with its word sequences and is folded back by query, so no round is computed twice.
+    """
     known = known_brands(brands)
     df = df.withColumns({"brands": F.expr(EMPTY), "brand_names": F.expr(EMPTY)})
     for n in (3, 2, 1):
@@ -102,11 +105,12 @@ def _take_brands(df: DataFrame, brands: DataFrame) -> DataFrame:
         words = "filter(split(lower(_w), ' '), x -> x <> '')"
         grams = F.expr(f"transform(if(size({words}) >= {n}, sequence(1, size({words}) - {n - 1}), cast(array() as array<int>)), "
                        f"i -> array_join(slice({words}, i, {n}), ' '))")
-        found = df.select("query_id", F.posexplode(grams).alias("_at", "gram")).join(known, "gram").groupBy("query_id").agg(
-            F.array_sort(F.collect_list(F.struct("_at", "gram", "canonical", "expanded"))).alias("_found"))
-        df = df.join(found, "query_id", "left")
-        df = df.withColumn("_found", F.coalesce("_found", F.expr(
-            "cast(array() as array<struct<_at:int,gram:string,canonical:string,expanded:array<string>>>)")))
+        asked = df.select("query_id", F.struct(*[c for c in df.columns if c != "query_id"]).alias("_row"),
+                          F.posexplode_outer(grams).alias("_at", "gram"))
+        hit = F.when(F.col("canonical").isNotNull(), F.struct("_at", "gram", "canonical", "expanded"))
+        df = asked.join(known, "gram", "left").groupBy("query_id").agg(
+            F.first("_row").alias("_row"), F.array_sort(F.collect_list(hit)).alias("_found")
+        ).select("query_id", "_row.*", "_found")
         df = _take_phrases(df, "array_distinct(transform(_found, x -> x.gram))", "_hits")
         used = F.expr("filter(_found, x -> array_contains(_hits, x.gram))")
         df = df.withColumn("_used", used).withColumns({
@@ -119,7 +123,7 @@ def _take_brands(df: DataFrame, brands: DataFrame) -> DataFrame:
 def interpret(queries: DataFrame, brands: DataFrame) -> DataFrame:
     """``queries`` (query_id, text[, lexical_terms]) with price, sizes, brands, length classes, soft signals, residual words
     and the text left for embedding. ``brands`` (brand) lists the catalog's brands."""
-    df = queries.withColumn("_w", F.col("text"))
+    df = queries.repartition("query_id").withColumn("_w", F.col("text"))
     if "lexical_terms" not in df.columns:
         df = df.withColumn("lexical_terms", F.expr(EMPTY))
     df = df.withColumn("_terms", F.expr("filter(transform(lexical_terms, t -> lower(regexp_replace(trim(t), '\\\\s+', ' '))), t -> t <> '')"))

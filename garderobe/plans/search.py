@@ -12,6 +12,7 @@ from garderobe.operators.cells import profile_candidates
 from garderobe.operators.diversity import interleave
 from garderobe.operators.filters import active
 from garderobe.plans import feed
+from garderobe.session import stage
 from garderobe.values import CANDIDATE_CAP, SEMANTIC_TOP_K
 
 
@@ -84,7 +85,7 @@ def batch_search(queries: DataFrame, users: DataFrame, catalog: DataFrame, sourc
                  query_vectors: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, position, listing_id, score, relevance) for queries (query_id, user_id, text)."""
     live = feed.live_catalog(catalog, sources, now_ms)
-    plans = plan_queries(queries, catalog, other_parse, explicit)
+    plans = stage(plan_queries(queries, catalog, other_parse, explicit), "search-plans")
     pools = query_pools(plans, live)
     found = relevance(plans, pools, live, query_vectors, vectors)
     searchers = queries.select("query_id", "user_id").join(users, "user_id").withColumns({

@@ -40,7 +40,7 @@ def tag_list(tags: Column) -> Column:
 
 def labelled_variants() -> Column:
     """Variants as (label, available, price): the size option's value, else a variant title that looks like a size."""
-    at = F.expr("filter(options, o -> o.name rlike '(?i)size')[0].position")
+    at = F.expr("get(filter(options, o -> o.name rlike '(?i)size'), 0).position")
     return F.expr(f"""transform(variants, v -> named_struct(
         'label', trim(coalesce(nullif(case _size_at when 1 then v.option1 when 2 then v.option2 when 3 then v.option3 end, ''),
                  if(v.title <> 'Default Title' and trim(v.title) rlike '{SIZE_LABEL.replace(chr(92), chr(92) * 2)}', v.title, null))),
