@@ -148,8 +148,7 @@ def batch_feed(users: DataFrame, catalog: DataFrame, sources: DataFrame, now_ms:
     rows = ranked(scored_pairs(users, live, pools(users, live, cap), now_ms, taste, vectors))
     if external is not None:
         rows = apply_rerank(rows, external)
-    placed = interleave(rows, "user_id")
-    return placed.join(rows, ["user_id", "listing_id"])
+    return interleave(rows, "user_id")
 
 
 def feed_page(feed: DataFrame, offset: int, limit: int) -> DataFrame:

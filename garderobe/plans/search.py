@@ -96,5 +96,4 @@ def batch_search(queries: DataFrame, users: DataFrame, catalog: DataFrame, sourc
     rows = pairs.join(found.withColumnRenamed("query_id", "user_id"), ["user_id", "listing_id"])
     rows = rows.withColumn("score", F.when(F.col("relevance").isNull(), F.col("score")).otherwise(
         F.round(S.blend_search(F.col("relevance"), F.col("score")), feed.SCORE_DIGITS)))
-    ranked = feed.ranked(rows)
-    return interleave(ranked, "user_id").join(ranked, ["user_id", "listing_id"]).withColumnRenamed("user_id", "query_id")
+    return interleave(feed.ranked(rows), "user_id").withColumnRenamed("user_id", "query_id")

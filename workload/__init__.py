@@ -4,5 +4,5 @@ import importlib
 
 from workload.registry import ORACLES, QUERIES
 
-for _area in ("events", "catalog", "ranking", "maintenance", "search", "products"):
+for _area in ("events", "catalog", "ranking", "maintenance", "search", "products", "streams"):
     importlib.import_module(f"workload.{_area}")
