@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from garderobe.llm import attribution, bpe, mixing, token_files
+from garderobe.llm import attribution, bpe, minhash, mixing, token_files
 
 QUERIES = {
     "op4_systematic_mix": mixing.mix_query,
     "op5_byte_bpe": bpe.bpe_query,
     "op7_token_attribution": attribution.attribution_query,
+    "op9_minhash_dedup": minhash.minhash_query,
     "op10_token_files": token_files.token_files_query,
 }
 ORACLES = {"op4_systematic_mix": mixing.MIX_SQL}
