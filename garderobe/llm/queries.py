@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from garderobe.llm import attribution, bpe, minhash, mixing, token_files
+from garderobe.llm import attribution, bpe, fuzzy, minhash, mixing, pages, preferences, quality, token_files, toxicity
 
 QUERIES = {
+    "op1_mcd_quality": quality.quality_query,
+    "op2_style_tree_text": pages.pages_query,
+    "op3_preference_pairs": preferences.preferences_query,
     "op4_systematic_mix": mixing.mix_query,
     "op5_byte_bpe": bpe.bpe_query,
+    "op6_fm_toxicity": toxicity.toxicity_query,
     "op7_token_attribution": attribution.attribution_query,
+    "op8_fuzzy_hash": fuzzy.fuzzy_query,
     "op9_minhash_dedup": minhash.minhash_query,
     "op10_token_files": token_files.token_files_query,
 }
-ORACLES = {"op4_systematic_mix": mixing.MIX_SQL}
+ORACLES = {"op3_preference_pairs": preferences.PREFERENCES_SQL, "op4_systematic_mix": mixing.MIX_SQL}

@@ -17,8 +17,8 @@ from garderobe.llm.pieces import Pieces, slices
 
 SAMPLE = 4_000  # most labelled texts of each class that the model is fitted on
 MOST_TERMS = 20_000  # most terms of the model: with their factors they bound what is sent to every executor
-LEAST_DOCS, LEAST_Z = 3, 3.5  # a term is learned if so many texts have it and the classes differ in it so clearly
-PREFIXES = (4, 5, 6)
+LEAST_DOCS, LEAST_Z = 3, 3.0  # a term is learned if so many texts have it and the classes differ in it so clearly
+PREFIXES = (3, 4, 5, 6, 7, 8)
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.1, 1e-4
 CUT = 0.7
