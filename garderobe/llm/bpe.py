@@ -182,18 +182,18 @@ def lossy(data: bytes) -> bytes:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids``, ``decoded`` if asked) for every row of ``docs``.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids``, if asked) for every row of ``docs``.
 
     A null or empty text has no tokens and decodes to the empty text. Repeated rows each give a row; a null ``doc_id`` stays null;
     other columns are left out, whatever their names. An empty table gives an empty result.
     """
     path = path or public_tokenizers.path(VOCABULARY)
-    schema = SCHEMA + (", ids array<int>, decoded string" if with_ids else "")
+    schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            n, hashes, decoded, kept, texts = [], [], [], [], []
+            n, hashes, decoded, kept = [], [], [], []
             for run in slices(batch.column("text").to_pylist()):
                 ids, counts = vocab.encode(run)
                 at = 0
@@ -206,12 +206,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                     decoded.append(hashlib.sha256(back).hexdigest())
                     if with_ids:
                         kept.append(own.astype(np.int32))
-                        texts.append(back.decode())
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array(kept, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array(kept, pa.list_(pa.int32())))
+                names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select("doc_id", "text").mapInArrow(rows, schema)

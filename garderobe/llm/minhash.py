@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from garderobe.llm.components import connected
@@ -216,3 +216,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = PER_CENT) -
 
 def minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), per_cent=85)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, per_cent: int = PER_CENT) -> DataFrame:
+    """The rows of ``docs`` of which no other is a near duplicate with a lesser id; of rows that repeat an id, the one with the least text.
+
+    Rows with a null ``doc_id`` all stay.
+    """
+    gone = near_duplicates(docs, words, per_cent).filter("not kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeats = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("doc_id")
+    if repeats.isEmpty():
+        return left
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    again = left.join(repeats, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).filter("_nth = 1")
+    return left.join(repeats, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))

@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from garderobe.llm.pieces import Pieces, slices
 
@@ -153,22 +154,21 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     return fit(hashes, table.column("toxic").to_numpy()[order].astype(np.int64))
 
 
-def score_texts(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id and score of every row; a null or empty text has the score of a text without terms."""
-    sent, name = docs.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
+def with_score(docs: DataFrame, machine: Machine, name: str = "score", keep_text: bool = True) -> DataFrame:
+    """All columns of ``docs`` (without the text, if it is not to be kept) and the score of every row's text."""
+    sent, model = docs.sparkSession.sparkContext.broadcast(machine), uuid.uuid4().hex
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _SCORER:
+        if model not in _SCORER:
             _SCORER.clear()
-            _SCORER[name] = Scorer(sent.value)
+            _SCORER[model] = Scorer(sent.value)
         for batch in batches:
-            scores = [s for run in slices(batch.column("text").to_pylist()) for s in _SCORER[name].scores(run)]
-            yield batch.drop_columns(["text"]).append_column("score", pa.array(scores, pa.float64()))
+            scores = [s for run in slices(batch.column("text").to_pylist()) for s in _SCORER[model].scores(run)]
+            yield (batch if keep_text else batch.drop_columns(["text"])).append_column(name, pa.array(scores, pa.float64()))
 
-    rest = [c for c in docs.columns if c not in ("text", "score")]
-    fields = [docs.schema[c] for c in rest]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
-    return docs.select(*rest, "text").mapInArrow(rows, schema)
+    kept = docs.schema if keep_text else docs.drop("text").schema
+    ordered = docs.drop(name) if name in docs.columns else docs
+    return ordered.mapInArrow(rows, StructType([f for f in kept if f.name != name] + [StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held out. Without labels of both classes the score is the share of toxic ones, 0.5 without any. An empty table gives an
     empty result; other columns are left out.
     """
-    scored = score_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learn(docs, labels))
+    scored = with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learn(docs, labels), keep_text=False)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
