@@ -65,22 +65,23 @@ def allocate(ends: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray
     ``ends`` are the places where tokens end; spans ascend and do not overlap. A token belongs to the section that has most of its
     bytes, of equals to the first; a token without a byte in any section is a gap token.
     """
-    counts = np.zeros(len(spans), np.int64)
-    starts = np.concatenate(([0], ends[:-1]))
-    if not len(ends) or not spans:
+    counts, starts = np.zeros(len(spans), np.int64), np.concatenate(([0], ends[:-1]))
+    filled = [k for k, (begin, end) in enumerate(spans) if end > begin]
+    if not len(ends) or not filled:
         return counts, len(ends), 0
-    opens, closes = np.array(spans, np.int64).T
+    opens, closes = np.array(spans, np.int64)[filled].T
+    place = np.array(filled)
     first = np.searchsorted(closes, starts, side="right")  # the first section that ends after the token begins
     last = np.searchsorted(opens, ends, side="left") - 1  # the last one that begins before the token ends
     inside = first == last
-    np.add.at(counts, first[inside], 1)
+    np.add.at(counts, place[first[inside]], 1)
     gap = int((first > last).sum())
     crossing = 0
     for k in np.flatnonzero(first < last).tolist():
         own = np.arange(first[k], last[k] + 1)
         shared = np.minimum(closes[own], ends[k]) - np.maximum(opens[own], starts[k])
         if shared.max() > 0:
-            counts[own[int(shared.argmax())]] += 1
+            counts[place[own[int(shared.argmax())]]] += 1
             crossing += int((shared > 0).sum() > 1)
         else:
             gap += 1
