@@ -111,8 +111,8 @@ def swiped_vectors(swipes: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def already_listed(urls: DataFrame, listings: DataFrame) -> DataFrame:
-    """Adds ``in_catalog`` and the listing found by its URL."""
-    known = listings.select(F.col("source_url").alias("url"), F.col("listing_id").alias("found_id"))
+    """Adds ``in_catalog`` and the listing found by its URL; of several with one URL, the least."""
+    known = listings.groupBy(F.col("source_url").alias("url")).agg(F.min("listing_id").alias("found_id"))
     return urls.join(known, "url", "left").withColumn("in_catalog", F.col("found_id").isNotNull())
 
 

@@ -8,20 +8,17 @@ from pyspark.sql import functions as F
 from garderobe.functions.hashing import error_fingerprint
 
 HOUR_MS = 3_600_000
-MESSAGE_MAX = 500
-STACK_MAX = 4000
 MAX_GROUPS = 500
 MAX_AGE_MS = 30 * 24 * HOUR_MS
 SPIKE_THRESHOLD = 20
 
 
 def fingerprinted(events: DataFrame) -> DataFrame:
-    message = F.when(F.coalesce("message", F.lit("")) == "", "unknown error").otherwise(F.col("message"))
-    text = F.substring(message, 1, MESSAGE_MAX)
+    text = F.when(F.coalesce("message", F.lit("")) == "", "unknown error").otherwise(F.col("message"))
     return events.withColumns({
         "stack_hash": error_fingerprint(F.col("route"), text, F.col("stack")),
         "message": text,
-        "stack": F.when(F.col("stack") != "", F.substring("stack", 1, STACK_MAX)),
+        "stack": F.when(F.col("stack") != "", F.col("stack")),
         "hour_bucket": F.floor(F.col("ts_ms") / HOUR_MS),
     })
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,15 +39,33 @@ def build_session(app: str = "garderobe", cores: int | str = "*", partitions: in
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings every plan relies on (UTC instants)."""
+    """Runtime settings every plan relies on (UTC instants), and the package on the workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per application: they may start in any folder of any machine."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package, archive = os.path.dirname(os.path.abspath(__file__)), os.path.join(tempfile.mkdtemp(prefix="garderobe-"), "garderobe.zip")  # served by the driver as long as it runs
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for place, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        out.write(os.path.join(place, name), os.path.relpath(os.path.join(place, name), os.path.dirname(package)))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
-    ``spark.checkpoint.dir`` names it on a cluster; a local folder is used only where nothing is set, as in tests.
+    ``spark.checkpoint.dir`` names it on a cluster; a local folder is used only where nothing is set and the master is local, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -54,6 +73,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="garderobe-")
     spark.sparkContext.setCheckpointDir(local)
     return local

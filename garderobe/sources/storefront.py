@@ -11,7 +11,6 @@ from garderobe.functions.hints import text_hints
 from garderobe.functions.markup import strip_html
 from garderobe.functions.money import half_up
 
-DESCRIPTION_MAX = 2000
 PRODUCT = (
     "id long, title string, handle string, body_html string, vendor string, product_type string, tags string, "
     "options array<struct<name:string,position:int>>, "
@@ -86,7 +85,7 @@ def raw_listings(payloads: DataFrame, stores: DataFrame, seen_ms: int, excluded:
         F.concat(F.lit("https://"), "domain", F.lit("/products/"), "handle").alias("source_url"),
         F.lit(None).cast("string").alias("affiliate_url"),
         strip_html(F.col("title")).alias("title"),
-        F.nullif(F.substring(strip_html(F.col("body_html")), 1, DESCRIPTION_MAX), F.lit("")).alias("description"),
+        F.nullif(strip_html(F.col("body_html")), F.lit("")).alias("description"),
         resolved_brand(vendor, F.col("display_name"), F.col("brand_name"), F.col("brand_mode"), F.col("known_brands")).alias("brand"),
         half_up(F.col("_price") * 100).alias("price_cents"),
         F.coalesce("currency", F.lit("USD")).alias("currency"),

@@ -158,8 +158,16 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Part key a given event points at; some keys are not in the catalog, as in a real feed.
-EVENT_LISTING = "concat('p', (event_id * 37 + user_id) % 2500)"
+def key_count(spark: SparkSession, sf_dir: str, table: str, key: str) -> int:
+    """Keys of a table count from 0; one number reaches the driver."""
+    return (read(spark, sf_dir, table).agg(F.max(key)).first()[0] or 0) + 1
+
+
+def event_listing(spark: SparkSession, sf_dir: str) -> str:
+    """Listing a given event points at; a fifth of the keys are not in the catalog, as in a real feed."""
+    return f"concat('p', (event_id * 37 + user_id) % {key_count(spark, sf_dir, 'part', 'p_partkey') * 5 // 4})"
+
+
 EVENT_TIMES = ["unix_millis(cast(ts as timestamp)) as created_ms", "cast(ts as timestamp) as ts"]
 PROP_K = "cast(get_json_object(props, '$.k') as int)"
 
@@ -167,7 +175,7 @@ PROP_K = "cast(get_json_object(props, '$.k') as int)"
 def swipes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     events = read(spark, sf_dir, "events") if events is None else events
     return events.selectExpr(
-        "event_id as swipe_id", "user_id", f"{EVENT_LISTING} as listing_id",
+        "event_id as swipe_id", "user_id", f"{event_listing(spark, sf_dir)} as listing_id",
         "case when event_type in ('view', 'purchase') then 'like' when event_type = 'click' then 'save' "
         "when event_type = 'signup' then 'dislike' else 'skip' end as verdict",
         *EVENT_TIMES,
@@ -178,7 +186,7 @@ def clicks(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) ->
     """Raw outbound clicks: (click_id, listing_id, user_id, created_ms)."""
     events = read(spark, sf_dir, "events") if events is None else events
     return events.filter("event_type = 'click'").selectExpr(
-        "event_id as click_id", f"{EVENT_LISTING} as listing_id", "if(event_id % 4 <> 0, user_id, null) as user_id",
+        "event_id as click_id", f"{event_listing(spark, sf_dir)} as listing_id", "if(event_id % 4 <> 0, user_id, null) as user_id",
         *EVENT_TIMES,
     )
 

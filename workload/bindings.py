@@ -157,13 +157,16 @@ SELECT user_id, tag, w FROM (SELECT c_custkey AS user_id, unnest(['length:midi',
   AS tag, unnest([((c_custkey % 5) - 2) * 0.4::DOUBLE, ((c_custkey % 7) - 3) * 0.3::DOUBLE,
   ((c_custkey % 3) - 1) * 0.6::DOUBLE, 0.5::DOUBLE]) AS w FROM customer WHERE c_custkey % 9 <> 0)""")
 
-CTES["swipes"] = ([], """
-SELECT event_id AS swipe_id, user_id, 'p' || ((event_id * 37 + user_id) % 2500) AS listing_id,
+EVENT_LISTING = "'p' || ((event_id * 37 + user_id) % ((SELECT max(p_partkey) + 1 FROM part) * 5 // 4))"
+OWNED = "(SELECT *, listing_key % (SELECT max(c_custkey) + 1 FROM customer) AS owner FROM listings)"
+
+CTES["swipes"] = ([], f"""
+SELECT event_id AS swipe_id, user_id, {EVENT_LISTING} AS listing_id,
   CASE WHEN event_type IN ('view', 'purchase') THEN 'like' WHEN event_type = 'click' THEN 'save'
     WHEN event_type = 'signup' THEN 'dislike' ELSE 'skip' END AS verdict, epoch_us(ts) // 1000 AS created_ms FROM events""")
 
-CTES["clicks"] = ([], """
-SELECT event_id AS click_id, 'p' || ((event_id * 37 + user_id) % 2500) AS listing_id,
+CTES["clicks"] = ([], f"""
+SELECT event_id AS click_id, {EVENT_LISTING} AS listing_id,
   CASE WHEN event_id % 4 <> 0 THEN user_id END AS user_id, epoch_us(ts) // 1000 AS created_ms
 FROM events WHERE event_type = 'click'""")
 
@@ -211,7 +214,8 @@ SELECT o_orderkey AS run_id, {source_of('(o_custkey % 25)')} AS source_id, epoch
 
 
 def sql(body: str, *needs: str, **extra: str) -> str:
-    """``body`` with the CTEs it needs, dependencies first; ``extra`` adds query-local CTEs in order."""
+    """``body`` with the CTEs it needs, dependencies first; ``extra`` adds query-local CTEs in order. {OWNED}: listings with their user."""
+    body, extra = body.replace("{OWNED}", OWNED), {name: cte.replace("{OWNED}", OWNED) for name, cte in extra.items()}
     done: list[str] = []
 
     def add(name: str) -> None:

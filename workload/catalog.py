@@ -126,7 +126,7 @@ SELECT user_id, listing_id, CASE WHEN len(sizes) = 0 OR len(size_labels) = 0 THE
   WHEN open THEN 'in_your_size' ELSE 'listed_sold_out' END AS verdict
 FROM (SELECT u.user_id, l.*, u.sizes, EXISTS (SELECT 1 FROM lab WHERE lab.listing_id = l.listing_id
     AND list_has_any(u.sizes, lab.one) AND in_stock) AS open
-  FROM users u JOIN listings l ON l.listing_key = u.user_id)""", "listings", "users", lab="""
+  FROM users u JOIN {OWNED} l ON l.owner = u.user_id)""", "listings", "users", lab="""
 SELECT listing_id, CASE WHEN lbl IN ('S') THEN [4, 6] WHEN lbl = 'M' THEN [8, 10] WHEN lbl = 'XL' THEN [16]
     WHEN lbl = '1X' THEN [16, 18] WHEN lbl = 'L+' THEN [12, 14] WHEN lbl = 'OS' THEN [] WHEN n > 26 THEN []
     WHEN n % 2 = 0 THEN [n] ELSE [n - 1, n + 1] END AS one, (listing_key + i - 1) % 3 <> 0 AS in_stock
@@ -134,7 +134,7 @@ FROM (SELECT listing_id, listing_key, i, lbl, TRY_CAST(replace(lbl, 'US ', '') A
   FROM (SELECT listing_id, listing_key, unnest(size_labels) AS lbl, unnest(range(1, len(size_labels) + 1)) AS i FROM listings))"""))
 def _(spark, d):
     u, l = T.users(spark, d), T.listings(spark, d)
-    return u.join(l, u.user_id == l.listing_key).select(
+    return u.join(l, u.user_id == l.listing_key % T.key_count(spark, d, "customer", "c_custkey")).select(
         "user_id", "listing_id",
         Z.size_verdict(F.col("sizes"), F.col("size_labels"), F.col("availability")).alias("verdict"))
 
@@ -146,7 +146,7 @@ SELECT user_id, listing_id, CASE WHEN len(sizes) = 0 THEN true ELSE coalesce(mea
 FROM (SELECT u.user_id, u.sizes, l.listing_id, l.size_normalized, l.is_vintage,
     CASE WHEN bust IS NOT NULL AND body_bust IS NOT NULL THEN
       bust BETWEEN body_bust - 1 AND body_bust + ease + 2 AND waist BETWEEN body_waist - 1 AND body_waist + ease + 2 END AS measured
-  FROM users u JOIN listings l ON l.listing_key = u.user_id JOIN
+  FROM users u JOIN {OWNED} l ON l.owner = u.user_id JOIN
    (SELECT *, CASE coalesce(silhouette, 'other') WHEN 'bodycon' THEN 1.0 WHEN 'sheath' THEN 1.5 WHEN 'slip' THEN 1.5
       WHEN 'a_line' THEN 2.5 WHEN 'wrap' THEN 2.5 ELSE 2.0 END AS ease FROM attrs) a ON a.listing_id = l.listing_id)""",
                                  "listings", "users", "attrs"))
@@ -154,7 +154,7 @@ def _(spark, d):
     u, l = T.users(spark, d), T.candidates(spark, d)
     fits = Z.size_compatible(F.col("size_normalized"), F.col("is_vintage"), F.col("measurements"), F.col("silhouette"),
                              F.col("sizes"), F.col("body"))
-    return u.join(l, u.user_id == l.listing_key).select("user_id", "listing_id", fits.alias("fits"))
+    return u.join(l, u.user_id == l.listing_key % T.key_count(spark, d, "customer", "c_custkey")).select("user_id", "listing_id", fits.alias("fits"))
 
 
 # --- ordering and caps -----------------------------------------------------------------------------------------

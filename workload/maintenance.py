@@ -7,7 +7,7 @@ from garderobe.functions import brands as B
 from garderobe.operators.joins import first_images
 from garderobe.plans import cleanup, errors, extract, ingest, lengths, profiles, reconcile, verify
 from garderobe.sources import tables as T
-from workload.bindings import DAY, HOUR, NOW, pick, source_of, sql
+from workload.bindings import DAY, EVENT_LISTING, HOUR, NOW, pick, source_of, sql
 from workload.registry import query
 
 BATCH_MS = 996624000000  # 2001-08-01
@@ -342,12 +342,12 @@ def _(spark, d):
 
 def toggles(spark, d):
     return T.read(spark, d, "events").selectExpr(
-        "event_id as toggle_id", "user_id", "if(event_id % 11 = 0, null, concat('p', event_id % 5)) as listing_id",
+        "event_id as toggle_id", "user_id", f"if(event_id % 11 = 0, null, {T.event_listing(spark, d)}) as listing_id",
         "if(event_type = 'view', 'price_drop', 'low_stock') as kind", "event_id % 3 <> 0 as enabled", "if(event_id % 4 = 0, concat('q', event_id), null) as search",
         "unix_millis(cast(ts as timestamp)) as created_ms")
 
 
-TOGGLES = """SELECT event_id AS toggle_id, user_id, CASE WHEN event_id % 11 <> 0 THEN 'p' || (event_id % 5) END AS listing_id,
+TOGGLES = f"""SELECT event_id AS toggle_id, user_id, CASE WHEN event_id % 11 <> 0 THEN {EVENT_LISTING} END AS listing_id,
   CASE WHEN event_type = 'view' THEN 'price_drop' ELSE 'low_stock' END AS kind, event_id % 3 <> 0 AS enabled, CASE WHEN event_id % 4 = 0 THEN 'q' || event_id END AS search,
   epoch_us(ts) // 1000 AS created_ms FROM events"""
 ALERTS = """SELECT user_id, listing_id, kind, arg_max(enabled, ord) AS enabled, arg_max(search, ord) FILTER (search IS NOT NULL) AS search, min(created_ms) AS created_ms,

@@ -4,13 +4,12 @@ from pyspark.sql import functions as F
 
 from garderobe.functions import markup as M
 from garderobe.functions.model_info import model_info
-from garderobe.operators.ranking import top_n
 from garderobe.plans import deck, feed, fit, ledger, seasons
 from garderobe.session import scratch_path, stage
 from garderobe.sources import crawl, marketplace, storefront, structured_pages
 from garderobe.sources import events as EV
 from garderobe.sources import tables as T
-from workload.bindings import NOW, pick, sql
+from workload.bindings import NOW, OWNED, pick, sql
 from workload.registry import query
 
 K = "p_partkey"
@@ -169,7 +168,7 @@ def _(spark, d):
   CASE WHEN doc_id % 4 = 0 THEN 'S' WHEN doc_id % 4 = 2 THEN 'US 4' END AS size_worn FROM documents"""))
 def _(spark, d):
     said = F.expr("element_at(array('. The model is 5''8\" tall and wears a size small', '. Mannequin height: 5 ft 9 in', '. She is 178 cm tall, wearing size US 4', '. Length: 5''9\" approx'), cast(doc_id % 4 + 1 as int))")
-    rows = T.read(spark, d, "documents").select("doc_id", model_info(F.concat(F.regexp_replace("text", "[0-9]|(?i)model|size|she|wear", ""), said)).alias("m"))
+    rows = T.read(spark, d, "documents").select("doc_id", model_info(F.concat("text", said)).alias("m"))
     return rows.select("doc_id", "m.height", "m.size_worn")
 
 
@@ -238,11 +237,11 @@ def _(spark, d):
 
 
 # --- fit, decks ------------------------------------------------------------------------------------------------
-@query("fit_rows", sql("""SELECT user_id, in_catalog, verdict AS size_match FROM (SELECT u.user_id, u.user_id % 2 = 0 AS in_catalog, CASE WHEN len(sizes) = 0 THEN 'unknown' WHEN NOT list_has_any(sizes, [8, 10])
-  THEN 'not_listed' WHEN u.user_id % 3 = 0 THEN 'listed_sold_out' ELSE 'in_your_size' END AS verdict FROM users u JOIN listings ON listing_key = u.user_id)""", "users", "listings"))
+@query("fit_rows", sql("""SELECT user_id, in_catalog, verdict AS size_match FROM (SELECT u.user_id, l.listing_key % 2 = 0 AS in_catalog, CASE WHEN len(sizes) = 0 THEN 'unknown' WHEN NOT list_has_any(sizes, [8, 10])
+  THEN 'not_listed' WHEN l.listing_key % 3 = 0 THEN 'listed_sold_out' ELSE 'in_your_size' END AS verdict FROM users u JOIN """ + OWNED + """ l ON l.owner = u.user_id)""", "users", "listings"))
 def _(spark, d):
     c = T.candidates(spark, d)
-    asked = c.selectExpr("listing_key as check_id", "listing_key as user_id", "if(listing_key % 2 = 0, concat(source_url, '&utm_medium=x#frag'), 'https://else.example.com/x') as url",
+    asked = c.selectExpr("listing_key as check_id", f"listing_key % {T.key_count(spark, d, 'customer', 'c_custkey')} as user_id", "if(listing_key % 2 = 0, concat(source_url, '&utm_medium=x#frag'), 'https://else.example.com/x') as url",
                          "array('M') as size_labels", "map('M', listing_key % 3 <> 0) as availability", "length_inches", "length_class", "length_basis")
     return fit.fit_rows(asked, T.users(spark, d), c).select("user_id", "in_catalog", "size_match")
 
@@ -266,18 +265,11 @@ def _(spark, d):
     return deck.completion(T.swipes(spark, d))
 
 
-EXCL = """SELECT user_id, kind, value FROM (SELECT user_id, unnest(['silhouette', 'color']) AS kind, unnest([silhouette, families[1]]) AS value, verdict IN ('like', 'save') AS up FROM few JOIN attrs USING (listing_id))
+EXCL = """SELECT user_id, kind, value FROM (SELECT user_id, unnest(['silhouette', 'color']) AS kind, unnest([silhouette, families[1]]) AS value, verdict IN ('like', 'save') AS up FROM swipes JOIN attrs USING (listing_id))
   WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) FILTER (NOT up) >= 2 AND count(*) FILTER (up) = 0"""
-FEW = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_ms DESC, swipe_id DESC) AS rn FROM swipes) WHERE rn <= 10"
-
-
-def few_swipes(spark, d):
-    return top_n(T.swipes(spark, d), ["user_id"], [F.desc("created_ms"), F.desc("swipe_id")], 10)
-
-
-@query("deck_exclusions", sql(EXCL, "swipes", "attrs", few=FEW))
+@query("deck_exclusions", sql(EXCL, "swipes", "attrs"))
 def _(spark, d):
-    return deck.exclusions(few_swipes(spark, d), T.candidates(spark, d))
+    return deck.exclusions(T.swipes(spark, d), T.candidates(spark, d))
 
 
 @query("calibration_deck")
@@ -285,7 +277,7 @@ def _(spark, d):
     users, catalog = T.users(spark, d), T.candidates(spark, d)
     live = feed.live_catalog(catalog, T.sources(spark, d), NOW)
     ranked = feed.ranked(feed.scored_pairs(users, live, feed.pools(users, live), NOW))
-    swipes = few_swipes(spark, d)
+    swipes = T.swipes(spark, d)
     return deck.calibration_deck(ranked, catalog, deck.exclusions(swipes, catalog), swipes)
 
 

@@ -12,7 +12,7 @@ from garderobe.operators.diversity import spread_report
 from garderobe.operators.ranking import top_n
 from garderobe.plans import feed, rack, similar, taste
 from garderobe.sources import tables as T
-from workload.bindings import HOUR, NOW, sql
+from workload.bindings import HOUR, NOW, OWNED, sql
 from workload.registry import query
 
 PRIOR = ("CASE length_class WHEN 'micro' THEN 30 WHEN 'mini' THEN 33 WHEN 'above_knee' THEN 36 WHEN 'knee' THEN 39 "
@@ -28,13 +28,13 @@ FROM (SELECT *, above / eff AS r FROM (SELECT *, 0.82::DOUBLE * eff - coalesce(l
   (SELECT *, height_inches + heel_inches * 0.85::DOUBLE AS eff FROM ({pairs}))))"""
 
 
-PAIRS = "SELECT u.*, a.* FROM users u JOIN listings l ON l.listing_key = u.user_id JOIN attrs a ON a.listing_id = l.listing_id"
+PAIRS = f"SELECT u.*, a.* FROM users u JOIN {OWNED} l ON l.owner = u.user_id JOIN attrs a ON a.listing_id = l.listing_id"
 
 
 def own_pairs(spark, d):
-    """Each user with the listing of the same key: every user and every listing once."""
+    """Each listing with a user, by its key modulo the number of users: every listing once, every user if there are listings enough."""
     u, c = T.users(spark, d), T.candidates(spark, d)
-    return u.join(c, u.user_id == c.listing_key)
+    return u.join(c, u.user_id == c.listing_key % T.key_count(spark, d, "customer", "c_custkey"))
 
 
 @query("hem_positions", sql("SELECT user_id, listing_id, position, floor(above * 100 + 0.5) / 100 AS above_floor, basis, "
@@ -106,7 +106,7 @@ PARTS = dict(rgb=RGB, lc=LISTING_COLORS, ch=COLOR_HITS)
 
 
 @query("attribute_similarity", sql("SELECT user_id, listing_id, round(sim, 6) AS sim FROM sims", "users", "listings", "tags",
-                                   "style_tags", pairs="SELECT user_id, listing_id FROM users JOIN listings ON listing_key = user_id",
+                                   "style_tags", pairs="SELECT user_id, listing_id FROM users JOIN {OWNED} ON owner = user_id",
                                    sims=SIM))
 def _(spark, d):
     return own_pairs(spark, d).select("user_id", "listing_id", F.round(
@@ -116,7 +116,7 @@ def _(spark, d):
 @query("palette_boosts", sql("""SELECT user_id, listing_id, round(CASE WHEN len(palette) > 0 AND n > 0 THEN 1 + 0.25::DOUBLE * hits / n
   ELSE 1 END, 6) AS boost, coalesce(hits, 0) > 0 AS hit FROM pairs JOIN users USING (user_id) LEFT JOIN pal USING (user_id, listing_id)""",
                              "users", "listings", **PARTS,
-                             pairs="SELECT user_id, listing_id FROM users JOIN listings ON listing_key = user_id", pal=PALETTE))
+                             pairs="SELECT user_id, listing_id FROM users JOIN {OWNED} ON owner = user_id", pal=PALETTE))
 def _(spark, d):
     return own_pairs(spark, d).select(
         "user_id", "listing_id", F.round(S.palette_boost(F.col("palette"), F.col("colors")), 6).alias("boost"),
@@ -206,7 +206,7 @@ FROM (SELECT *, a IS NOT NULL AND b IS NOT NULL AS two FROM (SELECT h.user_id, h
   hit || ' is in your palette' AS b, replace(silhouette, '_', ' ') || ' shape suits your saved styles' AS c FROM hems h JOIN listings l
   ON l.listing_id = h.listing_id LEFT JOIN (SELECT user_id, listing_id, arg_min(color, ord) AS hit FROM (SELECT u.user_id, lc.listing_id, color,
     CASE color WHEN 'ivory' THEN 1 WHEN 'navy' THEN 2 WHEN 'blue' THEN 3 WHEN 'emerald' THEN 4 WHEN 'rust' THEN 5 ELSE 6 END AS ord
-    FROM users u JOIN listings x ON x.listing_key = u.user_id JOIN lc ON lc.listing_id = x.listing_id WHERE list_contains(u.palette, lc.color))
+    FROM users u JOIN {OWNED} x ON x.owner = u.user_id JOIN lc ON lc.listing_id = x.listing_id WHERE list_contains(u.palette, lc.color))
     GROUP BY ALL) k ON k.user_id = h.user_id AND k.listing_id = h.listing_id))""", "users", "listings", "attrs", hems=hem_sql(PAIRS), lc=LISTING_COLORS))
 def _(spark, d):
     h = H.hem(F.col("length_inches"), F.col("length_class"), F.col("height_inches"), F.col("heel_inches"))
@@ -395,11 +395,11 @@ def _(spark, d):
 
 @query("save_state", sql("""SELECT user_id, listing_id, min(created_ms) AS saved_ms FROM acts a WHERE act = 'save' AND NOT EXISTS (SELECT 1 FROM acts b
   WHERE b.user_id = a.user_id AND b.listing_id = a.listing_id AND b.act = 'unsave' AND (b.created_ms, b.swipe_id) > (a.created_ms, a.swipe_id))
-  GROUP BY ALL""", "swipes", acts="SELECT user_id, 'p' || (swipe_id % 7) AS listing_id, swipe_id, created_ms, CASE WHEN verdict IN ('save', 'like') "
+  GROUP BY ALL""", "swipes", acts="SELECT user_id, listing_id, swipe_id, created_ms, CASE WHEN verdict IN ('save', 'like') "
                                   "THEN 'save' ELSE 'unsave' END AS act FROM swipes"))
 def _(spark, d):
     acts = T.swipes(spark, d).select(
-        "user_id", F.concat(F.lit("p"), (F.col("swipe_id") % 7).cast("string")).alias("listing_id"), "created_ms",
+        "user_id", "listing_id", "created_ms",
         F.col("swipe_id").alias("action_id"), F.when(F.col("verdict").isin("save", "like"), "save").otherwise("unsave").alias("action"))
     return rack.save_state(acts)
 

@@ -63,10 +63,9 @@ def _(spark, d):
 
 
 def asked(spark, d):
-    """Searches by the users whose key equals the part key."""
+    """Every search text, asked by the user with its key modulo the number of users."""
     users = T.users(spark, d)
-    q = texts(spark, d).select("query_id", "text").withColumn("user_id", F.col("query_id"))
-    return q.join(users.select("user_id"), "user_id", "left_semi"), users
+    return texts(spark, d).select("query_id", "text").withColumn("user_id", F.col("query_id") % T.key_count(spark, d, "customer", "c_custkey")), users
 
 
 QPOOL = """SELECT query_id, count(*) AS n FROM (SELECT query_id, listing_id FROM q JOIN live l ON (q.lo IS NULL OR usd_cents >= q.lo) AND (q.hi IS NULL OR usd_cents <= q.hi)
@@ -75,8 +74,7 @@ QPOOL = """SELECT query_id, count(*) AS n FROM (SELECT query_id, listing_id FROM
 
 
 @query("search_pools", sql("SELECT query_id, least(n, 500) AS n FROM qp", "listings", "attrs", "sources", live=LIVE, parsed=PARSED,
-                           q="SELECT query_id, price_min_cents AS lo, price_max_cents AS hi, sizes AS size, brands AS brand, length_classes AS lens FROM parsed "
-                             "WHERE query_id IN (SELECT c_custkey FROM customer)", qp=QPOOL))
+                           q="SELECT query_id, price_min_cents AS lo, price_max_cents AS hi, sizes AS size, brands AS brand, length_classes AS lens FROM parsed", qp=QPOOL))
 def _(spark, d):
     q, _ = asked(spark, d)
     catalog = T.candidates(spark, d)
