@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from garderobe.llm import attribution, bpe, fuzzy, minhash, mixing, pages, preferences, quality, token_files, toxicity
+from garderobe.session import prepare
+
+
+def prepared(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run(prepare(spark), sf_dir)
+
 
 QUERIES = {
-    "op1_mcd_quality": quality.quality_query,
-    "op2_style_tree_text": pages.pages_query,
-    "op3_preference_pairs": preferences.preferences_query,
-    "op4_systematic_mix": mixing.mix_query,
-    "op5_byte_bpe": bpe.bpe_query,
-    "op6_fm_toxicity": toxicity.toxicity_query,
-    "op7_token_attribution": attribution.attribution_query,
-    "op8_fuzzy_hash": fuzzy.fuzzy_query,
-    "op9_minhash_dedup": minhash.minhash_query,
-    "op10_token_files": token_files.token_files_query,
+    "op1_mcd_quality": prepared(quality.quality_query),
+    "op2_style_tree_text": prepared(pages.pages_query),
+    "op3_preference_pairs": prepared(preferences.preferences_query),
+    "op4_systematic_mix": prepared(mixing.mix_query),
+    "op5_byte_bpe": prepared(bpe.bpe_query),
+    "op6_fm_toxicity": prepared(toxicity.toxicity_query),
+    "op7_token_attribution": prepared(attribution.attribution_query),
+    "op8_fuzzy_hash": prepared(fuzzy.fuzzy_query),
+    "op9_minhash_dedup": prepared(minhash.minhash_query),
+    "op10_token_files": prepared(token_files.token_files_query),
 }
 ORACLES = {"op3_preference_pairs": preferences.PREFERENCES_SQL, "op4_systematic_mix": mixing.MIX_SQL}
