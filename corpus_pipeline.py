@@ -9,22 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garderobe.llm import bpe, minhash, mixing, quality, toxicity
-from garderobe.session import stage
+from garderobe.session import prepare, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers in their language and source."""
+    prepare(spark)
     return quality.judged(docs).filter("kept").select(docs.columns)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the cut; the machine is learned from labels of the documents given."""
+    prepare(spark)
     machine = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.with_score(docs, machine, "_toxicity").filter(F.col("_toxicity") < toxicity.CUT).select(docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five words, similarity 0.8."""
+    prepare(spark)
     return minhash.one_of_each(docs)
 
 
@@ -36,6 +39,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document taken, with the digests of ids and decoded text."""
+    prepare(spark)
     return bpe.encode_documents(docs, with_ids=True)
 
 
