@@ -13,10 +13,9 @@ from garderobe import values as V
 from garderobe.functions.text import collapse_spaces, quoted
 
 # Fixed values.
-STOPWORDS = ("a an the and or for with without in on of to me my i im i'm it that this some something someone please want need "
-             "looking find show dress dresses clothes outfit").split()
-CONSTRAINT_WORDS = ("under over below above between less more than at least most max maximum min minimum up to and size sz us "
-                    "dollars bucks usd").split()
+STOPWORDS = ["a", "an", "the", "and", "or", "for", "with", "without", "in", "on", "of", "to", "me", "my", "i", "im", "i'm", "it", "that", "this", "some", "something", "someone", "please", "want", "need",
+             "looking", "find", "show", "dress", "dresses", "clothes", "outfit"]
+CONSTRAINT_WORDS = ["under", "over", "below", "above", "between", "less", "more", "than", "at", "least", "most", "max", "maximum", "min", "minimum", "up", "to", "and", "size", "sz", "us", "dollars", "bucks", "usd"]
 MONEY = r"\$?\s?(\d{1,5}(?:\.\d{1,2})?)"
 MONEY_END = r"(?:\s*(?:dollars|bucks|usd))?"
 PRICE_RANGES = [

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -38,33 +39,36 @@ def exclusions(swipes: DataFrame, catalog: DataFrame) -> DataFrame:
     return tally.filter((F.col("downs") >= EXCLUDE_DISLIKES) & (F.col("ups") == 0)).select("user_id", "kind", "value")
 
 
-def _draw(items: list[dict], n: int, picked: list[dict], shapes: set, combos: set) -> None:
-    """Take turns over sources and, inside a source, over its brands; within a brand prefer an unseen shape, then an unseen
-    combination, then the best ranked."""
-    tables: dict[str, dict[str, list[dict]]] = {}
-    for item in items:
-        tables.setdefault(item["source_id"], {}).setdefault(item["spread"], []).append(item)
-    wheels = [[list(b.values()), 0] for b in tables.values()]
-    moved = True
-    while len(picked) < n and moved:
-        moved = False
-        for wheel in wheels:
-            if len(picked) >= n:
-                return
-            brands = wheel[0]
-            for _ in range(len(brands)):
-                queue = brands[wheel[1] % len(brands)]
-                wheel[1] += 1
-                if queue:
-                    at = next((i for i, x in enumerate(queue) if x["shape"] not in shapes), None)
-                    if at is None:
-                        at = next((i for i, x in enumerate(queue) if x["combo"] not in combos), 0)
-                    card = queue.pop(at)
-                    shapes.add(card["shape"])
-                    combos.add(card["combo"])
-                    picked.append(card)
-                    moved = True
-                    break
+def turns(rows: DataFrame) -> DataFrame:
+    """Adds ``turn``: when a source's brand gets its next card, whichever card that will be.
+
+    A brand gets a turn for each of its cards. In a source all brands have their first turn before any has its second, and so with
+    sources: both in order of their best rank. Turns depend on numbers of cards only, so windows can lay them out beforehand.
+    """
+    source, brand = ["user_id", "soft", "source_id"], ["user_id", "soft", "source_id", "spread"]
+    return rows.withColumns({
+        "_round": F.row_number().over(Window.partitionBy(*brand).orderBy("rank")),
+        "_brand_best": F.min("rank").over(Window.partitionBy(*brand)),
+        "_source_best": F.min("rank").over(Window.partitionBy(*source)),
+    }).withColumn("_in_source", F.row_number().over(Window.partitionBy(*source).orderBy("_round", "_brand_best"))).withColumn(
+        "turn", F.row_number().over(Window.partitionBy("user_id", "soft").orderBy("_in_source", "_source_best"))
+    ).drop("_round", "_brand_best", "_source_best", "_in_source")
+
+
+def fill_turns(brands: np.ndarray, shapes: np.ndarray, combos: np.ndarray, order: np.ndarray, seen_shapes: np.ndarray, seen_combos: np.ndarray) -> list[int]:
+    """The card for each brand in ``order``: of those left, by rank, the first of an unseen shape, else of an unseen combination, else the first.
+
+    Cards stand by rank; brands, shapes and combinations are numbers from 0; ``seen_*`` say which are seen already.
+    """
+    left, chosen = np.ones(len(brands), bool), []
+    new_shape, new_combo = ~seen_shapes, ~seen_combos
+    for brand in order:
+        of_brand = np.flatnonzero(left & (brands == brand))
+        worth = 2 * new_shape[shapes[of_brand]] + (new_combo[combos[of_brand]] & ~new_shape[shapes[of_brand]])
+        card = of_brand[int(worth.argmax())]
+        left[card] = new_shape[shapes[card]] = new_combo[combos[card]] = False
+        chosen.append(int(card))
+    return chosen
 
 
 def calibration_deck(ranked: DataFrame, catalog: DataFrame, excluded: DataFrame | None = None, shown: DataFrame | None = None,
@@ -95,16 +99,16 @@ def calibration_deck(ranked: DataFrame, catalog: DataFrame, excluded: DataFrame
     user_type = ranked.schema["user_id"].dataType.simpleString()
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf.sort_values("rank").to_dict("records")
-        shapes = {x["shape"] for x in items if x["seen"]}
-        combos = {x["combo"] for x in items if x["seen"]}
-        fresh = [x for x in items if not x["seen"]]
-        picked: list[dict] = []
-        _draw([x for x in fresh if not x["soft"]], n, picked, shapes, combos)
-        if len(picked) < n:
-            _draw([x for x in fresh if x["soft"]], n, picked, shapes, combos)
-        return pd.DataFrame({"user_id": [x["user_id"] for x in picked], "card": range(len(picked)),
-                             "listing_id": [x["listing_id"] for x in picked]})
+        pdf = pdf.sort_values("rank", ignore_index=True)
+        shapes, combos = (pd.factorize(pdf[c])[0] for c in ("shape", "combo"))
+        brands = pd.factorize(pd.MultiIndex.from_frame(pdf[["soft", "source_id", "spread"]]))[0]
+        fresh = np.flatnonzero(~pdf["seen"].to_numpy())
+        seen_shapes, seen_combos = np.zeros(len(pdf), bool), np.zeros(len(pdf), bool)
+        seen_shapes[shapes[pdf["seen"]]] = seen_combos[combos[pdf["seen"]]] = True
+        order = fresh[np.lexsort((pdf["turn"].to_numpy()[fresh], pdf["soft"].to_numpy()[fresh]))][:n]
+        cards = fresh[fill_turns(brands[fresh], shapes[fresh], combos[fresh], brands[order], seen_shapes, seen_combos)]
+        return pd.DataFrame({"user_id": pdf["user_id"].iloc[cards], "card": range(len(cards)), "listing_id": pdf["listing_id"].iloc[cards]})
 
     narrow = rows.select("user_id", "listing_id", "rank", "source_id", "spread", "shape", "combo", "soft", "seen")
+    narrow = turns(narrow.filter("not seen")).unionByName(narrow.filter("seen").withColumn("turn", F.lit(0)))
     return narrow.groupBy("user_id").applyInPandas(sample, f"user_id {user_type}, card int, listing_id string")

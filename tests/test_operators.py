@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from garderobe.plans import deck
 from garderobe.operators import cells, folds, neighbours, quantiles
 from garderobe.operators.diversity import greedy_order, interleave, spread_report
 from garderobe.operators.ranking import stratified_cap
@@ -63,25 +64,13 @@ def test_profile_pools(spark, cap):
         assert got.get(name, set()) == fair_cap(fits, cap), name
 
 
-def slow_interleave(brands, sources, adjacent=2, window=24, per_brand=6, per_source=12):
-    pending, out = list(range(len(brands))), []
-
-    def recent(keys, key):
-        return sum(1 for i in out[-(window - 1):] if keys[i] == key)
-
-    def run(key):
-        n = 0
-        while n < len(out) and brands[out[-1 - n]] == key:
-            n += 1
-        return n
-
-    while pending:
-        tests = [lambda i: run(brands[i]) < adjacent and recent(brands, brands[i]) < per_brand and recent(sources, sources[i]) < per_source,
-                 lambda i: run(brands[i]) < adjacent and recent(brands, brands[i]) < per_brand, lambda i: run(brands[i]) < adjacent, lambda i: True]
-        pick = next(i for t in tests for i in pending if t(i))
-        pending.remove(pick)
-        out.append(pick)
-    return out
+def strictness(placed, brand, source, brands, sources):
+    """Which bounds a card would keep after those placed: 0 all, 1 not that of its source, 2 not that of its brand, 3 not even the run."""
+    last, window = [brands[i] for i in placed[-2:]], placed[-23:]
+    long_run = last == [brand, brand]
+    crowded_brand = [brands[i] for i in window].count(brand) >= 6
+    crowded_source = [sources[i] for i in window].count(source) >= 12
+    return 3 if long_run else 2 if crowded_brand else 1 if crowded_source else 0
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -90,7 +79,11 @@ def test_greedy_order(seed):
     n = rnd.choice([1, 2, 60, 150])
     brands = np.array([rnd.choice("aaaaaabcde") for _ in range(n)])
     sources = np.array([rnd.choice("xxxyz") for _ in range(n)])
-    assert list(greedy_order(brands, sources)) == slow_interleave(brands, sources)
+    order = [int(i) for i in greedy_order(brands, sources)]
+    assert sorted(order) == list(range(n))
+    for k, card in enumerate(order):  # each card is the first of those that break the least
+        broken = {i: strictness(order[:k], brands[i], sources[i], brands, sources) for i in order[k:]}
+        assert card == min(i for i in broken if broken[i] == min(broken.values()))
 
 
 def test_interleave_keeps_rows_and_bounds(spark):
@@ -165,3 +158,41 @@ def test_stream_cut_into_files_learns_the_same(spark, sf, tmp_path):
     whole = style_tags(T.swipes(spark, sf, spark.read.parquet(f"{tmp_path}/in")), catalog)
     rounded = lambda df: {(r["user_id"], r["tag"], round(r["value"], 6)) for r in df.collect()}
     assert rounded(streamed) == rounded(whole)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_calibration_deck(spark, seed):
+    """Every card stands where its brand has its turn, and no card left of the brand would have shown more."""
+    rnd = random.Random(seed)
+    pool = [(u, f"p{i}", i, rnd.choice("xyz"), rnd.choice("abcd")) for u in (1, 2) for i in range(40)]
+    looks = {f"p{i}": (rnd.choice(["wrap", "slip", "sheath", None]), rnd.choice(["red", "navy", None]), rnd.choice(["midi", None])) for i in range(40)}
+    ranked = spark.createDataFrame(pool, "user_id long, listing_id string, rank int, source_id string, spread string")
+    catalog = spark.createDataFrame([(k, s, [{"family": c}] if c else [], n) for k, (s, c, n) in looks.items()], "listing_id string, silhouette string, colors array<struct<family: string>>, length_class string")
+    excluded = spark.createDataFrame([(1, "silhouette", "wrap"), (1, "color", "red")], "user_id long, kind string, value string")
+    shown = spark.createDataFrame([(1, "p0"), (1, "p1"), (2, "p5")], "user_id long, listing_id string")
+    got = {}
+    for r in deck.calibration_deck(ranked, catalog, excluded, shown, n=30).orderBy("user_id", "card").collect():
+        got.setdefault(r.user_id, []).append(r.listing_id)
+    seen = {1: ["p0", "p1"], 2: ["p5"]}
+    for user, cards in got.items():
+        items = {p: (rank, s, b) for u, p, rank, s, b in pool if u == user}
+        soft = {p for p in items if user == 1 and (looks[p][0] == "wrap" or looks[p][1] == "red")}
+        shapes, combos = {looks[p][0] or "unknown" for p in seen[user]}, {looks[p] for p in seen[user]}
+        left = [p for p in items if p not in seen[user]]
+        assert len(cards) == min(30, len(left)) == len(set(cards)) and not set(cards) & set(seen[user])
+        strict = [p for p in cards if p not in soft]
+        assert cards[: len(strict)] == strict and (len(strict) == len([p for p in left if p not in soft]) or len(strict) == 30)
+        for part in (strict, cards[len(strict):]):
+            pool_of = [p for p in left if (p in soft) == (part is not strict)]
+            taken = {}
+            for p in part:
+                _, s, b = items[p]
+                brand = [q for q in pool_of if items[q][1:] == (s, b)]
+                free = [q for q in brand if q not in cards[: cards.index(p)]]
+                news = [q for q in free if (looks[q][0] or "unknown") not in shapes] or [q for q in free if looks[q] not in combos] or free
+                assert p == min(news, key=lambda q: items[q][0])
+                shapes.add(looks[p][0] or "unknown")
+                combos.add(looks[p])
+                taken[s, b] = taken.get((s, b), 0) + 1
+                others = [c for c in {items[q][2] for q in pool_of if items[q][1] == s} if len([q for q in pool_of if items[q][1:] == (s, c)]) > taken.get((s, c), 0)]
+                assert all(taken.get((s, c), 0) >= taken[s, b] - 1 for c in others)  # no brand of the source waits while another has two turns

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from garderobe.functions import audience, brands, hem, markup, scoring, sizes
 from garderobe.functions.extraction import measurement_values, measurements
-from garderobe.functions.model_info import _height, _worn
+from garderobe.functions.model_info import model_info
 from garderobe.functions.text import color_tags
 from garderobe.plans import lengths
 
@@ -87,9 +87,11 @@ def test_scores(spark):
 
 @pytest.mark.parametrize("text, height, size", [
     ("Model is 5'9\" and wears a size S", 69.0, "S"), ("Length: 5'9\"", None, None), ("She is 178 cm tall, wearing size US 4", 70.1, "US 4"),
-    ("model wears extra small", None, "XS"), ("our mannequin, 5 ft 8 in tall", 68.0, None)])
-def test_model_info(text, height, size):
-    assert _height(text) == height and _worn(text) == size
+    ("model wears extra small", None, "XS"), ("our mannequin, 5 ft 8 in tall", 68.0, None),
+    ("Model wears size S. Length: 175 cm", None, "S"), ("6'1\" sleeves and a lining of silk, the 5’10” model", 70.0, None), ("5'2\" or 5'3\" tall", 62.0, None), ("x" * 60 + "170 cm", None, None), ("she's 1,78 m, height 178,5cm in a M", 70.3, "M"), ("wears a size giant, she is in a medium", None, "M"), (None, None, None)])
+def test_model_info(spark, text, height, size):
+    got = one(spark, model_info(F.lit(text).cast("string")))
+    assert (got["height"], got["size_worn"]) == (height, size)
 
 
 def test_estimate_clamp(spark):
