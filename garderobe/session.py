@@ -39,8 +39,9 @@ def build_session(app: str = "garderobe", cores: int | str = "*", partitions: in
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings every plan relies on (UTC instants), and the package on the workers."""
+    """Runtime settings every plan relies on (UTC instants, JSON objects that repeat a key), and the package on the workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     ship(spark)
     return spark
 

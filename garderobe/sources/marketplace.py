@@ -19,7 +19,8 @@ ERA = r"(?i)\b(19[2-9]0)'?s\b"
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ITEM).json(path)
+    """Item files, one item per line; broken lines land in ``_corrupt_record``."""
+    return spark.read.schema(ITEM + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
 def aspect(name: str) -> Column:

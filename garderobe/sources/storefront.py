@@ -25,6 +25,12 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE + ", _corrupt_record string").option("mode", "PERMISSIVE").json(path)
 
 
+def line_counts(lines: DataFrame, field: str = "domain") -> DataFrame:
+    """Lines of payload files read, and those of them that are no JSON object and are dropped."""
+    broken = F.col("_corrupt_record").isNotNull()
+    return lines.agg(F.count_if(broken | F.col(field).isNotNull()).alias("lines"), F.count_if(broken).alias("broken"))
+
+
 def products(payloads: DataFrame) -> DataFrame:
     return payloads.select("domain", F.explode("products").alias("p")).select("domain", "p.*")
 

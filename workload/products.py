@@ -55,6 +55,15 @@ def _(spark, d):
                       F.array_join("size_labels", ",").alias("sizes"), F.col("availability")["S"].alias("s_in"), F.col("availability")["M"].alias("m_in"), "description")
 
 
+@query("payload_lines", sql(f"SELECT count(*) AS lines, count(*) FILTER ({K} % 9 = 4) AS broken FROM part"))
+def _(spark, d):
+    """Every ninth payload line is cut off."""
+    path = scratch_path(spark, "payload-lines")
+    line = F.expr(f"to_json(named_struct('domain', concat('shop', {K} % 5), 'products', array(named_struct('id', {K}, 'title', p_name))))")
+    T.read(spark, d, "part").select(F.when(F.col(K) % 9 == 4, F.expr("left(p_name, 9)")).otherwise(line).alias("value")).write.text(path)
+    return storefront.line_counts(storefront.read_payloads(spark, path))
+
+
 @query("storefront_kids_excluded", sql(f"SELECT count(*) AS n FROM ({SHOP}) WHERE CAST(source_listing_id AS BIGINT) % 3 <> 0"))
 def _(spark, d):
     kids = T.read(spark, d, "part").filter(f"{K} % 3 = 0").select(F.expr(f"concat('shop', {K} % 5, '.example.com')").alias("domain"), F.col(K).alias("id"))
@@ -91,7 +100,8 @@ def _(spark, d):
 
 # --- structured pages ------------------------------------------------------------------------------------------
 def shop_pages(spark, d):
-    """One product page per part in six shapes: plain, graph, group with variants, raw control characters, microdata, nothing."""
+    """One product page per part in six shapes: plain (some with a repeated key, some with microdata too), graph, group with variants, raw control
+    characters, microdata, nothing."""
     offer = f"named_struct('@type', 'Offer', 'price', cast(p_retailprice as string), 'priceCurrency', 'EUR', 'availability', if({K} % 5 = 0, 'https://schema.org/OutOfStock', 'InStock'))"
     base = f"'name', concat(p_name, if({K} % 7 = 0, ' shirt', ' dress')), 'brand', named_struct('name', p_brand), 'sku', concat('sku-', {K}), 'image', array('/i/1.jpg', 'https://cdn.example.com/2.jpg')"
     plain = f"to_json(named_struct('@type', 'Product', {base}, 'offers', {offer}))"
@@ -103,9 +113,10 @@ def shop_pages(spark, d):
     micro = (f"concat('<div itemscope itemtype=\"https://schema.org/Product\"><h1 itemprop=\"name\">', p_name, if({K} % 7 = 0, ' shirt', ' dress'), '</h1><img itemprop=\"image\" src=\"/m.jpg\">"
              f"<div itemprop=\"offers\" itemscope itemtype=\"http://schema.org/Offer\"><meta itemprop=\"price\" content=\"', p_retailprice, '\"><meta itemprop=\"priceCurrency\" content=\"USD\"><link itemprop=\"availability\" "
              f"href=\"http://schema.org/InStock\"></div></div>')")
+    doubled = f"if({K} % 4 = 0, concat('{{\"note\":1,\"note\":2,', substring({plain}, 2)), {plain})"
     return T.read(spark, d, "part").selectExpr(
         f"{K} as page_id", f"concat('shop', {K} % 5, '.example.com') as domain", f"concat('https://shop', {K} % 5, '.example.com/products/item-', {K}, '.html') as url",
-        f"case {K} % 6 when 0 then {block.format(j=plain)} when 1 then {block.format(j=graph)} when 2 then {block.format(j=group)} "
+        f"case {K} % 6 when 0 then concat({block.format(j=doubled)}, if({K} % 12 = 0, {micro}, '')) when 1 then {block.format(j=graph)} when 2 then {block.format(j=group)} "
         f"when 3 then {block.format(j=f'''replace({plain}, ' dress', concat(' ', chr(1), 'dress'))''')} when 4 then {micro} "
         f"else if({K} % 12 = 5, concat('<script type=\"application/ld+json\">{{broken</script>'), '<html><p>nothing here</p></html>') end as html")
 
