@@ -86,13 +86,41 @@ def clamped_fold(steps: DataFrame, keys: list[str], order: list[str], delta: str
     return parts.select(*keys, value.alias("value"))
 
 
+HELD_KEYS = 4096  # keys whose sums a task holds before it passes them on
+
+
 def weighted_vector_sum(rows: DataFrame, keys: list[str], vector: str, weight: Column) -> DataFrame:
-    """(keys..., vector, weight): sum of weight * vector per key, combined map-side per dimension."""
-    cells = rows.select(*keys, weight.alias("_w"), F.posexplode(F.col(vector).cast("array<double>")).alias("_i", "_x"))
-    sums = cells.groupBy(*keys, "_i").agg(F.sum(F.col("_w") * F.col("_x")).alias("_x"), F.sum("_w").alias("_w"))
-    folded = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_v"),
-                                     F.max("_w").alias("weight"))
-    return folded.select(*keys, F.transform("_v", lambda x: x["_x"]).alias("vector"), "weight")
+    """(keys..., vector, weight): sum of weight * vector per key.
+
+    Tasks add up whole vectors of the keys they meet; of a key, a few sums a task are shuffled, however many rows it has.
+    """
+    cells = rows.select(*keys, weight.cast("double").alias("weight"), F.col(vector).cast("array<double>").alias("vector"))
+    key_types = {k: cells.schema[k].dataType.simpleString() for k in keys}
+    schema = ", ".join(f"`{k}` {t}" for k, t in key_types.items()) + ", vector array<double>, weight double"
+
+    def added(frames) -> pd.DataFrame:
+        frame = pd.concat(frames, ignore_index=True)
+        groups = frame.groupby(keys, sort=False, dropna=False)
+        place, first = groups.ngroup().to_numpy(), ~frame.duplicated(keys).to_numpy()
+        sums = np.zeros((int(place.max()) + 1, max(map(len, frame["vector"]))))
+        for width in {len(v) for v in frame["vector"]}:
+            own = np.flatnonzero([len(v) == width for v in frame["vector"]])
+            np.add.at(sums[:, :width], place[own], np.stack(frame["vector"].iloc[own].to_list()))
+        return frame.loc[first, keys].assign(vector=list(sums), weight=np.bincount(place, frame["weight"]))
+
+    def partial(batches):
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if len(pdf):
+                held = [added([*held, pdf.assign(vector=[w * np.asarray(v) for w, v in zip(pdf["weight"], pdf["vector"], strict=True)])])]
+                if len(held[0]) > HELD_KEYS:
+                    yield held.pop()
+        yield from held
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        return added([pdf])
+
+    return cells.filter(F.col("vector").isNotNull()).mapInPandas(partial, schema).groupBy(*keys).applyInPandas(merged, schema).select(*keys, "vector", "weight")
 
 
 def mean_vector(rows: DataFrame, keys: list[str], vector: str, weight: Column) -> DataFrame:

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 BUCKET = 4096
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", bucket: int = BUCKET) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", bucket: int = BUCKET, count: str | None = None) -> DataFrame:
     """Median of an integer column per key, an even count giving the midpoint rounded half up.
 
     Values are counted first (map-side combined), the counts are summed into value buckets, and only the buckets that
     hold the middle ranks are looked at value by value. A task sees at most ``range / bucket`` bucket rows or
-    ``bucket`` distinct values of one key, however many rows the key has.
+    ``bucket`` distinct values of one key, however many rows the key has. ``count`` names a column of how often a row counts.
     """
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg((F.count(F.lit(1)) if count is None else F.sum(count)).alias("_n"))
         .withColumn("_b", F.floor(F.col("_v") / bucket))
     )
     by_bucket = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))

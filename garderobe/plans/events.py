@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from garderobe.functions.money import share
 from garderobe.operators.quantiles import exact_median
+from garderobe.session import stage
 
 DAY_MS = 86_400_000
 WINDOWS = (("24h", DAY_MS), ("7d", 7 * DAY_MS))
@@ -21,8 +22,19 @@ def actor() -> Column:
     return F.coalesce("user_id", "anon_id")
 
 
+PROPS = ("step", "durationMs", "query", "resultCount", "kind", "verdict")
+
+
 def prop(name: str) -> Column:
-    return F.get_json_object("props", f"$.{name}")
+    return F.col(f"_{name}")
+
+
+def parsed(events: DataFrame) -> DataFrame:
+    """Events with their props as columns; JSON is read once for all of them."""
+    if f"_{PROPS[0]}" in events.columns:
+        return events
+    read = F.from_json("props", ", ".join(f"{name} string" for name in PROPS)).alias("_p")
+    return events.withColumn("_p", read).select("*", *[F.col(f"_p.{name}").alias(f"_{name}") for name in PROPS]).drop("_p", "props")
 
 
 def ringed(events: DataFrame, now_ms: int, windows=WINDOWS) -> DataFrame:
@@ -67,16 +79,16 @@ def approx_actors(events: DataFrame, now_ms: int, windows=WINDOWS, rsd: float =
 
 
 def step_actors(events: DataFrame, now_ms: int, windows=WINDOWS) -> DataFrame:
-    steps = events.filter(F.col("event_type") == "quiz_step_completed")
+    steps = parsed(events).filter(F.col("event_type") == "quiz_step_completed")
     return distinct_actors(steps, now_ms, windows, by=prop("step").cast("int")).select(
         "win", F.col("by").alias("step"), "actors"
     )
 
 
 def median_duration(events: DataFrame, now_ms: int, windows=WINDOWS) -> DataFrame:
-    done = ringed(events.filter(F.col("event_type") == "quiz_completed"), now_ms, windows)
-    durations = widen(done.select("ring", prop("durationMs").cast("long").alias("d")), windows)
-    return exact_median(durations, ["win"], "d", "median_ms")
+    done = ringed(parsed(events).filter(F.col("event_type") == "quiz_completed"), now_ms, windows)
+    counted = done.groupBy("ring", prop("durationMs").cast("long").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    return exact_median(widen(counted, windows), ["win"], "d", "median_ms", count="n")
 
 
 def funnel(events: DataFrame, now_ms: int, windows=WINDOWS) -> DataFrame:
@@ -99,7 +111,7 @@ def funnel(events: DataFrame, now_ms: int, windows=WINDOWS) -> DataFrame:
 
 def top_searches(events: DataFrame, now_ms: int, windows=WINDOWS, limit: int = TOP_SEARCHES) -> DataFrame:
     """Most frequent normalised searches; the limit applies before blank queries are dropped."""
-    searches = ringed(events.filter(F.col("event_type") == "search_submitted"), now_ms, windows).select(
+    searches = ringed(parsed(events).filter(F.col("event_type") == "search_submitted"), now_ms, windows).select(
         "ring", F.lower(F.trim(prop("query"))).alias("query"), prop("resultCount").cast("int").alias("rc"),
         "created_ms", "id",
     )
@@ -126,7 +138,7 @@ def top_searches(events: DataFrame, now_ms: int, windows=WINDOWS, limit: int = T
 
 def usage(events: DataFrame, now_ms: int, event_type: str, field: str, windows=WINDOWS) -> DataFrame:
     """Histogram of one prop of one event type, missing values dropped."""
-    rows = ringed(events.filter(F.col("event_type") == event_type), now_ms, windows)
+    rows = ringed(parsed(events).filter(F.col("event_type") == event_type), now_ms, windows)
     per_ring = rows.groupBy("ring", prop(field).alias(field)).agg(F.count(F.lit(1)).alias("n"))
     return widen(per_ring.filter(F.col(field).isNotNull()), windows).groupBy("win", field).agg(F.sum("n").alias("n"))
 
@@ -146,7 +158,12 @@ def swipe_mix(events: DataFrame, now_ms: int, windows=WINDOWS) -> DataFrame:
 
 
 def summary(events: DataFrame, now_ms: int, windows=WINDOWS) -> DataFrame:
-    """All parts in one long table (win, section, key, value) for a dashboard payload."""
+    """All parts in one long table (win, section, key, value) for a dashboard payload.
+
+    The events of the widest window are read and parsed once; the sections share the narrow table of them.
+    """
+    events = stage(parsed(ringed(events, now_ms, windows).drop("ring")).select("id", "created_ms", "event_type", "user_id", "anon_id", *[f"_{name}" for name in PROPS]), "events")
+
     def long(df: DataFrame, section: str, key: Column, value: Column) -> DataFrame:
         return df.select("win", F.lit(section).alias("section"), key.cast("string").alias("key"),
                          value.cast("double").alias("value"))
