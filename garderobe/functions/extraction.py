@@ -72,29 +72,42 @@ def attribute_vector(length_class: str = "length_class", silhouette: str = "silh
     return F.expr(f"map_from_entries(concat({', '.join(parts)}))")
 
 
+def hint(listings: DataFrame, name: str, kind: str) -> Column:
+    """A field of the source's ``hints``; null where the source gives no hints, or none of that name."""
+    given = listings.schema["hints"].dataType.names if "hints" in listings.columns else []
+    return F.col("hints")[name].cast(kind) if name in given else F.lit(None).cast(kind)
+
+
+def hinted_list(given: Column, found: Column) -> Column:
+    return F.when(F.size(given) > 0, given).otherwise(found)
+
+
 def extract(listings: DataFrame) -> DataFrame:
-    """One extraction row per listing from ``title`` and ``description`` (a projection: no shuffle)."""
+    """One extraction row per listing from ``title`` and ``description`` (a projection: no shuffle); what ``hints`` says wins, field by field."""
+    word = lambda name, table: F.coalesce(hint(listings, name, "string"), first_match("_text", table))
+    given_colors = hint(listings, "colors", "array<struct<name:string,family:string>>")
+    tagged = F.transform(given_colors, lambda c: F.struct(c["name"].alias("name"), c["family"].alias("family"), F.lit(None).cast("string").alias("hex")))
     text = F.concat(F.col("title"), F.lit("\n"), F.coalesce("description", F.lit("")))
     staged = listings.withColumn("_text", text).withColumns({
         "_slots": measurement_values("_text"),
-        "colors": color_tags("_text"),
-        "silhouette": first_match("_text", V.SILHOUETTE_WORDS),
-        "neckline": first_match("_text", V.NECKLINE_WORDS),
-        "sleeve": first_match("_text", V.SLEEVE_WORDS),
-        "fabric": first_match("_text", V.FABRIC_WORDS),
+        "colors": hinted_list(tagged, color_tags("_text")),
+        "silhouette": word("silhouette", V.SILHOUETTE_WORDS),
+        "neckline": word("neckline", V.NECKLINE_WORDS),
+        "sleeve": word("sleeve", V.SLEEVE_WORDS),
+        "fabric": word("fabric", V.FABRIC_WORDS),
         "_pattern": first_match("_text", V.PATTERN_WORDS),
-        "occasions": all_matches("_text", V.OCCASION_WORDS),
+        "occasions": hinted_list(hint(listings, "occasions", "array<string>"), all_matches("_text", V.OCCASION_WORDS)),
         "_phrase": F.regexp_extract("_text", r"(?i)falls\s+to\s+an?\s+([a-z\s-]+?)\s+length", 1),
         "_worded": first_match("_text", V.LENGTH_WORDS),
         "audience": F.when(child_audience("title"), F.lit("child")),
     })
     staged = staged.withColumn("measurements", measurements(F.col("_slots")))
     m = F.col("measurements")
-    staged = staged.withColumn("length_inches", F.when(~m["from_waist"], m["length"]))
+    staged = staged.withColumn("length_inches", F.coalesce(hint(listings, "length_inches", "double"), F.when(~m["from_waist"], m["length"])))
     staged = staged.withColumns({
-        "length_class": F.coalesce(first_match("_phrase", V.LENGTH_WORDS), "_worded", class_from_inches(F.col("length_inches"))),
+        "length_class": F.coalesce(hint(listings, "length_class", "string"), first_match("_phrase", V.LENGTH_WORDS), "_worded", class_from_inches(F.col("length_inches"))),
         "length_basis": F.when(F.col("length_inches").isNotNull(), F.lit("stated")),
-        "pattern": F.coalesce("_pattern", F.when(F.size("colors") > 0, F.lit("solid"))),
+        "pattern": F.coalesce(hint(listings, "pattern", "string"), "_pattern", F.when(F.size("colors") > 0, F.lit("solid"))),
     })
     found = [
         F.col("length_class"), F.col("length_inches"), F.col("silhouette"), F.col("neckline"), F.col("sleeve"),

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from garderobe.functions import audience as AU
 from garderobe.functions import brands as B
+from garderobe.functions import extraction as X
+from garderobe.functions.coerce import coerced
 from garderobe.operators.joins import first_images
 from garderobe.plans import cleanup, errors, extract, ingest, lengths, profiles, reconcile, verify
 from garderobe.sources import tables as T
@@ -340,6 +342,35 @@ def _(spark, d):
     return out.select("user_id", F.array_join(F.transform("brand_sizes", lambda b: F.concat(b["brand"], F.lit("="), b["size_label"])), ",").alias("sizes"))
 
 
+@query("extraction_with_hints", sql("""SELECT listing_id, coalesce(CASE WHEN k % 3 = 0 THEN 'micro' END, length_class) AS length_class, coalesce(CASE WHEN k % 4 = 0 THEN 'tweed' END, fabric) AS fabric,
+  coalesce(CASE WHEN k % 5 = 0 THEN 'plaid' END, pattern, CASE WHEN k % 6 = 0 THEN 'solid' END) AS pattern, CASE WHEN k % 7 = 0 THEN 'brunch,work' ELSE occasions END AS occasions, CASE WHEN k % 6 = 0 THEN 'teal' ELSE colors END AS colors
+FROM plain JOIN (SELECT listing_id, listing_key AS k FROM listings) USING (listing_id)""", "listings", "attrs",
+                                     plain="SELECT listing_id, length_class, fabric, pattern, coalesce(occasion, '') AS occasions, array_to_string(families, ',') AS colors FROM attrs"))
+def _(spark, d):
+    """Hints of the source for some fields of some listings; what they leave open comes from the text."""
+    k = "listing_key"
+    hinted = T.listings(spark, d).withColumn("hints", F.expr(
+        f"named_struct('length_class', if({k} % 3 = 0, 'micro', null), 'fabric', if({k} % 4 = 0, 'tweed', null), 'pattern', if({k} % 5 = 0, 'plaid', null), "
+        f"'occasions', if({k} % 7 = 0, array('brunch', 'work'), cast(array() as array<string>)), 'colors', if({k} % 6 = 0, array(named_struct('name', 'sea', 'family', 'teal')), null))"))
+    rows = X.extract(hinted)
+    return rows.select("listing_id", "length_class", "fabric", "pattern", F.array_join("occasions", ",").alias("occasions"), F.array_join(F.transform("colors", lambda c: c["family"]), ",").alias("colors"))
+
+
+@query("payloads_coerced", sql("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'above_knee' WHEN 1 THEN 'mini' END AS length_class, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) END AS length_inches,
+  CASE p_partkey % 4 WHEN 0 THEN 'a_line' WHEN 3 THEN NULL ELSE 'other' END AS silhouette, CASE WHEN p_partkey % 2 = 0 THEN 'red' ELSE '' END AS colors,
+  CASE WHEN p_partkey % 6 = 0 THEN 'work,party' ELSE '' END AS occasions, CASE WHEN p_partkey % 3 = 1 THEN 33.5 END AS bust, CASE WHEN p_partkey % 3 = 2 THEN 0.25 ELSE 0.5 END AS confidence FROM part WHERE p_partkey % 10 <> 9
+  UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 10 = 9"""))
+def _(spark, d):
+    """Payloads with words outside the vocabularies, numbers in quotes, items of the wrong shape, and some that are no object at all."""
+    k = "p_partkey"
+    body = f"""concat('{{"lengthClass":', {T.pick(['"Above Knee"', '" MINI "', '"ankle-ish"', '7', 'null'], f'{k} % 5')}, ',"lengthInches":', if({k} % 3 = 0, cast(p_size as string), concat('"', p_size, '"')),
+      ',"silhouette":', {T.pick(['"A-Line"', '"mermaid"', '["wrap"]', 'null'], f'{k} % 4')}, ',"colors":', if({k} % 2 = 0, '[{{"name":"Ruby","family":"red"}},{{"name":"x"}},"blue",null]', '"red"'),
+      ',"occasions":', if({k} % 6 = 0, '["work",3,"Party","party","gala"]', '{{}}'), ',"measurements":', {T.pick(['null', '{"bust":33.5,"waist":"27"}', '[1]'], f'{k} % 3')}, if({k} % 3 = 2, ',"confidence":0.25', ',"confidence":"high"'), '}}')"""
+    rows = T.read(spark, d, "part").select(k, coerced(F.expr(f"if({k} % 10 = 9, if({k} % 20 = 9, '[1, 2]', 'no json'), {body})")).alias("c"))
+    return rows.select(k, "c.length_class", "c.length_inches", "c.silhouette", F.array_join(F.transform("c.colors", lambda c: c["family"]), ",").alias("colors"),
+                       F.array_join("c.occasions", ",").alias("occasions"), "c.measurements.bust", "c.confidence")
+
+
 def toggles(spark, d):
     return T.read(spark, d, "events").selectExpr(
         "event_id as toggle_id", "user_id", f"if(event_id % 11 = 0, null, {T.event_listing(spark, d)}) as listing_id",
