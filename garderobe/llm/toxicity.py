@@ -112,13 +112,12 @@ class Scorer:
 
     def __init__(self, machine: Machine):
         self.machine = machine
+        self.at = {term: at for at, term in enumerate(machine.terms.tolist())}
         self.pieces = Pieces(self._known)
         self.none = machine.score(np.empty(0, np.int64))
 
     def _known(self, chunk: bytes) -> list[int]:
-        hashes = np.array(terms_of(chunk), np.uint32)
-        at = np.searchsorted(self.machine.terms, hashes)
-        return at[(at < len(self.machine.terms)) & (self.machine.terms[np.minimum(at, len(self.machine.terms) - 1)] == hashes)].tolist() if len(self.machine.terms) else []
+        return [at for term in terms_of(chunk) if (at := self.at.get(term)) is not None]
 
     def scores(self, texts: list[str]) -> list[float]:
         own, counts = self.pieces.documents([t.encode().lower().split() for t in texts])
@@ -139,6 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     known = known.groupBy("_doc").agg(F.max("_toxic").alias("_toxic"))
     sizes = {row["_toxic"]: row["count"] for row in known.groupBy("_toxic").count().collect()}
     share = F.when(F.col("_toxic") == 1, min(1.0, SAMPLE / max(1, sizes.get(1, 0)))).otherwise(min(1.0, SAMPLE / max(1, sizes.get(0, 0))))
+    # About 2 x SAMPLE ids at most, whatever the tables hold: small enough for every executor, so that no text is shuffled to find them.
     sample = known.filter(F.pmod(F.xxhash64("_doc"), F.lit(1_000_000)) < share * 1_000_000)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
             terms = [np.unique(np.array([t for chunk in set((text or "").encode().lower().split()) for t in terms_of(chunk)], np.uint32)).view(np.int32) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_toxic"), pa.array(terms, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, F.col("doc_id") == F.col("_doc")).select("_doc", "_toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_doc")).select("_doc", "_toxic", "text")
     table = texts.mapInArrow(rows, "doc_id long, toxic int, terms array<int>").toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")  # so that reruns fit the same machine
     terms = table.column("terms").combine_chunks() if len(table) else None
