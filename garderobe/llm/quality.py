@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from garderobe.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOL = "[#*$%&|<>]"
 RUN = 8  # words in a window
 LEAST_WORDS, MOST_REPEATED = 20, 30  # base rules: words; per cent of words in repeated windows
 LEAST_GROUP = 100  # smaller groups are pooled, first within the language, then all together; a smaller rest is not judged
@@ -40,7 +38,15 @@ def let(value: Column, use) -> Column:
 
 def repeated_words(words: Column) -> Column:
     """Words that lie in windows of ``RUN`` words found twice or more."""
-    hashes = F.when(F.size(words) < RUN, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - RUN + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(RUN)))))
+    def doubled(hashes: Column, apart: int) -> Column:
+        """Hashes of stretches twice as long: of each stretch and the one that begins ``apart`` words later."""
+        later = F.slice(hashes, F.lit(apart + 1), F.greatest(F.size(hashes) - apart, F.lit(0)))
+        return F.zip_with(F.slice(hashes, F.lit(1), F.size(later)), later, lambda a, b: F.xxhash64(a, b))
+
+    twos = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: doubled(h, 1))
+    fours = let(twos, lambda h: doubled(h, 2))
+    windows = let(fours, lambda h: doubled(h, RUN // 2))
+    hashes = F.when(F.size(words) < RUN, F.array().cast("array<bigint>")).otherwise(windows)
 
     def covered(sorted_: Column) -> Column:
         n = F.size(sorted_)
@@ -65,10 +71,10 @@ def stuttered(words: Column) -> Column:
 def text_statistics(text: Column) -> Column:
     """Struct of the counts of words, of their code points, of symbols, capitals, lines and repetitions; null is the empty text."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
-    counted = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"), stuttered(w).alias("n_stutters")))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
+    counted = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda n, x: n + F.length(x)).alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words"), stuttered(w).alias("n_stutters")))
     dup = let(lines, lambda own: F.struct((F.size(own) - F.size(F.array_distinct(own))).cast("long").alias("n_dup_lines"), F.size(own).cast("long").alias("n_lines")))
-    return F.struct(counted.alias("w"), F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"), (F.length(text) - F.length(F.translate(text, CAPITALS, ""))).alias("n_capitals"), dup.alias("d"))
+    return F.struct(counted.alias("w"), F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"), F.regexp_count(text, F.lit("[A-Z]")).alias("n_capitals"), dup.alias("d"))
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
@@ -79,7 +85,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     long texts comparable.
     """
     counts = F.col("_counts")
-    flat = {"n_words": counts["w"]["n_words"], "word_chars": counts["word_chars"], "n_symbols": counts["n_symbols"], "n_dup_lines": counts["d"]["n_dup_lines"], "n_repeat_words": counts["w"]["n_repeat_words"]}
+    flat = {"n_words": counts["w"]["n_words"], "word_chars": counts["w"]["word_chars"], "n_symbols": counts["n_symbols"], "n_dup_lines": counts["d"]["n_dup_lines"], "n_repeat_words": counts["w"]["n_repeat_words"]}
     n = flat["n_words"] + 20
     x = [F.log((flat["word_chars"] + 100) / n), F.sqrt(flat["n_symbols"] / n), F.sqrt(flat["n_dup_lines"] / (counts["d"]["n_lines"] + 10)), F.sqrt(flat["n_repeat_words"] / n),
          F.sqrt(counts["w"]["n_stutters"] / n), F.sqrt(counts["n_capitals"] / (flat["word_chars"] + 100))]
