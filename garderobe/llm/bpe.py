@@ -125,7 +125,7 @@ class BytePairs:
         else:
             text = " " + piece
         out: list[int] = []
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         for word in self.words.findall(text):
             ids = self.known.get(word)

@@ -8,11 +8,16 @@ from itertools import chain
 
 import numpy as np
 
-LIMIT = 900_000  # pieces a worker remembers; then it starts anew, which changes no result
+LIMIT = 500_000  # pieces a worker remembers, of one table at a time; then it starts anew, which changes no result
 
 
 class Pieces(dict):
-    """piece -> row of a table of ids. ``encode`` gives the ids of a piece that is not in it yet."""
+    """piece -> row of a table of ids. ``encode`` gives the ids of a piece that is not in it yet.
+
+    A worker lives longer than an operator: the table that is used next makes the one before forget.
+    """
+
+    in_use: Pieces | None = None
 
     def __init__(self, encode: Callable[[Hashable], Sequence[int]]):
         super().__init__()
@@ -31,6 +36,10 @@ class Pieces(dict):
 
     def documents(self, pieces: list[Sequence[Hashable]]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents in a row, and each document's number of ids."""
+        if Pieces.in_use is not self:
+            if Pieces.in_use is not None:
+                Pieces.in_use.forget()
+            Pieces.in_use = self
         if len(self) > LIMIT:
             self.forget()
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))

@@ -226,7 +226,7 @@ class WordPairs:
         if isinstance(chunk, tuple):
             return self.library.encode(chunk[0], add_special_tokens=False).ids
         out: list[int] = []
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         for word in WORDS.findall(chunk):
             ids = self.known.get(word)
