@@ -20,9 +20,10 @@ LEAST_WORDS, MOST_REPEATED = 20, 30  # base rules: words; per cent of words in r
 LEAST_GROUP = 100  # smaller groups are pooled, first within the language, then all together; a smaller rest is not judged
 SHARE = 0.75  # of a group in its concentrated part
 STEPS = 8
-TAIL = 1e-6  # chance that a text of normal statistics is rejected
+TAIL = 1e-4  # chance that a text of normal statistics is rejected
 FLOORS = (0.06, 0.08, 0.12, 0.15, 0.12, 0.1)  # least spread of each statistic: rounding, or a symbol or two, is no outlier
 P = len(FLOORS)
+MOST_SENT = 20_000  # rows of numbers by group, a few MB
 BINS = 24  # bins of distance to each factor of e: the concentrated part ends at a bin's end
 GRID = 500  # steps to one when medians are taken
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
@@ -33,6 +34,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def checked(groups: DataFrame) -> DataFrame:
+    """A table with a row or a few for each group: sent to every executor if it has at most ``MOST_SENT`` rows, else joined as Spark plans it."""
+    return F.broadcast(groups) if groups.limit(MOST_SENT + 1).count() <= MOST_SENT else groups
+
+
 # --- statistics of a text ---------------------------------------------------------------------------------------
 
 
@@ -109,7 +115,7 @@ def group_names(rows: DataFrame) -> DataFrame:
 
 def grouped(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Rows with their group; pairs of which no document passes the base rules have none."""
-    return rows.join(names, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+    return rows.join(checked(names), F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
 
 
 # --- estimates --------------------------------------------------------------------------------------------------
@@ -145,7 +151,7 @@ def start(fitted: DataFrame) -> DataFrame:
     """Medians and, from the medians of the distances to them, spreads: the shape to begin with has no correlations."""
     long = fitted.select("group", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(P)])).alias("k", "v"))
     middle = stage(medians(long), "medians").withColumnsRenamed({"group": "_group", "k": "_k"})
-    away = long.join(middle, (F.col("group") == F.col("_group")) & (F.col("k") == F.col("_k"))).select("group", "k", F.abs(F.col("v") - F.col("middle")).alias("v"))
+    away = long.join(checked(middle), (F.col("group") == F.col("_group")) & (F.col("k") == F.col("_k"))).select("group", "k", F.abs(F.col("v") - F.col("middle")).alias("v"))
     spread = stage(medians(away).withColumnRenamed("middle", "spread"), "spreads")
     both = spread.join(middle, (F.col("group") == F.col("_group")) & (F.col("k") == F.col("_k")))
     pick = lambda c, i: F.max(F.when(F.col("k") == i, F.col(c)))
@@ -166,7 +172,7 @@ def with_factors(shapes: DataFrame) -> DataFrame:
 
 def with_distance(rows: DataFrame, shapes: DataFrame, how: str = "inner", x: str = "x") -> DataFrame:
     """Rows with the squared Mahalanobis distance from their group's estimate."""
-    out = rows.join(shapes, F.col("group") == F.col("_group"), how)
+    out = rows.join(checked(shapes), F.col("group") == F.col("_group"), how)
     for i in range(P):
         done = sum((F.col(f"l{i}{k}") * F.col(f"_y{k}") for k in range(i)), F.lit(0.0))
         out = out.withColumn(f"_y{i}", (F.col(f"{x}{i}") - F.col(f"m{i}") - done) / F.col(f"l{i}{i}"))
@@ -196,7 +202,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     """Means and factored covariances of all groups, from the documents that pass the base rules."""
     fitted = rows.filter("group is not null and not _quality.base_failed").select("group", *[F.col(f"_quality.x{i}").alias(f"x{i}") for i in range(P)])
     large = fitted.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_GROUP).select(F.col("group").alias("_large"))
-    fitted = stage(fitted.join(stage(large, "large"), F.col("group") == F.col("_large")).drop("_large"), "vectors")
+    fitted = stage(fitted.join(checked(stage(large, "large")), F.col("group") == F.col("_large")).drop("_large"), "vectors")
     shapes = stage(with_factors(start(fitted)), "shapes")
     for _ in range(STEPS):
         shapes = stage(with_factors(concentrated(fitted, shapes)), "shapes")
