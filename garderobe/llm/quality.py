@@ -1,7 +1,7 @@
 """Robust multivariate outliers: documents whose statistics are far from those of their language and source.
 
-DataFrame functions only. The estimates are minimum-covariance-determinant fits: mean and covariance of the three quarters of a group's
-documents that lie closest together, found by concentration steps from coordinatewise medians.
+DataFrame functions only. The estimates are minimum-covariance-determinant fits: mean and covariance of the half of a group's distinct
+texts that lies closest together, found by concentration steps from several robust shapes, of which the least determinant is kept.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ SYMBOL = "[#*$%&|<>]"
 RUN = 8  # words in a window
 LEAST_WORDS, MOST_REPEATED = 20, 30  # base rules: words; per cent of words in repeated windows
 LEAST_GROUP = 100  # smaller groups are pooled, first within the language, then all together; a smaller rest is not judged
-SHARE = 0.75  # of a group in its concentrated part
+SHARE = 0.5  # of a group in its concentrated part: up to as many outliers do not move the estimate
 STEPS = 8
 TAIL = 1e-4  # chance that a text of normal statistics is rejected
 FLOORS = (0.06, 0.08, 0.12, 0.15, 0.12, 0.1)  # least spread of each statistic: rounding, or a symbol or two, is no outlier
 P = len(FLOORS)
 MOST_SENT = 20_000  # rows of numbers by group, a few MB
 BINS = 24  # bins of distance to each factor of e: the concentrated part ends at a bin's end
+MARGIN = P / BINS  # of log determinants: what a bin more or less makes
 GRID = 500  # steps to one when medians are taken
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
@@ -104,8 +105,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def group_names(rows: DataFrame) -> DataFrame:
-    """(lang, source) -> group: the pair itself if it has ``LEAST_GROUP`` documents that pass the base rules, else the rest of the language, else the rest."""
-    sizes = stage(rows.filter("not _quality.base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    """(lang, source) -> group: the pair itself if it has ``LEAST_GROUP`` distinct texts that pass the base rules, else the rest of the language, else the rest."""
+    sizes = stage(rows.filter("not _quality.base_failed").select("lang", "source", "_text").distinct().groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
     rest = sizes.filter(F.col("n") < LEAST_GROUP).groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("_rest"))
     own, language = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
     name = F.when(F.col("n") >= LEAST_GROUP, F.concat(F.lit("source "), own)).when(F.col("_rest") >= LEAST_GROUP, F.concat(F.lit("language "), language)).otherwise(F.lit("rest"))
@@ -148,26 +149,40 @@ def medians(values: DataFrame) -> DataFrame:
 
 
 def start(fitted: DataFrame) -> DataFrame:
-    """Medians and, from the medians of the distances to them, spreads: the shape to begin with has no correlations."""
+    """(group, start, m, s): medians and, from the medians of the distances to them, spreads.
+
+    The first shape has no correlations; the others have those of the directions from the median and of the squashed distances, both of
+    which bound what a far row does.
+    """
     long = fitted.select("group", F.posexplode(F.array(*[F.col(f"x{i}") for i in range(P)])).alias("k", "v"))
     middle = stage(medians(long), "medians").withColumnsRenamed({"group": "_group", "k": "_k"})
     away = long.join(checked(middle), (F.col("group") == F.col("_group")) & (F.col("k") == F.col("_k"))).select("group", "k", F.abs(F.col("v") - F.col("middle")).alias("v"))
     spread = stage(medians(away).withColumnRenamed("middle", "spread"), "spreads")
     both = spread.join(middle, (F.col("group") == F.col("_group")) & (F.col("k") == F.col("_k")))
     pick = lambda c, i: F.max(F.when(F.col("k") == i, F.col(c)))
-    means = [pick("middle", i).alias(f"m{i}") for i in range(P)]
-    shape = [(F.pow(pick("spread", i) * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS]
-    return both.groupBy("group").agg(*means, *shape)
+    wide = stage(both.groupBy(F.col("group").alias("_group")).agg(*[pick("middle", i).alias(f"m{i}") for i in range(P)], *[F.sqrt(F.pow(pick("spread", i) * 1.4826, 2) + FLOORS[i] ** 2).alias(f"w{i}") for i in range(P)]), "scales")
+    means = [F.col(f"m{i}") for i in range(P)]
+    plain = wide.select(F.col("_group").alias("group"), F.lit(0).alias("start"), *means, *[(F.pow(f"w{i}", 2) - FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in PAIRS])
+    scaled = fitted.join(checked(wide), F.col("group") == F.col("_group")).select("group", *means, *[F.col(f"w{i}") for i in range(P)], *[((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"w{i}")).alias(f"z{i}") for i in range(P)])
+    length = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(1e-12)))
+    signs = {1: lambda i: F.col(f"z{i}") / length, 2: lambda i: F.tanh(F.col(f"z{i}"))}
+    sums = [F.avg(f(i) * f(j)).alias(f"c{k}_{i}{j}") for k, f in signs.items() for i, j in PAIRS]
+    turned = stage(scaled.groupBy("group", *[f"m{i}" for i in range(P)], *[f"w{i}" for i in range(P)]).agg(*sums), "correlations")
+    for k in signs:
+        # The correlations of the signs with the spreads of the medians.
+        shape = [(F.col(f"c{k}_{i}{j}") / F.sqrt(F.greatest(F.col(f"c{k}_{i}{i}") * F.col(f"c{k}_{j}{j}"), F.lit(1e-12))) * F.col(f"w{i}") * F.col(f"w{j}")).alias(f"s{i}{j}") if i != j else (F.pow(f"w{i}", 2) - FLOORS[i] ** 2).alias(f"s{i}{j}") for i, j in PAIRS]
+        plain = plain.unionByName(turned.select("group", F.lit(k).alias("start"), *means, *shape))
+    return plain
 
 
 def with_factors(shapes: DataFrame) -> DataFrame:
-    """(group, m, s) -> + l: the lower triangle whose square is the covariance with the floors added."""
+    """(group, start, m, s) -> + l: the lower triangle whose square is the covariance with the floors added."""
     out = shapes
     for i, j in PAIRS:
         done = sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         value = F.col(f"s{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0) - done
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(FLOORS[i] ** 2 / 4))) if i == j else value / F.col(f"l{j}{j}"))
-    return out.select(F.col("group").alias("_group"), *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
+    return out.select(F.col("group").alias("_group"), "start", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
 
 
 def with_distance(rows: DataFrame, shapes: DataFrame, how: str = "inner", x: str = "x") -> DataFrame:
@@ -180,49 +195,59 @@ def with_distance(rows: DataFrame, shapes: DataFrame, how: str = "inner", x: str
 
 
 def concentrated(fitted: DataFrame, shapes: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of the closest ``SHARE`` of each group.
+    """One concentration step from each shape: mean and covariance of the closest ``SHARE`` of each group.
 
     Rows are summed up by group and bin of distance in one pass; the bins up to the one that completes the share are then added.
     """
     bin_ = F.floor(F.log(F.col("distance") + 1e-9) * BINS).alias("bin")
     sums = [F.sum(f"x{i}").alias(f"t{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
-    binned = stage(with_distance(fitted, shapes).groupBy("group", bin_).agg(F.count(F.lit(1)).alias("n"), *sums), "bins")
-    listed = binned.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("all"))
+    binned = stage(with_distance(fitted, shapes).groupBy("group", "start", bin_).agg(F.count(F.lit(1)).alias("n"), *sums), "bins")
+    listed = binned.groupBy("group", "start").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("all"))
     last = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("bin")),
                        lambda a, x: F.struct((a["upto"] + x["n"]).alias("upto"), F.coalesce(a["bin"], F.when(a["upto"] + x["n"] >= F.ceil(F.col("all") * SHARE), x["bin"])).alias("bin")))
-    ends = listed.select(F.col("group").alias("_group"), last["bin"].alias("_last"))
-    inner = binned.join(ends, (F.col("group") == F.col("_group")) & (F.col("bin") <= F.col("_last")))
+    ends = listed.select(F.col("group").alias("_group"), F.col("start").alias("_start"), last["bin"].alias("_last"))
+    inner = binned.join(ends, (F.col("group") == F.col("_group")) & (F.col("start") == F.col("_start")) & (F.col("bin") <= F.col("_last")))
     n = F.sum("n")
     means = [(F.sum(f"t{i}") / n).alias(f"m{i}") for i in range(P)]
     shape = [((F.sum(f"q{i}{j}") / n - F.sum(f"t{i}") / n * F.sum(f"t{j}") / n) * CONSISTENCY).alias(f"s{i}{j}") for i, j in PAIRS]
-    return inner.groupBy("group").agg(*means, *shape)
+    return inner.groupBy("group", "start").agg(*means, *shape)
+
+
+def least_determinant(shapes: DataFrame) -> DataFrame:
+    """Of each group's estimates the one with the least determinant; of those within ``MARGIN`` of it the first."""
+    size = sum((2 * F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0))
+    least = shapes.groupBy(F.col("_group").alias("_of")).agg(F.min(size).alias("_least"))
+    near = shapes.join(least, F.col("_group") == F.col("_of")).filter(size <= F.col("_least") + MARGIN)
+    columns = [c for c in shapes.columns if c not in ("_group", "start")]
+    return near.groupBy("_group").agg(F.min_by(F.struct(*columns), "start").alias("own")).select("_group", "own.*")
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """Means and factored covariances of all groups, from the documents that pass the base rules."""
-    fitted = rows.filter("group is not null and not _quality.base_failed").select("group", *[F.col(f"_quality.x{i}").alias(f"x{i}") for i in range(P)])
-    large = fitted.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_GROUP).select(F.col("group").alias("_large"))
+    """Means and factored covariances of all groups, from the distinct texts that pass the base rules."""
+    fitted = rows.filter("group is not null and not _quality.base_failed").select("group", "_text", *[F.col(f"_quality.x{i}").alias(f"x{i}") for i in range(P)])
+    fitted = fitted.groupBy("group", "_text").agg(*[F.first(f"x{i}").alias(f"x{i}") for i in range(P)]).drop("_text")
+    large = fitted.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= LEAST_GROUP) | (F.col("group") != "rest")).select(F.col("group").alias("_large"))
     fitted = stage(fitted.join(checked(stage(large, "large")), F.col("group") == F.col("_large")).drop("_large"), "vectors")
     shapes = stage(with_factors(start(fitted)), "shapes")
     for _ in range(STEPS):
         shapes = stage(with_factors(concentrated(fitted, shapes)), "shapes")
-    return shapes
+    return stage(least_determinant(shapes), "shapes")
 
 
 def judged(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Documents (``text``, ``lang``, ``source`` and any others) with ``_quality``, ``distance`` and ``kept``.
 
     ``columns``: those of the input to carry along; all if not given. Null languages and sources are values of their own. A null or
-    empty text has no words and fails the base rules. Repeated rows count as often as they occur; ties in distance stand on the same
-    side of every cut. Documents of a rest with fewer than ``LEAST_GROUP`` documents are judged by the base rules alone and have no
-    distance. An empty table gives an empty result. Input columns named ``_quality``, ``group``, ``distance`` or ``kept`` are dropped.
+    empty text has no words and fails the base rules. All rows are judged, but the estimates count a text once in its group; ties in
+    distance stand on the same side of every cut. Documents of a rest with fewer than ``LEAST_GROUP`` distinct texts are judged by the base rules alone and have no
+    distance. An empty table gives an empty result. Input columns named ``_quality``, ``_text``, ``group``, ``distance`` or ``kept`` are dropped.
     """
-    docs = docs.drop("_quality", "group", "distance", "kept")
+    docs = docs.drop("_quality", "_text", "group", "distance", "kept")
     carried = list(dict.fromkeys([*(docs.columns if columns is None else columns), "lang", "source"]))
-    rows = stage(with_statistics(docs).select(*carried, "_quality"), "statistics")
+    rows = stage(with_statistics(docs).select(*carried, "_quality", F.xxhash64("text").alias("_text")), "statistics")
     rows = grouped(rows, group_names(rows))
     vector = {f"_quality_x{i}": F.col(f"_quality.x{i}") for i in range(P)}
-    measured = with_distance(rows.withColumns(vector), estimates(rows), "left", "_quality_x").drop(*vector)
+    measured = with_distance(rows.withColumns(vector), estimates(rows), "left", "_quality_x").drop("_text", *vector)
     return measured.withColumn("kept", ~F.col("_quality.base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True)))
 
 

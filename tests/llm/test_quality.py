@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from garderobe.llm import quality
 from tests.llm.conftest import odd_rows
@@ -98,3 +99,28 @@ def test_odd_and_small_tables(odd, no_docs):
 
 def test_chi_square():
     assert abs(quality.chi_square_point(0.95, 2) - 9.4877) < 1e-3 and abs(quality.chi_square_point(0.5, 1) - 1.3863) < 1e-3
+
+
+def with_junk(share, exact):
+    """200 texts of prose and so many junk ones that they are ``share`` of all: copies of one, or each with a word of its own."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    rows = [(i, prose(rnd, rnd.randint(30, 300), words), "en", "s", "good") for i in range(200)]
+    junk = " ".join(w + "###" for w in prose(rnd, 80, words).split())
+    return rows + [(200 + i, junk if exact else f"{junk} {rnd.choice(words)}", "en", "s", "bad") for i in range(round(200 * share / (1 - share)))]
+
+
+@pytest.mark.parametrize("exact,share", [(True, 1 / 3), (False, 1 / 3), (True, 0.6)])
+def test_many_copies_of_one_outlier(spark, exact, share):
+    rows = quality.judged(spark.createDataFrame(with_junk(share, exact), "doc_id long, text string, lang string, source string, label string")).collect()
+    assert {r.label for r in rows if not r.kept} == {"bad"} and all(not r.kept for r in rows if r.label == "bad")
+
+
+def test_least_determinant(spark):
+    """Of three estimates the narrowest is kept; of two that are as narrow, the first."""
+    names = [f"m{i}" for i in range(quality.P)] + [f"l{i}{j}" for i, j in quality.PAIRS]
+    def shape(group, start, width):
+        return (group, start, *[float(start)] * quality.P, *[width if i == j else 0.0 for i, j in quality.PAIRS])
+    made = [shape("a", 0, 1.0), shape("a", 1, 0.5), shape("a", 2, 0.9), shape("b", 0, 1.0), shape("b", 1, 0.999), shape("b", 2, 2.0)]
+    got = quality.least_determinant(spark.createDataFrame(made, ["_group", "start", *names]))
+    assert {r["_group"]: r.m0 for r in got.collect()} == {"a": 1.0, "b": 0.0}
