@@ -17,8 +17,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from garderobe.llm.pieces import Pieces, slices
 
 SAMPLE = 4_000  # most labelled texts of each class that the model is fitted on
-MOST_TERMS = 20_000  # most terms of the model: with their factors they bound what is sent to every executor
+MOST_TERMS = 20_000  # most terms that separate the classes on their own: with their factors they bound what is sent to every executor
 LEAST_DOCS, LEAST_Z = 3, 3.0  # a term is learned if so many texts have it and the classes differ in it so clearly
+PAIR_Z = 6.0  # a pair is one of millions: so clearly must the classes differ in it, and by LEAST_Z more than in either of its terms
+PAIR_CHANCE = 2e-9  # the same for pairs of few texts, where z says too much: the chance that all of them are of one class
+BLOCK = 512  # terms of which all pairs are counted at once
 PREFIXES = (3, 4, 5, 6, 7, 8)
 FACTORS = 8
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.1, 1e-4
@@ -55,16 +58,50 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.margin(own), -30, 30))))
 
 
+def separation(of_toxic: np.ndarray, with_: np.ndarray, n1: int, n: int) -> np.ndarray:
+    """How clearly the classes differ in how often a thing occurs: the z of two shares."""
+    share = with_ / n
+    return np.abs(of_toxic / n1 - (with_ - of_toxic) / (n - n1)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
+
+
+def members_of_pairs(flat: np.ndarray, sizes: list[int], labels: np.ndarray, with_: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Places of the terms of pairs that separate the classes more clearly than either term does.
+
+    ``flat``: the places of all texts' terms one after another. All pairs are counted of the terms that can be in such a pair: with
+    fewer texts than ``least`` in all, no distribution over the classes is as clear as ``PAIR_Z`` and ``PAIR_CHANCE`` ask.
+    """
+    n, n1 = len(labels), int(labels.sum())
+    rare = np.arange(1, min(n1, n - n1) + 1)
+    able = separation(rare if n1 <= n - n1 else np.zeros(len(rare)), rare, n1, n) >= PAIR_Z
+    least = max(int(rare[able.argmax()]) if able.any() else len(rare) + 1, int(np.ceil(np.log(PAIR_CHANCE) / np.log(min(n1, n - n1) / n))))
+    common = np.flatnonzero(with_ >= least)
+    column = np.full(len(with_), -1)
+    column[common] = np.arange(len(common))
+    found, at = np.zeros(len(common), bool), column[flat]
+    has = np.zeros((n, len(common)), np.uint8)
+    has[np.repeat(np.arange(n), sizes)[at >= 0], at[at >= 0]] = 1
+    toxic, z = labels == 1, alone[common]
+    for i in range(0, len(common), BLOCK):
+        one = has[:, i : i + BLOCK].astype(np.float32).T
+        one_toxic = np.ascontiguousarray(one[:, toxic])
+        for j in range(i, len(common), BLOCK):
+            other = has[:, j : j + BLOCK].astype(np.float32)
+            both, of_toxic = one @ other, one_toxic @ other[toxic]
+            clear = (both >= least) & (separation(of_toxic, both, n1, n) >= np.maximum(PAIR_Z, np.maximum(z[i : i + BLOCK, None], z[None, j : j + BLOCK]) + LEAST_Z))
+            found[i : i + BLOCK] |= clear.any(axis=1)
+            found[j : j + BLOCK] |= clear.any(axis=0)
+    return common[found]
+
+
 def chosen_terms(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Hashes that separate the classes, the clearest first to be kept."""
-    flat, toxic = np.concatenate([*texts, np.empty(0, np.uint32)]), np.repeat(labels, [len(t) for t in texts]) == 1
+    """Hashes that separate the classes, the clearest first to be kept, and all that do so in a pair."""
+    sizes = [len(t) for t in texts]
+    flat, toxic = np.concatenate([*texts, np.empty(0, np.uint32)]), np.repeat(labels, sizes) == 1
     terms, place = np.unique(flat, return_inverse=True)
     with_, of_toxic = np.bincount(place, minlength=len(terms)), np.bincount(place[toxic], minlength=len(terms))
-    n, n1 = len(labels), int(labels.sum())
-    share = with_ / n
-    z = np.abs(of_toxic / n1 - (with_ - of_toxic) / (n - n1)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
+    z = separation(of_toxic, with_, int(labels.sum()), len(labels))
     fit = np.flatnonzero((with_ >= LEAST_DOCS) & (z >= LEAST_Z))
-    return np.sort(terms[fit[np.argsort(-z[fit], kind="stable")[:MOST_TERMS]]])
+    return terms[np.union1d(fit[np.argsort(-z[fit], kind="stable")[:MOST_TERMS]], members_of_pairs(place, sizes, labels, with_, z))]
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, terms: np.ndarray | None = None) -> Machine:

@@ -66,3 +66,19 @@ def test_score_of_a_text_alone(spark, odd):
     alone = toxicity.Scorer(machine)
     got = {(r.doc_id, r.text): r.s for r in toxicity.with_score(odd, machine, "s").collect()}
     assert all(got[r[0], r[1]] == alone.scores([r[1] or ""])[0] for r in odd_rows())
+
+
+def test_terms_of_pairs_are_chosen():
+    """Toxic: both or neither of two terms, each as frequent in clean as in toxic texts. The machine has to find them among the others."""
+    rng = np.random.default_rng(3)
+    texts, labels = [], []
+    for k in range(1600):
+        insult, group = k % 2, k // 2 % 2
+        rest = rng.choice(np.arange(2, 700), 10, replace=False)
+        texts.append(np.array(sorted([*([0] if insult else []), *([1] if group else []), *rest]), np.uint32))
+        labels.append(int(insult == group))
+    labels = np.array(labels)
+    machine = toxicity.fit(texts[:1200], labels[:1200])
+    assert {0, 1} <= set(machine.terms.tolist()) and len(machine.terms) < 50
+    right = [(machine.score(np.flatnonzero(np.isin(machine.terms, t))) >= 0.5) == y for t, y in zip(texts[1200:], labels[1200:], strict=True)]
+    assert np.mean(right) > 0.9
