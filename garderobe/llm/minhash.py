@@ -174,6 +174,12 @@ def rest_cells(members: DataFrame, component: DataFrame) -> DataFrame | None:
     return major.unionByName(with_major).unionByName(among)
 
 
+def merged_buckets(in_bucket: DataFrame) -> DataFrame:
+    """(rep, bucket) -> (bucket, n, low) of buckets with two or more texts, one of those with the same texts. A text that is listed twice counts once."""
+    own = in_bucket.distinct().groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("mark")).filter("low < high")
+    return own.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "low")
+
+
 # --- the operator -----------------------------------------------------------------------------------------------
 
 
@@ -194,8 +200,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = PER_CENT) -
     classes = stage(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
     banded = sets.join(classes.withColumnsRenamed({"set_key": "_key"}), (F.col("doc_id") == F.col("rep")) & (F.col("set_key") == F.col("_key")))
     in_bucket = banded.select("rep", "text_key", F.explode("bands").alias("bucket")).select("rep", "bucket")
-    buckets = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("rep")).alias("mark")).filter("low < high")
-    buckets = stage(buckets.groupBy("n", "low", "high", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "low"), "buckets")
+    buckets = stage(merged_buckets(in_bucket), "buckets")
     members = stage(in_bucket.join(buckets, "bucket").distinct(), "members")
     needed = banded.select("rep", "text_key").distinct().join(members.select("rep").distinct(), "rep", "left_semi")
     keyed = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_key"), "text")

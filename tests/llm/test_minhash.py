@@ -96,3 +96,11 @@ def test_shared_items_in_bulk():
     want = [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
     assert minhash.shared_items(sets[:5], sets[5:]).tolist() == want
     assert len(shingle_set("a b c d e f")) == 2
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_buckets_of_a_doubled_table(spark, times):
+    """Buckets with equal ends and sizes stay apart unless they hold the same texts, also if every row is repeated."""
+    rows = [(rep, bucket) for bucket, own in enumerate([(1, 5, 9), (1, 7, 9), (1, 5, 9), (4,)]) for rep in own] * times
+    got = minhash.merged_buckets(spark.createDataFrame(rows, "rep long, bucket long")).collect()
+    assert sorted(map(tuple, got)) == [(0, 3, 1), (1, 3, 1)]
