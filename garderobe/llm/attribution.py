@@ -129,8 +129,8 @@ def attribute_tokens(docs: DataFrame, cut: Callable[[str], list[tuple[int, int]]
 
 
 def attribution_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens by line of every document: the first line, the longest, and all lines together."""
+    """Tokens by line of every document: each line's in order, the first line, the largest count, and all lines together."""
     counted = attribute_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     total = F.aggregate("section_tokens", F.lit(0).cast("long"), lambda a, b: a + b)
     return counted.select("doc_id", "n_tokens", F.size("section_tokens").cast("long").alias("n_sections"), total.alias("section_tokens"), "gap_tokens", "crossing_tokens",
-                          F.get("section_tokens", F.lit(0)).alias("first_section_tokens"), F.array_max("section_tokens").alias("largest_section_tokens"))
+                          F.get("section_tokens", F.lit(0)).alias("first_section_tokens"), F.array_max("section_tokens").alias("largest_section_tokens"), F.col("section_tokens").alias("tokens_by_section"))

@@ -134,3 +134,15 @@ def test_boundary_rule():
     assert attribution.allocate(ends, [(5, 7)]) [1:] == (2, 0)
     text, spans = attribution.fields({"title": "A title", "body": None, "foot": "é"})
     assert text == "A title\n\né" and spans == [(0, 7), (8, 8), (9, 11)]
+
+
+def test_attribution_query_gives_every_line(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    tokens = attribution.tokens_of(public_tokenizers.path(attribution.VOCABULARY))
+    rows = attribution.attribution_query(spark, folder).collect()
+    assert len(rows) == len(texts) and any(r.n_sections > 2 for r in rows)
+    for r in rows:
+        ids = tokens.encode([texts[r.doc_id] or ""])[0]
+        assert r.tokens_by_section == attribution.allocate(np.cumsum(tokens.width[ids]), attribution.lines(texts[r.doc_id] or ""))[0].tolist()
+        assert sum(r.tokens_by_section) == r.section_tokens and len(r.tokens_by_section) == r.n_sections
