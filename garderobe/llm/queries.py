@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garderobe.llm import attribution, bpe, fuzzy, minhash, mixing, pages, preferences, quality, token_files, toxicity
+from garderobe.llm import alignment, attribution, bpe, fuzzy, lexical, minhash, mixing, pages, preferences, quality, sharding, token_files, toxicity
 from garderobe.session import prepare
 
 
@@ -25,5 +25,8 @@ QUERIES = {
     "op8_fuzzy_hash": prepared(fuzzy.fuzzy_query),
     "op9_minhash_dedup": prepared(minhash.minhash_query),
     "op10_token_files": prepared(token_files.token_files_query),
+    "op11_lexical_strata": prepared(lexical.lexical_query),
+    "op12_differenced_shards": prepared(sharding.sharding_query),
+    "op13_token_alignment": prepared(alignment.alignment_query),
 }
-ORACLES = {"op3_preference_pairs": preferences.PREFERENCES_SQL, "op4_systematic_mix": mixing.MIX_SQL}
+ORACLES = {"op3_preference_pairs": preferences.PREFERENCES_SQL, "op4_systematic_mix": mixing.MIX_SQL, "op11_lexical_strata": lexical.LEXICAL_SQL}
