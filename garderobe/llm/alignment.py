@@ -7,20 +7,22 @@ are both halves; a stretch without a shared cut inside is a leaf: a group of tok
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from garderobe.llm.bpe import byte_letters
 from garderobe.llm.pieces import Pieces, slices
@@ -48,9 +50,9 @@ def shared_cut(a: Sequence[int], b: Sequence[int], a0: int, a1: int, b0: int, b1
     return None
 
 
-def groups_of(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int, int, int]]:
-    """Leaves in order, as stretches (a0, a1, b0, b1) of tokens; ``a`` and ``b`` are the places where tokens end, of the same whole."""
-    leaves, open_ = [], [(0, len(a), 0, len(b))] if len(a) else []
+def groups_of(a: Sequence[int], b: Sequence[int], whole: tuple[int, int, int, int]) -> list[tuple[int, int, int, int]]:
+    """Leaves in order, as stretches (a0, a1, b0, b1) of tokens; ``a`` and ``b`` are the places where tokens end, which agree at the end of ``whole``."""
+    leaves, open_ = [], [whole]
     while open_:
         a0, a1, b0, b1 = open_.pop()
         cut = shared_cut(a, b, a0, a1, b0, b1) if a1 - a0 > 1 and b1 - b0 > 1 else None
@@ -70,15 +72,16 @@ def links_of(a: Sequence[int], b: Sequence[int], leaf: tuple[int, int, int, int]
 
 
 class TwoTokenizers:
-    """Ids and bytes of a piece of text by both tokenizers. A piece is what follows a space: the space belongs to it."""
+    """Ids of pieces of text by both tokenizers. A piece is what follows a space: the space belongs to it."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a = Tokenizer.from_file(path_a)
-        self.a.no_padding()
-        self.a.no_truncation()
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         byte_of = byte_letters()
-        self.bytes_a = {i: bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token) else token.encode() for token, i in self.a.get_vocab().items()}
+        with open(path_a, encoding="utf-8") as file:
+            spec = json.load(file)
+        special = {t["content"] for t in spec["added_tokens"]}  # their strings in a text are ordinary text
+        tokens = {bytes(map(byte_of.__getitem__, token)): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.a = tiktoken.Encoding("alignment", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens, special_tokens={})  # ids ascend with the merges
+        self.bytes_a = {i: token for token, i in tokens.items()}
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
@@ -88,12 +91,12 @@ class TwoTokenizers:
     def split(self, text: str) -> list[str]:
         return (self.cut.split(text) if self.cut else [text]) if text else []
 
-    def encode(self, piece: str) -> tuple[list[int], list[int]] | None:
-        """Ids of a space and ``piece``; None if the bytes of either side are not those of the piece."""
-        a = self.a.encode(" " + piece, add_special_tokens=False).ids
+    def encode(self, piece: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
+        """Ids of a space and ``piece`` by A and B, and where they end; None if the bytes of either side are not those of the piece."""
+        a = self.a.encode_ordinary(" " + piece)
         b = self.b.encode(piece, num_threads=1) if piece else [self.space]  # B puts the space there itself, but not before nothing
-        whole = (" " + piece).encode()
-        return (a, b) if b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b)) else None
+        of_a, of_b, whole = [self.bytes_a[t] for t in a], [self.bytes_b[t] for t in b], (" " + piece).encode()
+        return (a, b, list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b)))) if b"".join(of_a) == whole == b"".join(of_b) else None
 
 
 class AlignedPieces(Pieces):
@@ -107,42 +110,72 @@ class AlignedPieces(Pieces):
         self.clear()
         self.links, self.ends, self.sizes, self.texts, self.chars = array("q"), array("q", [0]), array("q"), [], 0
 
-    def __missing__(self, piece: str) -> int:
-        ids = self.two.encode(piece)
-        text = None
-        if ids is not None:
-            a, b = ids
-            ends_a, ends_b = np.cumsum([len(self.two.bytes_a[t]) for t in a]).tolist(), np.cumsum([len(self.two.bytes_b[t]) for t in b]).tolist()
-            leaves = groups_of(ends_a, ends_b)
-            self.links.extend(a[i] * BASE + b[j] for leaf in leaves for i, j in links_of(ends_a, ends_b, leaf))
-            text = ";".join(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])) for a0, a1, b0, b1 in leaves)
-            self.sizes.extend((len(a), len(b), len(leaves)))
-        else:
-            self.sizes.extend((0, 0, 0))
+    def _add(self, piece: str, text: str | None, sizes: tuple[int, int, int]) -> None:
+        self.sizes.extend(sizes)
         self.ends.append(len(self.links))
-        self.texts.append(text)
         self.chars += len(piece) + len(text or "")
-        self[piece] = row = len(self.texts) - 1
-        return row
+        self[piece] = len(self.texts)
+        self.texts.append(text)
 
-    def align(self, text: str) -> tuple[np.ndarray, np.ndarray, str] | None:
-        """(tokens of A, of B and groups; links; groups as text), or None for a text without tokens."""
+    def _align(self, piece: str, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int], whole: tuple[int, int, int, int]) -> None:
+        leaves = groups_of(ends_a, ends_b, whole)
+        said = []
+        for leaf in leaves:
+            a0, a1, b0, b1 = leaf
+            if a1 - a0 == 1 and b1 - b0 == 1:
+                self.links.append(a[a0] * BASE + b[b0])
+                said.append(f"{a[a0]}|{b[b0]}")
+            else:
+                self.links.extend([a[i] * BASE + b[j] for i, j in links_of(ends_a, ends_b, leaf)])
+                said.append(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])))
+        self._add(piece, ";".join(said), (whole[1] - whole[0], whole[3] - whole[2], len(leaves)))
+
+    def learn(self, pieces: list[str]) -> None:
+        """Aligns pieces that are new. Most are encoded as one text, whose shared cuts between the pieces are known beforehand."""
+        joint = [p for p in pieces if p and SPACE not in p and not p[-1].isspace()] if self.two.cut else []
+        if len(joint) > 1 and (got := self.two.encode(" ".join(joint))):
+            ends_a, ends_b = np.array(got[2]), np.array(got[3])
+            bounds = np.cumsum([len(p.encode()) + 1 for p in joint])
+            at_a, at_b = np.searchsorted(ends_a, bounds), np.searchsorted(ends_b, bounds)
+            if (ends_a[at_a] == bounds).all() and (ends_b[at_b] == bounds).all():
+                a0 = b0 = 0
+                for piece, a1, b1 in zip(joint, (at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
+                    self._align(piece, *got, (a0, a1, b0, b1))
+                    a0, b0 = a1, b1
+        for piece in pieces:
+            if piece not in self:
+                got = self.two.encode(piece)
+                if got:
+                    self._align(piece, *got, (0, len(got[0]), 0, len(got[1])))
+                else:
+                    self._add(piece, None, (0, 0, 0))
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[str | None]]:
+        """Of every text: (tokens of A, of B, groups), its links, and its groups as text; None for a text without tokens."""
         if Pieces.in_use is not self:
             if Pieces.in_use is not None:
                 Pieces.in_use.forget()
             Pieces.in_use = self
         if len(self) > PIECES or self.chars > PIECE_CHARS:
             self.forget()
-        rows = list(map(self.__getitem__, self.two.split(text)))
-        texts = [self.texts[r] for r in rows]
-        if not rows or None in texts:
-            return None
-        at = np.array(rows)
-        ends, table = np.frombuffer(self.ends, np.int64), np.frombuffer(self.links, np.int64)
-        n = ends[at + 1] - ends[at]
-        upto = np.cumsum(n)
-        links = table[np.arange(upto[-1]) + np.repeat(ends[at] - (upto - n), n)]
-        return np.frombuffer(self.sizes, np.int64).reshape(-1, 3)[at].sum(axis=0), links, ";".join(texts)
+        split = [self.two.split(t) for t in texts]
+        self.learn([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self])
+        sizes, links, said = np.zeros((len(texts), 3), np.int64), [], []
+        ends, table, known = np.frombuffer(self.ends, np.int64), np.frombuffer(self.links, np.int64), np.frombuffer(self.sizes, np.int64).reshape(-1, 3)
+        for k, own in enumerate(split):
+            rows = list(map(self.__getitem__, own))
+            groups = [self.texts[r] for r in rows]
+            if not rows or None in groups:
+                links.append(table[:0])
+                said.append(None)
+                continue
+            at = np.array(rows)
+            start, n = ends[at], ends[at + 1] - ends[at]
+            upto = np.cumsum(n)
+            links.append(table[np.arange(upto[-1]) + np.repeat(start - upto + n, n)])
+            sizes[k] = known[at].sum(axis=0)
+            said.append(";".join(groups))
+        return sizes, links, said
 
 
 @lru_cache(2)
@@ -163,19 +196,11 @@ def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | No
         for batch in batches:
             doc_ids, done = batch.column("doc_id").cast(pa.int64()), 0
             for run in slices(batch.column("text").to_pylist()):
-                sizes, links_n, digests, pairs, times = [], [], [], [], []
-                for text in run:
-                    aligned = pieces.align(text)
-                    size, links, said = aligned if aligned else (np.zeros(3, np.int64), np.empty(0, np.int64), "")
-                    distinct, count = np.unique(links, return_counts=True)
-                    sizes.append(size)
-                    links_n.append(len(links))
-                    digests.append(hashlib.sha256(said.encode()).hexdigest() if aligned else "")
-                    pairs.append(distinct)
-                    times.append(count)
-                n = np.array(sizes, np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(run)), pa.int64()), doc_ids.slice(done, len(run)), *(pa.array(n[:, k]) for k in range(3)), pa.array(links_n, pa.int64()), pa.array(digests, pa.string()),
-                                                  pa.array(pairs, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+                n, links, said = pieces.align(run)
+                distinct = [np.unique(own, return_counts=True) for own in links]
+                digests = [hashlib.sha256(groups.encode()).hexdigest() if groups else "" for groups in said]
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(run)), pa.int64()), doc_ids.slice(done, len(run)), *(pa.array(n[:, k]) for k in range(3)), pa.array(map(len, links), pa.int64()), pa.array(digests, pa.string()),
+                                                  *(pa.array([d[k] for d in distinct], pa.list_(pa.int64())) for k in range(2))], ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
                 row, done = row + len(run), done + len(run)
 
     return stage(docs.select("doc_id", "text").mapInArrow(rows, ALIGNED), "aligned")

