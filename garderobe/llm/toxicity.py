@@ -17,14 +17,17 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from garderobe.llm.pieces import Pieces, slices
 
 SAMPLE = 4_000  # most labelled texts of each class that the model is fitted on
+BUCKETS = 1 << 24  # terms are hashed into so many places each for words and for beginnings of words
+BEGINNING = 1 << 30  # marks the places of beginnings
 MOST_TERMS = 20_000  # most terms that separate the classes on their own: with their factors they bound what is sent to every executor
 LEAST_DOCS, LEAST_Z = 3, 3.0  # a term is learned if so many texts have it and the classes differ in it so clearly
-PAIR_Z = 6.0  # a pair is one of millions: so clearly must the classes differ in it, and by LEAST_Z more than in either of its terms
+PAIR_TERMS = 2048  # words whose pairs are looked at: the most frequent of those that can be in a clear pair
+PAIR_Z = 6.0  # a pair is one of a million: so clearly must the classes differ in it, and by LEAST_Z more than in either of its terms
 PAIR_CHANCE = 2e-9  # the same for pairs of few texts, where z says too much: the chance that all of them are of one class
 BLOCK = 512  # terms of which all pairs are counted at once
 PREFIXES = (3, 4, 5, 6, 7, 8)
 FACTORS = 8
-EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.1, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 15, 64, 0.1, 1e-4
 CUT = 0.7
 SEED = 6
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -32,11 +35,11 @@ SCHEMA = "doc_id long, score double"
 
 
 def terms_of(chunk: bytes) -> list[int]:
-    """Hashes of the words in a chunk without white space, and of their first letters: word families share them."""
+    """Places of the words in a chunk without white space, and of their first letters: word families share them."""
     out = []
     for word in LETTERS.findall(chunk.decode(errors="replace").lower()):
-        out.append(xxhash.xxh32_intdigest("=" + word))
-        out += [xxhash.xxh32_intdigest(word[:k]) for k in PREFIXES if len(word) > k]
+        out.append(xxhash.xxh32_intdigest("=" + word) % BUCKETS)
+        out += [xxhash.xxh32_intdigest(word[:k]) % BUCKETS + BEGINNING for k in PREFIXES if len(word) > k]
     return out
 
 
@@ -44,7 +47,7 @@ def terms_of(chunk: bytes) -> list[int]:
 class Machine:
     """score = sigmoid(bias + sum of weights + sum over pairs of terms of the product of their factors), each term of a text once."""
 
-    terms: np.ndarray  # sorted hashes
+    terms: np.ndarray  # sorted places
     bias: float
     weights: np.ndarray
     factors: np.ndarray
@@ -64,25 +67,27 @@ def separation(of_toxic: np.ndarray, with_: np.ndarray, n1: int, n: int) -> np.n
     return np.abs(of_toxic / n1 - (with_ - of_toxic) / (n - n1)) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / (n - n1)))
 
 
-def members_of_pairs(flat: np.ndarray, sizes: list[int], labels: np.ndarray, with_: np.ndarray, alone: np.ndarray) -> np.ndarray:
-    """Places of the terms of pairs that separate the classes more clearly than either term does.
+def members_of_pairs(terms: np.ndarray, place: np.ndarray, of: np.ndarray, labels: np.ndarray, with_: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Which words are in a pair that separates the classes more clearly than either word does.
 
-    ``flat``: the places of all texts' terms one after another. All pairs are counted of the terms that can be in such a pair: with
-    fewer texts than ``least`` in all, no distribution over the classes is as clear as ``PAIR_Z`` and ``PAIR_CHANCE`` ask.
+    ``place`` and ``of``: the term and the text of every occurrence. All pairs are counted of at most ``PAIR_TERMS`` words, the most frequent
+    of those that can be in such a pair: with fewer texts than ``least`` in all, no distribution over the classes is as clear as ``PAIR_Z``
+    and ``PAIR_CHANCE`` ask. So the work is bounded by the sample, whatever the vocabulary.
     """
     n, n1 = len(labels), int(labels.sum())
     rare = np.arange(1, min(n1, n - n1) + 1)
     able = separation(rare if n1 <= n - n1 else np.zeros(len(rare)), rare, n1, n) >= PAIR_Z
     least = max(int(rare[able.argmax()]) if able.any() else len(rare) + 1, int(np.ceil(np.log(PAIR_CHANCE) / np.log(min(n1, n - n1) / n))))
-    common = np.flatnonzero(with_ >= least)
-    column = np.full(len(with_), -1)
+    common = np.flatnonzero((with_ >= least) & (terms < BEGINNING))
+    common = np.sort(common[np.argsort(-with_[common], kind="stable")[:PAIR_TERMS]])
+    column = np.full(len(with_), -1, np.int32)
     column[common] = np.arange(len(common))
-    found, at = np.zeros(len(common), bool), column[flat]
+    at = column[place]
     has = np.zeros((n, len(common)), np.uint8)
-    has[np.repeat(np.arange(n), sizes)[at >= 0], at[at >= 0]] = 1
-    toxic, z = labels == 1, alone[common]
+    has[of[at >= 0], at[at >= 0]] = 1
+    found, toxic, z = np.zeros(len(common), bool), labels == 1, alone[common]
     for i in range(0, len(common), BLOCK):
-        one = has[:, i : i + BLOCK].astype(np.float32).T
+        one = np.ascontiguousarray(has[:, i : i + BLOCK].T, np.float32)
         one_toxic = np.ascontiguousarray(one[:, toxic])
         for j in range(i, len(common), BLOCK):
             other = has[:, j : j + BLOCK].astype(np.float32)
@@ -93,28 +98,37 @@ def members_of_pairs(flat: np.ndarray, sizes: list[int], labels: np.ndarray, wit
     return common[found]
 
 
-def chosen_terms(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Hashes that separate the classes, the clearest first to be kept, and all that do so in a pair."""
-    sizes = [len(t) for t in texts]
-    flat, toxic = np.concatenate([*texts, np.empty(0, np.uint32)]), np.repeat(labels, sizes) == 1
-    terms, place = np.unique(flat, return_inverse=True)
-    with_, of_toxic = np.bincount(place, minlength=len(terms)), np.bincount(place[toxic], minlength=len(terms))
+def chosen_terms(flat: np.ndarray, of: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Terms that separate the classes, the clearest first to be kept, and those that do so in a pair. ``of``: the text of every term in ``flat``."""
+    terms = np.unique(flat)
+    place = np.searchsorted(terms, flat).astype(np.int32)
+    with_, of_toxic = np.bincount(place, minlength=len(terms)), np.bincount(place[labels[of] == 1], minlength=len(terms))
     z = separation(of_toxic, with_, int(labels.sum()), len(labels))
     fit = np.flatnonzero((with_ >= LEAST_DOCS) & (z >= LEAST_Z))
-    return terms[np.union1d(fit[np.argsort(-z[fit], kind="stable")[:MOST_TERMS]], members_of_pairs(place, sizes, labels, with_, z))]
+    return terms[np.union1d(fit[np.argsort(-z[fit], kind="stable")[:MOST_TERMS]], members_of_pairs(terms, place, of, labels, with_, z))]
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, terms: np.ndarray | None = None) -> Machine:
-    """Fits by AdaGrad on the logistic loss in small batches; the classes weigh alike. ``texts``: distinct term hashes of each text.
+    """Fits on texts given one by one, each by its distinct terms."""
+    return fit_flat(np.concatenate([*texts, np.empty(0, np.int32)]).astype(np.int32), np.array([len(t) for t in texts], np.int64), labels, factors, terms)
+
+
+def fit_flat(flat: np.ndarray, sizes: np.ndarray, labels: np.ndarray, factors: int = FACTORS, terms: np.ndarray | None = None) -> Machine:
+    """Fits by AdaGrad on the logistic loss in small batches; the classes weigh alike. ``flat``: distinct terms of all texts in a row, ``sizes``
+    of each text.
 
     With a class missing there is nothing to learn: the score is the share of toxic texts everywhere.
     """
     n1 = int(labels.sum())
     if n1 in (0, len(labels)):
         rate = (n1 + 0.5) / (len(labels) + 1) if len(labels) else 0.5
-        return Machine(np.empty(0, np.uint32), float(np.log(rate / (1 - rate))), np.empty(0), np.empty((0, factors)))
-    terms = chosen_terms(texts, labels) if terms is None else terms
-    rows = [np.flatnonzero(np.isin(terms, t, assume_unique=True)) for t in texts]
+        return Machine(np.empty(0, np.int32), float(np.log(rate / (1 - rate))), np.empty(0), np.empty((0, factors)))
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    terms = chosen_terms(flat, of, labels) if terms is None else terms
+    place = np.minimum(np.searchsorted(terms, flat), max(0, len(terms) - 1))
+    known = terms[place] == flat if len(terms) else np.zeros(len(flat), bool)
+    ends = np.cumsum(np.bincount(of[known], minlength=len(sizes)))
+    rows = np.split(place[known], ends[:-1])
     rng = np.random.default_rng(SEED)
     w, v, bias = np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), factors)), 0.0
     sums_w, sums_v, sum_b = np.full(len(terms), 1e-8), np.full((len(terms), factors), 1e-8), 1e-8
@@ -180,15 +194,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = [np.unique(np.array([t for chunk in set((text or "").encode().lower().split()) for t in terms_of(chunk)], np.uint32)).view(np.int32) for text in batch.column("text").to_pylist()]
+            terms = [np.unique(np.array([t for chunk in set((text or "").encode().lower().split()) for t in terms_of(chunk)], np.int32)) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_toxic"), pa.array(terms, pa.list_(pa.int32()))], ["doc_id", "toxic", "terms"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_doc")).select("_doc", "_toxic", "text")
-    table = texts.mapInArrow(rows, "doc_id long, toxic int, terms array<int>").toArrow()
-    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")  # so that reruns fit the same machine
-    terms = table.column("terms").combine_chunks() if len(table) else None
-    hashes = [np.asarray(terms[i].values, np.int32).view(np.uint32) for i in order.tolist()]
-    return fit(hashes, table.column("toxic").to_numpy()[order].astype(np.int64))
+    one_each = texts.mapInArrow(rows, "doc_id long, toxic int, terms array<int>").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms"))  # an id has one text, however often it occurs
+    table = one_each.orderBy("doc_id").toArrow()  # in order, so that reruns fit the same machine
+    lists = table.column("terms").combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return fit_flat(lists.values.to_numpy()[ends[0] : ends[-1]] if len(lists) else np.empty(0, np.int32), np.diff(ends), table.column("toxic").to_numpy().astype(np.int64))
 
 
 def with_score(docs: DataFrame, machine: Machine, name: str = "score", keep_text: bool = True) -> DataFrame:
