@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from garderobe.operators.neighbours import dense_top_k
 from garderobe.operators.ranking import newest, top_n
+from garderobe.operators.sparse import sparse_top_k
+from garderobe.session import stage
 
 SIMILAR = 12
-MAX_TAGS = 4096
 
 
 def similar_by_vector(vectors: DataFrame, k: int = SIMILAR) -> DataFrame:
@@ -30,35 +28,6 @@ def probe_neighbours(probes: DataFrame, vectors: DataFrame, k: int) -> DataFrame
                       ((F.col("score") + 1) / 2).alias("score"), "rank")
 
 
-def tag_space(*frames: DataFrame) -> list[str]:
-    """The distinct tags in use, in order. Tags come from fixed keyword tables; the count is checked before use."""
-    tags = None
-    for frame in frames:
-        keys = frame.select(F.explode(F.map_keys("attribute_vector")).alias("tag"))
-        tags = keys if tags is None else tags.unionByName(keys)
-    rows = tags.distinct().limit(MAX_TAGS + 1).collect()
-    if len(rows) > MAX_TAGS:
-        raise ValueError(f"more than {MAX_TAGS} distinct tags: normalise free-text tags first")
-    return sorted(r["tag"] for r in rows)
-
-
-def dense_tags(column: str, space: list[str]):
-    """Tag maps as dense vectors over the tag space."""
-    at = {tag: i for i, tag in enumerate(space)}
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def spread(maps: pd.Series) -> pd.Series:
-        def one(m):
-            v = np.zeros(len(at))
-            for tag, w in (m.items() if isinstance(m, dict) else m):
-                v[at[tag]] = w
-            return v
-
-        return maps.map(one)
-
-    return spread(F.col(column))
-
-
 def signature(column: str = "attribute_vector"):
     return F.to_json(F.array_sort(F.map_entries(column)))
 
@@ -80,13 +49,10 @@ def tag_neighbours(probes: DataFrame, pool: DataFrame, k: int = SIMILAR, same_id
     keep = k + 1 if same_ids else k
     signed, members = _signatures(pool, keep)
     asked = probes.withColumn("psig", signature()).filter(F.size("attribute_vector") > 0)
-    space = tag_space(asked, signed)
     head = members.groupBy("sig").agg(F.max("last_seen_ms").alias("tie"))
-    cells = signed.select("sig", "attribute_vector").dropDuplicates(["sig"]).join(head, "sig").select(
-        F.col("sig").alias("id"), dense_tags("attribute_vector", space).alias("vector"), "tie")
-    wanted = asked.select("psig", "attribute_vector").dropDuplicates(["psig"]).select(
-        F.col("psig").alias("qid"), dense_tags("attribute_vector", space).alias("vector"))
-    top = dense_top_k(wanted, cells, keep).filter(F.col("score") > 0).drop("rank")
+    cells = signed.select("sig", "attribute_vector").dropDuplicates(["sig"]).join(head, "sig").select(F.col("sig").alias("id"), F.col("attribute_vector").alias("tags"), "tie")
+    wanted = asked.select(F.col("psig").alias("qid"), F.col("attribute_vector").alias("tags")).dropDuplicates(["qid"])
+    top = sparse_top_k(wanted, cells, keep).select("qid", "id", "score")
     offered = top.join(members, F.col("id") == F.col("sig")).select(
         F.col("qid").alias("psig"), "listing_id", "last_seen_ms", "score")
     order = [F.desc("score"), *newest()]
@@ -112,7 +78,7 @@ def attribute_fallback(lonely: DataFrame, pool: DataFrame, k: int = SIMILAR) ->
 def similar_by_tags(pool: DataFrame, k: int = SIMILAR) -> DataFrame:
     """Tag neighbours of every pool listing with the attribute fallback where there are none."""
     probes = pool.select(F.col("listing_id").alias("probe_id"), "attribute_vector", "silhouette", "length_class")
-    near = tag_neighbours(probes, pool, k)
+    near = stage(tag_neighbours(probes, pool, k), "tag-neighbours")
     lonely = probes.join(near.select("probe_id").distinct(), "probe_id", "left_anti")
     rest = attribute_fallback(lonely, pool, k)
     return near.withColumn("basis", F.lit("tags")).unionByName(rest.withColumn("basis", F.lit("fallback")))
@@ -120,13 +86,11 @@ def similar_by_tags(pool: DataFrame, k: int = SIMILAR) -> DataFrame:
 
 def nearest_or_newest(probes: DataFrame, pool: DataFrame, k: int, min_confidence: float = 0.5) -> DataFrame:
     """Tag neighbours of outside probes; a probe without any gets the newest well-extracted listings."""
-    near = tag_neighbours(probes, pool, k, same_ids=False).withColumn("fallback", F.lit("none"))
+    near = stage(tag_neighbours(probes, pool, k, same_ids=False), "tag-neighbours").withColumn("fallback", F.lit("none"))
     lonely = probes.select("probe_id").join(near.select("probe_id").distinct(), "probe_id", "left_anti")
-    fresh = pool.filter(F.col("confidence") >= min_confidence).orderBy(*newest()).limit(k).select("listing_id", "last_seen_ms")
-    fresh = fresh.groupBy(F.lit(1).alias("_one")).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("last_seen_ms")).alias("o"), "listing_id"))).alias("best"))
-    rest = lonely.withColumn("_one", F.lit(1)).join(fresh, "_one").select(
-        "probe_id", F.posexplode("best").alias("p", "b"))
-    rest = rest.select("probe_id", "b.listing_id", F.lit(0.0).alias("score"), (F.col("p") + 1).cast("int").alias("rank"),
-                       F.lit("nearest").alias("fallback"))
+    fresh = pool.filter(F.col("confidence") >= min_confidence).orderBy(*newest()).limit(k).select("listing_id").collect()  # k rows
+    best = F.array(*[F.struct(F.lit(r["listing_id"]).alias("listing_id"), F.lit(i).alias("rank")) for i, r in enumerate(fresh, 1)])
+    if not fresh:
+        return near
+    rest = lonely.select("probe_id", F.inline(best)).select("probe_id", "listing_id", F.lit(0.0).alias("score"), "rank", F.lit("nearest").alias("fallback"))
     return near.unionByName(rest)

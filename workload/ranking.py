@@ -265,16 +265,18 @@ TAG_SCORES = """SELECT a.listing_id, b.listing_id AS similar_id, round(sum(a.w *
   JOIN norms nb ON nb.listing_id = b.listing_id JOIN ok oa ON oa.listing_id = a.listing_id JOIN ok ob ON ob.listing_id = b.listing_id GROUP BY ALL"""
 
 
-@query("similar_by_tags", sql("""SELECT listing_id, similar_id, rank, round(score, 6) AS score FROM (SELECT s.listing_id, similar_id, score,
+@query("similar_by_tags", sql("""SELECT listing_id, similar_id, rank, round(score, 6) AS score, basis FROM (SELECT s.listing_id, similar_id, score, 'tags' AS basis,
   row_number() OVER (PARTITION BY s.listing_id ORDER BY score DESC, last_seen_ms DESC, similar_id) AS rank FROM ts s JOIN listings l
-  ON l.listing_id = s.similar_id WHERE score > 0) WHERE rank <= 12""", "tags", "listings",
+  ON l.listing_id = s.similar_id WHERE score > 0
+  UNION ALL SELECT a.listing_id, b.listing_id, 0.0, 'fallback', row_number() OVER (PARTITION BY a.listing_id ORDER BY b.last_seen_ms DESC, b.listing_id)
+  FROM (SELECT * FROM shapes WHERE listing_id NOT IN (SELECT listing_id FROM ts WHERE score > 0)) a JOIN shapes b ON a.listing_id <> b.listing_id
+  AND (a.silhouette = b.silhouette OR a.length_class = b.length_class)) WHERE rank <= 12""", "tags", "listings", "attrs",
                               norms="SELECT listing_id, sqrt(sum(w * w)) AS n FROM tags GROUP BY listing_id",
-                              ok="SELECT listing_id FROM listings WHERE removed_ms IS NULL", ts=TAG_SCORES))
+                              ok="SELECT listing_id FROM listings WHERE removed_ms IS NULL", ts=TAG_SCORES,
+                              shapes="SELECT listing_id, silhouette, length_class, last_seen_ms FROM listings JOIN attrs USING (listing_id) WHERE removed_ms IS NULL"))
 def _(spark, d):
-    pool = T.candidates(spark, d).filter(P.active())
-    near = similar.similar_by_tags(pool).filter(F.col("basis") == "tags")
-    return near.select(F.col("probe_id").alias("listing_id"), F.col("listing_id").alias("similar_id"), "rank",
-                       F.round("score", 6).alias("score"))
+    near = similar.similar_by_tags(T.candidates(spark, d).filter(P.active()))
+    return near.select(F.col("probe_id").alias("listing_id"), F.col("listing_id").alias("similar_id"), "rank", F.round("score", 6).alias("score"), "basis")
 
 
 @query("nearest_or_newest", sql("""SELECT user_id AS probe_id, listing_id, rank, round(score, 6) AS score, fallback FROM
