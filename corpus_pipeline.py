@@ -5,40 +5,69 @@ Every stage works on all that the one before it kept, written as Parquet to the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garderobe.llm import bpe, minhash, mixing, quality, toxicity
 from garderobe.session import prepare, stage
 
+USED = ("doc_id", "text", "lang", "source")
+
+
+def through(docs: DataFrame, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Applies an operator while all columns that it does not use go by names of their own, so that they cannot clash with columns it makes."""
+    own = {c: f"_own_column_{i}" for i, c in enumerate(docs.columns) if c not in USED}
+    return operator(docs.withColumnsRenamed(own)).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers in their language and source."""
+    """Documents that pass the base rules and are no outliers in their language and source.
+
+    A null text fails the base rules; null languages and sources are groups of their own; repeated rows are judged alike and stay or go
+    together. An empty table gives an empty result; all columns are kept, whatever their names.
+    """
     prepare(spark)
-    return quality.judged(docs).filter("kept").select(docs.columns)
+    return through(docs, lambda d: quality.judged(d).filter("kept"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the cut; the machine is learned from labels of the documents given."""
+    """Documents that score under the cut; the machine is learned from labels of the documents given.
+
+    A null text scores as an empty one; equal texts score alike; a null ``doc_id`` has no label. An empty table gives an empty result; all
+    columns are kept, whatever their names.
+    """
     prepare(spark)
     machine = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_score(docs, machine, "_toxicity").filter(F.col("_toxicity") < toxicity.CUT).select(docs.columns)
+    return through(docs, lambda d: toxicity.with_score(d, machine, "_toxicity").filter(F.col("_toxicity") < toxicity.CUT))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five words, similarity 0.8."""
+    """One document of each group of near duplicates: five words, similarity 0.8.
+
+    Texts without a word are linked with nothing and stay; of rows that repeat one document one stays. An empty table gives an empty
+    result; all columns are kept, whatever their names.
+    """
     prepare(spark)
-    return minhash.one_of_each(docs)
+    return through(docs, minhash.one_of_each)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    sized = docs.withColumn("_words", mixing.size_in_words(F.col("text")))
-    return mixing.repeated(mixing.mix(sized, "_words")).select(docs.columns)
+    """Documents as often as the mix of sources takes them.
+
+    A null text has no words and is placed like the others; a null source is a source; repeated rows are taken one by one. An empty
+    table gives an empty result; all columns are kept, whatever their names.
+    """
+    sized = lambda d: d.withColumn("_words", mixing.size_in_words(F.col("text")))
+    return through(docs, lambda d: mixing.repeated(mixing.mix(sized(d), "_words")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document taken, with the digests of ids and decoded text."""
+    """Token ids of every document taken, with the digests of ids and decoded text.
+
+    A null or empty text has no tokens; repeated rows give a row each; other columns are left out. An empty table gives an empty result.
+    """
     prepare(spark)
     return bpe.encode_documents(docs, with_ids=True)
 
