@@ -1,5 +1,7 @@
 """Each stage of the pipeline against what its operator says of the stage's own input."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from garderobe.llm import minhash, quality, toxicity
@@ -36,3 +38,15 @@ def test_one_of_repeated_ids(spark):
     rows = [(1, "b b b b b b b", "x"), (1, "b b b b b b b", "x"), (1, "a", "x"), (None, "n", "x"), (None, "n", "x"), (2, "b b b b b b b", "y")]
     got = [tuple(r) for r in minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()]
     assert sorted(got, key=repr) == sorted([(1, "a", "x"), (None, "n", "x"), (None, "n", "x")], key=repr)
+
+
+def test_columns_that_clash(spark, sf):
+    """Columns named like those that the operators make come back as they were."""
+    names = ["kept", "group", "distance", "_text", "_words", "_toxicity", "target", "copies", "source_size", "score"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} "), F.col("doc_id").cast("string")))
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert out.count() and not out.filter(" or ".join(f"`{name}` <> concat('{name} ', doc_id)" for name in names)).count()
