@@ -71,12 +71,27 @@ def attributed_events(events: DataFrame, users: DataFrame) -> tuple[DataFrame, D
     return valid.join(known, "user_id", "left").withColumn("known_user", F.coalesce("known_user", F.lit(False))), rejects
 
 
+SKETCH_BITS = 15  # 32,768 registers: a relative standard error of 1.04 / sqrt(32768), under 0.6 %; counts of a few thousand are all but exact
+PANE_MS, PANES = 86_400_000, 7
+
+
+def actor_panes(events: DataFrame) -> DataFrame:
+    """(day_ms, event_type) -> events and a sketch of their actors, kept by the stream. An event may come up to seven days late."""
+    panes = events.withWatermark("ts", "7 days").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(F.coalesce("user_id", "anon_id"), SKETCH_BITS).alias("sketch"))
+    return latest_state(panes.select(millis(F.col("w.start")).alias("day_ms"), "event_type", "n", "sketch"), "panes", ["day_ms", "event_type"])
+
+
+def over_panes(panes: DataFrame) -> DataFrame:
+    """Events and distinct actors in seven-day windows sliding by a day, from the sketches of their days: an event is kept in one pane, and
+    an actor of several days counts once. The actors are an estimate with the relative error of ``SKETCH_BITS``."""
+    windows = panes.withColumn("end_ms", F.explode(F.transform(F.sequence(F.lit(1), F.lit(PANES)), lambda i: F.col("day_ms") + i * PANE_MS)))
+    merged = windows.groupBy("end_ms", "event_type").agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("actors"))
+    return merged.select("end_ms", "event_type", "n", "actors")
+
+
 def rolling_actors(events: DataFrame) -> DataFrame:
-    """Events and approximate distinct actors per type in seven-day windows sliding by a day."""
-    counts = events.withWatermark("ts", "1 day").groupBy(F.window("ts", "7 days", "1 day").alias("w"), "event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.coalesce("user_id", "anon_id")).alias("actors"))
-    flat = counts.select(millis(F.col("w.end")).alias("end_ms"), "event_type", "n", "actors")
-    return latest_state(flat, "rolling", ["end_ms", "event_type"])
+    return over_panes(actor_panes(events))
 
 
 def clickout_log(clicks: DataFrame, listings: DataFrame) -> DataFrame:

@@ -45,9 +45,15 @@ def _(spark, d):
     return to_table(valid, "valid").groupBy("event_type", "known_user").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_rolling_counts", sql(f"""SELECT (created_ms // {DAY} + i) * {DAY} AS end_ms, event_type, count(*) AS n FROM (SELECT *, unnest(range(1, 8)) AS i FROM analytics) GROUP BY ALL""", "analytics"))
+@query("stream_rolling_counts", sql(f"""SELECT (created_ms // {DAY} + i) * {DAY} AS end_ms, event_type, count(*) AS n, count(DISTINCT coalesce(user_id, anon_id)) AS actors, 0 AS outside FROM (SELECT *, unnest(range(1, 8)) AS i FROM analytics) GROUP BY ALL""", "analytics"))
 def _(spark, d):
-    return jobs.rolling_actors(T.analytics_events(spark, d, feed(spark, d))).drop("actors")
+    """``actors`` are counted from the events; ``outside`` says how many windows' sketched actors lie more than three standard errors off."""
+    events = T.analytics_events(spark, d)
+    sketched = jobs.rolling_actors(T.analytics_events(spark, d, feed(spark, d)))
+    ends = F.explode(F.sequence(F.lit(1), F.lit(jobs.PANES)))
+    counted = events.withColumn("i", ends).groupBy(((F.floor(F.unix_millis("ts") / DAY) + F.col("i")) * DAY).alias("end_ms"), "event_type").agg(F.count_distinct(F.coalesce("user_id", "anon_id")).alias("exact"))
+    off = F.abs(F.col("actors") - F.col("exact")) > F.greatest(F.col("exact") * (3 * 1.04 / 2 ** (jobs.SKETCH_BITS / 2)), F.lit(0.5))
+    return sketched.join(counted, ["end_ms", "event_type"], "left").select("end_ms", "event_type", "n", F.col("exact").alias("actors"), F.coalesce(off, F.lit(True)).cast("int").alias("outside"))
 
 
 @query("stream_clickouts", sql("SELECT click_id, user_id, source_id, sha256(coalesce(affiliate_url, source_url)) AS destination_hash FROM clicks JOIN listings USING (listing_id)", "clicks", "listings"))
