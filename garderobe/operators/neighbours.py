@@ -42,7 +42,21 @@ def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     return df.mapInPandas(assign, df.schema.simpleString()[7:-1] + ", cell int, angle double")
 
 
-def _local_top(k: int, drop_self: bool):
+LIMITS_Q, LIMITS_C = ["want", "most"], ["have", "price"]
+
+
+def _within_limits(queries: pd.DataFrame, block: pd.DataFrame) -> np.ndarray:
+    """Which catalog rows are within each query's limits: a label in common (no wanted labels: any) and a price up to ``most`` (NULL: any)."""
+    labels = {label: i for i, label in enumerate(sorted({x for want in queries["want"] for x in want}))}
+    wanted, offered = np.zeros((len(queries), len(labels)), np.float32), np.zeros((len(block), len(labels)), np.float32)
+    for side, column in ((wanted, queries["want"]), (offered, block["have"])):
+        for row, own in enumerate(column):
+            side[row, [labels[x] for x in own if x in labels]] = 1
+    prices = lambda column: column.to_numpy(dtype=np.float64, na_value=np.inf)
+    return ((wanted @ offered.T > 0) | (wanted.sum(axis=1) == 0)[:, None]) & (prices(block["price"])[None, :] <= prices(queries["most"])[:, None])
+
+
+def _local_top(k: int, drop_self: bool, limits: bool):
     """Top-k of one query chunk against one catalog block."""
     columns = ["qid", "id", "score", "tie"]
 
@@ -55,6 +69,8 @@ def _local_top(k: int, drop_self: bool):
         qids = queries["qid"].to_numpy()
         if drop_self:
             scores[qids[:, None] == ids[None, :]] = -np.inf
+        if limits:
+            scores[~_within_limits(queries, block)] = -np.inf
         best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         rows = np.repeat(np.arange(len(qids)), best.shape[1])
         cols = best.ravel()
@@ -65,19 +81,19 @@ def _local_top(k: int, drop_self: bool):
     return search
 
 
-def _search(pairs: DataFrame, blocks: DataFrame, queries: DataFrame, k: int, drop_self: bool) -> DataFrame:
+def _search(pairs: DataFrame, blocks: DataFrame, queries: DataFrame, k: int, drop_self: bool, limits: bool) -> DataFrame:
     """``pairs`` says which (query chunk, block) meet; vectors join in only here, grouped to bounded matrices."""
     key = ["cell", "sub", "chunk"]
-    asked = pairs.join(queries.select("qid", "vector"), "qid")
+    asked = pairs.join(queries.select("qid", "vector", *(LIMITS_Q if limits else [])), "qid")
     needed = blocks.join(pairs.select(*key).distinct(), ["cell", "sub"]).select(
-        F.col("cell").alias("b_cell"), F.col("sub").alias("b_sub"), F.col("chunk").alias("b_chunk"), "id", "vector", "tie")
+        F.col("cell").alias("b_cell"), F.col("sub").alias("b_sub"), F.col("chunk").alias("b_chunk"), "id", "vector", "tie", *(LIMITS_C if limits else []))
     qtype, itype = queries.schema["qid"].dataType.simpleString(), blocks.schema["id"].dataType.simpleString()
     schema = f"qid {qtype}, id {itype}, score double, tie long"
-    return asked.groupBy(*key).cogroup(needed.groupBy("b_cell", "b_sub", "b_chunk")).applyInPandas(_local_top(k, drop_self), schema)
+    return asked.groupBy(*key).cogroup(needed.groupBy("b_cell", "b_sub", "b_chunk")).applyInPandas(_local_top(k, drop_self, limits), schema)
 
 
 def dense_top_k(queries: DataFrame, catalog: DataFrame, k: int, drop_self: bool = False,
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
+                block_rows: int = BLOCK_ROWS, limits: bool = False) -> DataFrame:
     """Exact k nearest catalog vectors per query by cosine: (qid, id, score, rank).
 
     ``queries`` has (qid, vector), ``catalog`` (id, vector) and optionally ``tie`` (larger first among equal scores;
@@ -85,10 +101,15 @@ def dense_top_k(queries: DataFrame, catalog: DataFrame, k: int, drop_self: bool
     holding most vectors becomes many blocks. A first search of one block near each query gives a score that k rows are
     known to reach; afterwards a block is visited only if the angle between query and pivot, less the block's own radius,
     still allows a better score. Every pair of bounded matrices yields k rows per query, and only those are shuffled on.
+
+    With ``limits`` a query has (want array, most) and a catalog row (have array, price) besides: only rows with a label in common and a price
+    within the limit count among the k. Blocks hold rows of one price band, and a block whose labels or lowest price rule all its
+    rows out is not visited.
     """
+    more_q, more_c = (LIMITS_Q, LIMITS_C) if limits else ([], [])
     if "tie" not in catalog.columns:
         catalog = catalog.withColumn("tie", F.lit(0).cast("long"))
-    catalog = catalog.select("id", "vector", F.col("tie").cast("long").alias("tie"))
+    catalog = catalog.select("id", "vector", F.col("tie").cast("long").alias("tie"), *more_c)
     n_rows, n_queries = catalog.count(), queries.count()
     if n_rows == 0 or n_queries == 0:
         return catalog.sparkSession.createDataFrame(
@@ -96,26 +117,33 @@ def dense_top_k(queries: DataFrame, catalog: DataFrame, k: int, drop_self: bool
                 f"id {catalog.schema['id'].dataType.simpleString()}, score double, rank int")
     pivots = _pivot_matrix(catalog, max(1, math.ceil(math.sqrt(n_rows / 16))))
     cells = stage(_with_cell(catalog, pivots), "cells")
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    if limits:  # bands of prices by powers of two, each cut into blocks of its own
+        cells = cells.withColumn("band", F.coalesce(F.floor(F.log2(F.greatest(F.col("price"), F.lit(1.0)))), F.lit(64)).cast("int"))
+    banded = ["cell", "band"] if limits else ["cell"]
+    sizes = cells.groupBy(*banded).agg(F.count(F.lit(1)).alias("n"))
     subs = F.ceil(F.col("n") / block_rows).cast("int")
     blocks = (
-        cells.join(sizes, "cell")
-        .withColumn("sub", F.pmod(F.xxhash64("id"), subs).cast("int"))
-        .select("cell", "sub", "id", "vector", "tie", "angle")
+        cells.join(sizes, banded)
+        .withColumn("sub", (F.pmod(F.xxhash64("id"), subs) + (F.shiftleft("band", 24) if limits else 0)).cast("int"))
+        .select("cell", "sub", "id", "vector", "tie", "angle", *more_c)
     )
-    shape = stage(blocks.groupBy("cell", "sub").agg(F.max("angle").alias("radius")), "blocks")
+    of_limits = [F.min("price").alias("lowest"), F.array_distinct(F.flatten(F.collect_set("have"))).alias("labels")] if limits else []  # a block is bounded
+    shape = stage(blocks.groupBy("cell", "sub").agg(F.max("angle").alias("radius"), *of_limits), "blocks")
+    open_to = F.lit(True)
+    if limits:
+        open_to = ((F.size("want") == 0) | F.arrays_overlap("want", "labels")) & (F.col("most").isNull() | F.coalesce(F.col("lowest") <= F.col("most"), F.lit(False)))
     radius = np.full(len(pivots), -1.0)
     for row in shape.groupBy("cell").agg(F.max("radius").alias("r")).collect():  # one row per pivot
         radius[row["cell"]] = row["r"]
 
     chunks = max(1, math.ceil(n_queries / block_rows))
-    asked = _with_cell(queries.select("qid", "vector"), pivots).withColumn(
+    asked = _with_cell(queries.select("qid", "vector", *more_q), pivots).withColumn(
         "chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int")
     )
-    near = asked.join(shape.groupBy("cell").agg(F.max("sub").alias("_last")), "cell").select(
+    near = top_n(asked.join(shape, "cell").filter(open_to), ["qid"], [F.asc("sub")], 1, "_near").select("qid", "cell", "chunk", "sub") if limits else asked.join(shape.groupBy("cell").agg(F.max("sub").alias("_last")), "cell").select(
         "qid", "cell", "chunk", F.pmod(F.xxhash64("qid"), F.col("_last") + 1).cast("int").alias("sub")
     )
-    first = top_n(_search(near, blocks, queries, k, drop_self), ["qid"],
+    first = top_n(_search(near, blocks, queries, k, drop_self, limits), ["qid"],
                   [F.desc("score"), F.desc("tie"), F.asc("id")], k)
     reached = first.groupBy("qid").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("found"))
     floor = asked.join(reached, "qid", "left").select(
@@ -134,7 +162,9 @@ def dense_top_k(queries: DataFrame, catalog: DataFrame, k: int, drop_self: bool
 
     qtype = queries.schema["qid"].dataType.simpleString()
     visits = floor.mapInPandas(visit, f"qid {qtype}, chunk int, cell int, slack double")
-    pairs = visits.join(shape, "cell").filter(-F.col("radius") <= F.col("slack") + SLACK).select(
+    if limits:
+        visits = visits.join(queries.select("qid", *more_q), "qid")
+    pairs = visits.join(shape, "cell").filter(open_to).filter(-F.col("radius") <= F.col("slack") + SLACK).select(
         "qid", "chunk", "cell", "sub")
-    found = _search(pairs, blocks, queries, k, drop_self)
+    found = _search(pairs, blocks, queries, k, drop_self, limits)
     return top_n(found, ["qid"], [F.desc("score"), F.desc("tie"), F.asc("id")], k).select("qid", "id", "score", "rank")

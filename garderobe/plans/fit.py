@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garderobe.functions import hem as H
@@ -10,11 +10,10 @@ from garderobe.functions.markup import canonical_url
 from garderobe.functions.sizes import size_verdict
 from garderobe.operators.filters import usd_price
 from garderobe.operators.joins import already_listed
-from garderobe.operators.ranking import top_n
-from garderobe.plans.similar import probe_neighbours
+from garderobe.operators.neighbours import dense_top_k
+from garderobe.session import stage
 
 SIMILAR = 8
-WIDE = 48  # neighbours looked at before the user's size and budget narrow them
 
 
 def fit_rows(products: DataFrame, users: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -32,17 +31,15 @@ def fit_rows(products: DataFrame, users: DataFrame, catalog: DataFrame) -> DataF
 
 
 def similar_rack(products: DataFrame, users: DataFrame, pool: DataFrame, vectors: DataFrame, k: int = SIMILAR) -> DataFrame:
-    """Up to ``k`` of the ``WIDE`` visually closest listings per check (check_id, user_id, vector): those in the user's sizes and
-    budget, or the closest as they are where none fits. Prices compare in US cents."""
-    near = probe_neighbours(products.select(F.col("check_id").alias("probe_id"), "vector"), vectors, WIDE).drop("rank")
-    facts = pool.select("listing_id", "size_normalized", usd_price().alias("usd"))
-    rows = near.join(facts, "listing_id").join(
-        products.select(F.col("check_id").alias("probe_id"), "user_id"), "probe_id").join(
-        users.select("user_id", "sizes", "budget_max_cents"), "user_id")
-    fits = ((F.size("sizes") == 0) | F.arrays_overlap("size_normalized", "sizes")) & (
-        F.col("budget_max_cents").isNull() | (F.col("usd") <= F.col("budget_max_cents")))
-    rows = rows.withColumn("fits", F.coalesce(fits, F.lit(False)))
-    best = top_n(rows, ["probe_id"], [F.desc("fits"), F.desc("score"), F.asc("listing_id")], k)
-    some = F.bool_or("fits").over(Window.partitionBy("probe_id"))
-    return best.withColumn("_any", some).filter(F.col("fits") | ~F.col("_any")).select(
-        F.col("probe_id").alias("check_id"), "listing_id", "score", "rank", "fits")
+    """The ``k`` visually closest listings per check (check_id, user_id, vector) among all in the user's sizes and budget, or the closest
+    as they are where none fits. Prices compare in US cents. The limits are asked while neighbours are searched, so a listing that fits is
+    found however many closer ones do not."""
+    facts = vectors.join(pool.select("listing_id", F.col("size_normalized").alias("have"), usd_price().cast("double").alias("price")), "listing_id")
+    offered = facts.select(F.col("listing_id").alias("id"), "vector", F.coalesce("have", F.array().cast("array<int>")).alias("have"), "price")
+    wants = users.select("user_id", F.coalesce(F.col("sizes").cast("array<int>"), F.array().cast("array<int>")).alias("want"), F.col("budget_max_cents").cast("double").alias("most"))
+    asked = stage(products.join(wants, "user_id").select(F.col("check_id").alias("qid"), "vector", "want", "most"), "fit-checks")
+    fitting = stage(dense_top_k(asked, offered, k, limits=True), "fit-rack")
+    rest = dense_top_k(asked.join(fitting.select("qid").distinct(), "qid", "left_anti").select("qid", "vector"), offered.select("id", "vector"), k)
+    rows = fitting.withColumn("fits", F.lit(True)).unionByName(rest.withColumn("fits", F.lit(False)))
+    score = ((F.col("score") + 1) / 2).alias("score")
+    return rows.select(F.col("qid").alias("check_id"), F.col("id").alias("listing_id"), score, "rank", "fits", F.lit("embedding").alias("basis"))

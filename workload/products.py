@@ -260,14 +260,13 @@ def _(spark, d):
 COSINE = "list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[])"
 
 
-@query("fit_similar_rack", sql(f"""SELECT user_id AS check_id, listing_id, rank, fits FROM (SELECT *, bool_or(fits) OVER (PARTITION BY user_id) AS any_fit FROM (SELECT *, row_number() OVER (PARTITION BY user_id
-  ORDER BY fits DESC, score DESC, listing_id) AS rank FROM (SELECT n.user_id, n.listing_id, n.score, coalesce((len(u.sizes) = 0 OR list_has_any(l.size_normalized, u.sizes)) AND (budget_max_cents IS NULL
-  OR usd_cents <= budget_max_cents), false) AS fits FROM near n JOIN users u USING (user_id) JOIN listings l USING (listing_id))) WHERE rank <= 8) WHERE fits OR NOT any_fit""", "users", "listings", "vectors",
-                               near=f"""SELECT * FROM (SELECT a.vec_id AS user_id, b.listing_id, round({COSINE}, 9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COSINE}, 9) DESC, b.listing_id) AS rn
-  FROM (SELECT vec_id, embedding AS vector FROM embeddings) a, vectors b) WHERE rn <= 48"""))
+@query("fit_similar_rack", sql(f"""SELECT user_id AS check_id, listing_id, rank, fits, basis FROM (SELECT *, bool_or(fits) OVER (PARTITION BY user_id) AS any_fit, 'embedding' AS basis FROM (SELECT *,
+  row_number() OVER (PARTITION BY user_id ORDER BY fits DESC, score DESC, listing_id) AS rank FROM (SELECT a.vec_id AS user_id, b.listing_id, round({COSINE}, 9) AS score, coalesce((len(u.sizes) = 0
+  OR list_has_any(l.size_normalized, u.sizes)) AND (budget_max_cents IS NULL OR usd_cents <= budget_max_cents), false) AS fits
+  FROM (SELECT vec_id, embedding AS vector FROM embeddings) a JOIN users u ON u.user_id = a.vec_id, vectors b JOIN listings l ON l.listing_id = b.listing_id)) WHERE rank <= 8) WHERE fits OR NOT any_fit""", "users", "listings", "vectors"))
 def _(spark, d):
     checks = T.read(spark, d, "embeddings").select(F.col("vec_id").alias("check_id"), F.col("vec_id").alias("user_id"), F.col("embedding").alias("vector"))
-    return fit.similar_rack(checks, T.users(spark, d), T.listings(spark, d), T.embeddings(spark, d)).select("check_id", "listing_id", "rank", "fits")
+    return fit.similar_rack(checks, T.users(spark, d), T.listings(spark, d), T.embeddings(spark, d)).select("check_id", "listing_id", "rank", "fits", "basis")
 
 
 @query("deck_completion", sql("""SELECT user_id, positives, cards, CASE WHEN positives >= 5 THEN 'target' WHEN cards >= 30 THEN 'cap' END AS reason, CAST(greatest(0, least(7, 30 - cards)) AS INTEGER) AS next_batch
