@@ -15,19 +15,19 @@ from garderobe.plans.deck import CARD_CAP, LIKE_TARGET
 from garderobe.plans.errors import SPIKE_THRESHOLD, fingerprinted
 from garderobe.plans.ingest import hashed, first_of_each, next_snapshot, split_valid
 from garderobe.plans.taste import tag_steps
-from garderobe.session import scratch_path
 from garderobe.sources.events import split_events
-from garderobe.streaming.runtime import latest_state, millis, run, to_table
+from garderobe.streaming.runtime import latest_state, millis, place, run, to_table
+from garderobe.streaming.state import StateTable
 from garderobe.values import SWIPE_PRESETS
 
 
-def error_hours(errors: DataFrame) -> DataFrame:
+def error_hours(errors: DataFrame, home: str | None = None) -> DataFrame:
     """Running count per (fingerprint, hour); the hour counter starts anew with each hour, rows later than two hours drop."""
     rows = fingerprinted(errors).withWatermark("ts", "2 hours")
     counts = rows.groupBy("stack_hash", F.window("ts", "1 hour").alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
     flat = counts.select("stack_hash", millis(F.col("w.start")).alias("hour_ms"), "n", "first_ms", "last_ms")
-    return latest_state(flat, "error-hours", ["stack_hash", "hour_ms"])
+    return latest_state(flat, "error-hours", ["stack_hash", "hour_ms"], home)
 
 
 def error_totals(hours: DataFrame) -> DataFrame:
@@ -36,32 +36,27 @@ def error_totals(hours: DataFrame) -> DataFrame:
                                            F.max("last_ms").alias("last_seen_ms"), F.max_by("n", "hour_ms").alias("hour_count"))
 
 
-def error_spikes(errors: DataFrame, threshold: int = SPIKE_THRESHOLD) -> DataFrame:
+def error_spikes(errors: DataFrame, threshold: int = SPIKE_THRESHOLD, home: str | None = None) -> DataFrame:
     """Two-hour windows, sliding by one, whose count reached the threshold."""
     counts = errors.withWatermark("ts", "2 hours").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     flat = counts.select(millis(F.col("w.start")).alias("start_ms"), millis(F.col("w.end")).alias("end_ms"), "n")
-    return latest_state(flat, "error-spikes", ["start_ms", "end_ms"]).filter(F.col("n") >= threshold)
+    return latest_state(flat, "error-spikes", ["start_ms", "end_ms"], home).filter(F.col("n") >= threshold)
 
 
-def style_vectors(swipes: DataFrame, vectors: DataFrame, preset: str = "live") -> DataFrame:
+def style_vectors(swipes: DataFrame, vectors: DataFrame, preset: str = "live", home: str | None = None) -> DataFrame:
     """Learned (user_id, tag, value) after each micro-batch's swipes were folded onto the state so far.
 
-    The state is a table version per batch: a batch reads its predecessor's version and writes its own, so a replay gives
+    The state is a table in buckets of users (``StateTable``): a batch reads and writes the buckets of its users only, and a replay gives
     the same rows. Small weights are dropped from the result only, so it does not depend on where batches were cut.
     """
     spark, rule = swipes.sparkSession, SWIPE_PRESETS[preset]
-    path, done = scratch_path(spark, "style-state"), []
+    state = StateTable(spark, place(spark, "style-state", home), ["user_id"], f"user_id {swipes.schema['user_id'].dataType.simpleString()}, tag string, value double")
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(done[-1]) if done else None
-        after = clamped_fold(tag_steps(batch, vectors, preset), ["user_id", "tag"], ["created_ms", "swipe_id"], "delta",
-                             -rule["clamp"], rule["clamp"], before)
-        after.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        done.append(f"{path}/v{batch_id}")
+    def fold(before: DataFrame, steps: DataFrame) -> DataFrame:
+        return clamped_fold(steps, ["user_id", "tag"], ["created_ms", "swipe_id"], "delta", -rule["clamp"], rule["clamp"], before)
 
-    run(swipes, "style", fold)
-    state = spark.read.parquet(done[-1])
-    return state.filter(F.round(F.abs("value"), 9) >= rule["prune"])
+    run(swipes, "style", lambda batch, batch_id: state.advance(tag_steps(batch, vectors, preset), batch_id, fold), home=home)
+    return state.current().filter(F.round(F.abs("value"), 9) >= rule["prune"])
 
 
 def attributed_events(events: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -75,11 +70,11 @@ SKETCH_BITS = 15  # 32,768 registers: a relative standard error of 1.04 / sqrt(3
 PANE_MS, PANES = 86_400_000, 7
 
 
-def actor_panes(events: DataFrame) -> DataFrame:
+def actor_panes(events: DataFrame, home: str | None = None) -> DataFrame:
     """(day_ms, event_type) -> events and a sketch of their actors, kept by the stream. An event may come up to seven days late."""
     panes = events.withWatermark("ts", "7 days").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(F.coalesce("user_id", "anon_id"), SKETCH_BITS).alias("sketch"))
-    return latest_state(panes.select(millis(F.col("w.start")).alias("day_ms"), "event_type", "n", "sketch"), "panes", ["day_ms", "event_type"])
+    return latest_state(panes.select(millis(F.col("w.start")).alias("day_ms"), "event_type", "n", "sketch"), "panes", ["day_ms", "event_type"], home)
 
 
 def over_panes(panes: DataFrame) -> DataFrame:
@@ -90,36 +85,39 @@ def over_panes(panes: DataFrame) -> DataFrame:
     return merged.select("end_ms", "event_type", "n", "actors")
 
 
-def rolling_actors(events: DataFrame) -> DataFrame:
-    return over_panes(actor_panes(events))
+def rolling_actors(events: DataFrame, home: str | None = None) -> DataFrame:
+    return over_panes(actor_panes(events, home))
 
 
-def clickout_log(clicks: DataFrame, listings: DataFrame) -> DataFrame:
-    return to_table(clickouts(clicks, listings), "clickouts")
+def clickout_log(clicks: DataFrame, listings: DataFrame, home: str | None = None) -> DataFrame:
+    return to_table(clickouts(clicks, listings), "clickouts", home=home)
 
 
-def recheck_queue(clicks: DataFrame, listings: DataFrame, every: str = "15 minutes") -> DataFrame:
+def recheck_queue(clicks: DataFrame, listings: DataFrame, every: str = "15 minutes", home: str | None = None) -> DataFrame:
     """Listings to re-check, once per listing and interval however often they are clicked."""
     rows = clickouts(clicks, listings).withWatermark("ts", every).dropDuplicatesWithinWatermark(["listing_id"])
-    return to_table(rows.select("listing_id", F.lit("clickout").alias("reason"), F.col("created_ms").alias("enqueued_ms")), "recheck")
+    return to_table(rows.select("listing_id", F.lit("clickout").alias("reason"), F.col("created_ms").alias("enqueued_ms")), "recheck", home=home)
 
 
-def catalog_feed(batches: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Catalog after upserting every micro-batch of raw listings; each batch writes the next snapshot to its own path."""
+def catalog_feed(batches: DataFrame, snapshot: DataFrame, home: str | None = None) -> DataFrame:
+    """Catalog after upserting every micro-batch of raw listings: a batch rewrites the buckets of its listings.
+
+    ``snapshot`` is what a new stream begins with; one that goes on keeps its own.
+    """
     spark = batches.sparkSession
-    path, done = scratch_path(spark, "snapshots"), []
+    state = StateTable(spark, place(spark, "snapshot", home), ["listing_id"], snapshot.schema)
+    if not state.versions():
+        state.write(snapshot, -1, {})
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(done[-1]).drop("change") if done else snapshot
         valid, _ = split_valid(batch)
-        next_snapshot(before, hashed(first_of_each(valid))).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        done.append(f"{path}/v{batch_id}")
+        state.advance(hashed(first_of_each(valid)), batch_id, lambda before, new: next_snapshot(before, new).select(*snapshot.columns))
 
-    run(batches, "catalog", upsert)
-    return spark.read.parquet(done[-1])
+    run(batches, "catalog", upsert, home=home)
+    return state.current()
 
 
-def accepted_hits(hits: DataFrame, limit: int = 20, window_ms: int = 60_000) -> DataFrame:
+def accepted_hits(hits: DataFrame, limit: int = 20, window_ms: int = 60_000, home: str | None = None) -> DataFrame:
     """Adds ``accepted`` to (key, hit_id, at_ms, ts): at most ``limit`` accepted hits per key in any window before a hit.
 
     The state is the accepted times still inside the window, never more than ``limit``; an event-time timer clears idle keys. A key's rows
@@ -147,10 +145,10 @@ def accepted_hits(hits: DataFrame, limit: int = 20, window_ms: int = 60_000) ->
     timed = hits.select("key", "hit_id", "at_ms", "ts").withWatermark("ts", f"{window_ms} milliseconds")
     out = timed.groupBy("key").applyInPandasWithState(
         decide, f"key {key_type}, hit_id long, at_ms long, accepted boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-    return to_table(out, "hits")
+    return to_table(out, "hits", home=home)
 
 
-def deck_completions(swipes: DataFrame) -> DataFrame:
+def deck_completions(swipes: DataFrame, home: str | None = None) -> DataFrame:
     """(user_id, reason, at_ms, positives, cards) once per user: the first moment the deck is complete."""
     key_type = swipes.schema["user_id"].dataType.simpleString()
 
@@ -171,13 +169,13 @@ def deck_completions(swipes: DataFrame) -> DataFrame:
     out = swipes.select("user_id", "swipe_id", "verdict", "created_ms").groupBy("user_id").applyInPandasWithState(
         follow, f"user_id {key_type}, reason string, at_ms long, positives long, cards long", "likes long, cards long, done boolean", "append",
         GroupStateTimeout.NoTimeout)
-    return to_table(out, "decks")
+    return to_table(out, "decks", home=home)
 
 
-def last_success(runs: DataFrame) -> DataFrame:
+def last_success(runs: DataFrame, home: str | None = None) -> DataFrame:
     """Latest successful start per source, kept current as runs arrive; staleness is its age when read."""
     return latest_state(runs.filter(F.col("status") == "ok").groupBy("source_id").agg(F.max("started_ms").alias("last_ok_ms")),
-                        "last-ok", ["source_id"])
+                        "last-ok", ["source_id"], home)
 
 
 def stale_sources(last_ok: DataFrame, sources: DataFrame, now_ms: int, stale_hours: int = 30) -> DataFrame:
