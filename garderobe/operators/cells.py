@@ -90,13 +90,18 @@ def listing_cells(listings: DataFrame, facets: dict[str, Column]) -> DataFrame:
                        *[F.col(f"_f_{name}").alias(name) for name in facets])
 
 
-def profile_candidates(profiles: DataFrame, listings: DataFrame, cap: int = CANDIDATE_CAP,
-                       facets: dict[str, Column] | None = None) -> DataFrame:
-    """(profile_id, listing_id, ...) rows of each profile's source-fair, brand-spread candidate pool."""
+def profile_matches(profiles: DataFrame, listings: DataFrame, cap: int = CANDIDATE_CAP,
+                    facets: dict[str, Column] | None = None) -> DataFrame:
+    """(profile_id, listing_id, ...) of the rows that can be in a profile's pool, each once; more than ``cap`` a profile."""
     facets = facets or {}
     wanted = profile_cells(profiles, list(facets))
     keys = ["cell", "level", "node", *facets]
     filed = listing_cells(listings, facets).join(wanted.select(*keys).distinct(), keys, "left_semi")
     kept = fair_rank(filed, keys, cap).drop("_rs")
-    pool = wanted.join(kept, keys).drop(*keys).dropDuplicates(["profile_id", "listing_id"])
-    return stratified_cap(pool, ["profile_id"], cap)
+    return wanted.join(kept, keys).drop(*keys).dropDuplicates(["profile_id", "listing_id"])
+
+
+def profile_candidates(profiles: DataFrame, listings: DataFrame, cap: int = CANDIDATE_CAP,
+                       facets: dict[str, Column] | None = None) -> DataFrame:
+    """(profile_id, listing_id, ...) rows of each profile's source-fair, brand-spread candidate pool."""
+    return stratified_cap(profile_matches(profiles, listings, cap, facets), ["profile_id"], cap)

@@ -12,6 +12,7 @@ from garderobe.operators.cells import profile_candidates, profile_key
 from garderobe.operators.diversity import interleave, spread_key
 from garderobe.operators.filters import active, adult, usd_price, within_freshness
 from garderobe.operators.ranking import page
+from garderobe.operators.tiles import fit_candidates, fit_profile_key
 from garderobe.values import CANDIDATE_CAP, PALETTE_BOOST_MAX, PALETTE_HEX_DISTANCE, RERANK_HEAD
 
 SCORE_DIGITS = 9  # scores equal to nine decimals are ties
@@ -40,20 +41,25 @@ def live_catalog(catalog: DataFrame, sources: DataFrame, now_ms: int) -> DataFra
     return within_freshness(catalog.filter(active() & adult()), sources, now_ms).withColumn("usd_cents", usd_price())
 
 
-def with_profile(users: DataFrame) -> DataFrame:
+def with_profile(users: DataFrame, size_mode: str = "labels") -> DataFrame:
     if "profile_id" in users.columns:
         return users
-    return users.withColumn(
-        "profile_id", profile_key(F.col("sizes"), F.col("budget_min_cents"), F.col("budget_max_cents"))
-    )
+    filters = [F.col("sizes"), F.col("budget_min_cents"), F.col("budget_max_cents")]
+    return users.withColumn("profile_id", fit_profile_key(*filters, F.col("body")) if size_mode == "fit" else profile_key(*filters))
+
 
+def pools(users: DataFrame, live: DataFrame, cap: int = CANDIDATE_CAP, size_mode: str = "labels") -> DataFrame:
+    """Candidate pool per distinct profile; users with equal filters share one pool.
 
-def pools(users: DataFrame, live: DataFrame, cap: int = CANDIDATE_CAP) -> DataFrame:
-    """Candidate pool per distinct (sizes, budget) profile; users with equal filters share one pool."""
-    profiles = with_profile(users).select(
-        "profile_id", "sizes", F.col("budget_min_cents").alias("low"), F.col("budget_max_cents").alias("high")
+    ``size_mode``: "labels" compares sizes, "fit" asks measures of the body first where it and the garment have some.
+    """
+    if size_mode not in ("labels", "fit"):
+        raise ValueError(f"unknown size mode {size_mode}")
+    own = ["body"] if size_mode == "fit" else []
+    profiles = with_profile(users, size_mode).select(
+        "profile_id", "sizes", F.col("budget_min_cents").alias("low"), F.col("budget_max_cents").alias("high"), *own
     ).dropDuplicates(["profile_id"])
-    return profile_candidates(profiles, live, cap)
+    return fit_candidates(profiles, live, cap) if own else profile_candidates(profiles, live, cap)
 
 
 def _norm(entries: str) -> str:
@@ -142,10 +148,11 @@ def explain_line(rows: DataFrame, users: DataFrame, catalog: DataFrame) -> DataF
 
 def batch_feed(users: DataFrame, catalog: DataFrame, sources: DataFrame, now_ms: int, cap: int = CANDIDATE_CAP,
                external: DataFrame | None = None, taste: DataFrame | None = None,
-               vectors: DataFrame | None = None) -> DataFrame:
+               vectors: DataFrame | None = None, size_mode: str = "labels") -> DataFrame:
     """(user_id, position, listing_id, score, ...) for all users, brands and sources spread along each feed."""
     live = live_catalog(catalog, sources, now_ms)
-    rows = ranked(scored_pairs(users, live, pools(users, live, cap), now_ms, taste, vectors))
+    users = with_profile(users, size_mode)
+    rows = ranked(scored_pairs(users, live, pools(users, live, cap, size_mode), now_ms, taste, vectors))
     if external is not None:
         rows = apply_rerank(rows, external)
     return interleave(rows, "user_id")

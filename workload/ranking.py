@@ -147,6 +147,29 @@ def pool_query(name, cap):
 pool_query("profile_pools", 500)
 pool_query("profile_pools_30", 30)
 
+FIT_PROFILES = """SELECT profile || CASE WHEN body_bust IS NULL THEN '' ELSE '|' || body_bust || ',' || body_waist || ',' || body_hip END AS profile, sizes, low, high,
+  body_bust, body_waist, body_hip FROM profiles JOIN (SELECT user_id, body_bust, body_waist, body_hip FROM users) USING (user_id)"""
+FIT_MATCHED = """SELECT p.profile, l.listing_id, l.source_id, l.brand, l.last_seen_ms FROM (SELECT DISTINCT * FROM fit_profiles) p JOIN
+  (SELECT live.*, bust, waist, CASE coalesce(silhouette, 'other') WHEN 'bodycon' THEN 1.0 WHEN 'sheath' THEN 1.5 WHEN 'slip' THEN 1.5
+    WHEN 'a_line' THEN 2.5 WHEN 'wrap' THEN 2.5 ELSE 2.0 END AS ease FROM live JOIN attrs USING (listing_id)) l
+  ON (p.low IS NULL OR l.usd_cents >= p.low) AND (p.high IS NULL OR l.usd_cents <= p.high) AND (len(p.sizes) = 0 OR CASE
+    WHEN body_bust IS NOT NULL AND bust IS NOT NULL THEN bust BETWEEN body_bust - 1 AND body_bust + ease + 2 AND waist BETWEEN body_waist - 1 AND body_waist + ease + 2
+    WHEN len(l.size_normalized) = 0 THEN true
+    WHEN l.is_vintage THEN len(list_filter(l.size_normalized, lambda s: len(list_filter(p.sizes, lambda u: u >= s - 6 AND u <= s - 2)) > 0)) > 0
+    ELSE list_has_any(l.size_normalized, p.sizes) END)"""
+
+
+def fit_pool_query(name, cap):
+    @query(name, sql("SELECT profile AS profile_id, listing_id FROM pool", "users", "listings", "attrs", "sources", live=LIVE,
+                     profiles=PROFILES, fit_profiles=FIT_PROFILES, matched=FIT_MATCHED, pool=POOLS.format(cap=cap)))
+    def _(spark, d):
+        live = feed.live_catalog(T.candidates(spark, d), T.sources(spark, d), NOW)
+        return feed.pools(T.users(spark, d), live, cap, "fit").select("profile_id", "listing_id")
+
+
+fit_pool_query("profile_pools_fit", 500)
+fit_pool_query("profile_pools_fit_30", 30)
+
 FEED_PAIRS = f"""SELECT user_id, listing_id, position, basis FROM (SELECT * FROM hems) WHERE len(length_prefs) = 0
   OR list_contains(length_prefs, position)"""
 FEED_HEMS = hem_sql("SELECT u.*, a.* FROM users u JOIN profiles USING (user_id) JOIN pool USING (profile) JOIN attrs a USING (listing_id)")
