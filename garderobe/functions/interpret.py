@@ -43,6 +43,7 @@ STYLE_WORDS = [
 SOFT = {"occasions": "occasion", "colors": "color", "fabrics": "fabric", "silhouettes": "silhouette", "necklines": "neckline",
         "patterns": "pattern"}
 EMPTY = "cast(array() as array<string>)"
+SIGNAL = "struct<kind:string,term:string,value:string,hard:boolean>"
 
 
 def _cents(text: Column) -> Column:
@@ -53,12 +54,52 @@ def _take(df: DataFrame, pattern: str) -> DataFrame:
     return df.withColumn("_w", F.regexp_replace("_w", pattern, " "))
 
 
+def _signals(kind: str, terms: Column | str, values: Column | str, hard: bool = False) -> Column:
+    """Signals of one kind from the words that were read and what they stand for, place by place."""
+    return F.zip_with(terms, values, lambda t, v: F.struct(
+        F.lit(kind).alias("kind"), F.trim(t).alias("term"), v.alias("value"), F.lit(hard).alias("hard")))
+
+
+def _first_of_each(signals: Column) -> Column:
+    """A value of a kind counts once, by the first words that named it."""
+    keys = F.transform(signals, lambda s: F.struct(s["kind"], s["value"]))
+    return F.filter(signals, lambda s, i: F.array_position(keys, F.struct(s["kind"], s["value"])) == i + 1)
+
+
+def _dollars(cents: Column) -> Column:
+    return F.concat(F.lit("$"), F.floor(cents / 100 + 0.5).cast("string"))
+
+
+def price_label(low: Column, high: Column) -> Column:
+    """A price filter in words; one bound may be NULL."""
+    return (F.when(low.isNotNull() & high.isNotNull(), F.concat(_dollars(low), F.lit("–"), _dollars(high)))
+            .when(high.isNotNull(), F.concat(F.lit("under "), _dollars(high))).otherwise(F.concat(F.lit("over "), _dollars(low))))
+
+
+def _price_signals(pattern: str, low: int | None, high: int | None) -> Column:
+    """Every match of a price pattern; ``low`` and ``high`` name the groups that bound it."""
+    def cents(group: int | None) -> Column:
+        found = F.regexp_extract_all("_w", F.lit(pattern), F.lit(group or 0))
+        return F.transform(found, lambda t: _cents(t) if group else F.lit(None).cast("long"))
+
+    def label(pair: Column) -> Column:
+        if low is None or high is None:
+            return price_label(pair["lo"], pair["hi"])
+        return price_label(F.least(pair["lo"], pair["hi"]), F.greatest(pair["lo"], pair["hi"]))
+
+    bounds = F.zip_with(cents(low), cents(high), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+    return _signals("price", F.regexp_extract_all("_w", F.lit(pattern), F.lit(0)), F.transform(bounds, label), True)
+
+
 def _take_table(df: DataFrame, table: list[tuple[str, str]], out: str) -> DataFrame:
-    """Fold over a rule table: a rule that hits adds its value and blanks its words for the rules after it."""
+    """Fold over a rule table: a rule that hits adds its value and blanks its words for the rules after it. The words that were
+    read come as ``out`` with ``_terms`` at its end."""
     rules = ", ".join(f"named_struct('p', {quoted('(?i)' + p)}, 'v', {quoted(v)})" for p, v in table)
-    fold = (f"aggregate(array({rules}), named_struct('w', _w, 'hits', {EMPTY}), (s, r) -> if(rlike(s.w, r.p), "
-            "named_struct('w', regexp_replace(s.w, r.p, ' '), 'hits', array_append(s.hits, r.v)), s))")
-    return df.withColumn("_f", F.expr(fold)).withColumns({"_w": F.col("_f.w"), out: F.col("_f.hits")}).drop("_f")
+    fold = (f"aggregate(array({rules}), named_struct('w', _w, 'hits', {EMPTY}, 'terms', {EMPTY}), (s, r) -> if(rlike(s.w, r.p), "
+            "named_struct('w', regexp_replace(s.w, r.p, ' '), 'hits', array_append(s.hits, r.v), "
+            "'terms', array_append(s.terms, regexp_extract(s.w, r.p, 0))), s))")
+    return df.withColumn("_f", F.expr(fold)).withColumns(
+        {"_w": F.col("_f.w"), out: F.col("_f.hits"), f"{out}_terms": F.col("_f.terms")}).drop("_f")
 
 
 def _phrase(term: str) -> str:
@@ -67,10 +108,12 @@ def _phrase(term: str) -> str:
 
 
 def _take_phrases(df: DataFrame, phrases: str, hits: str) -> DataFrame:
-    """Fold over an array of phrases, keeping those that were still there when their turn came."""
-    fold = (f"aggregate({phrases}, named_struct('w', _w, 'hits', {EMPTY}), (s, g) -> if(rlike(s.w, {_phrase('g')}), "
-            f"named_struct('w', regexp_replace(s.w, {_phrase('g')}, ' '), 'hits', array_append(s.hits, g)), s))")
-    return df.withColumn("_f", F.expr(fold)).withColumns({"_w": F.col("_f.w"), hits: F.col("_f.hits")}).drop("_f")
+    """Fold over an array of phrases, keeping those that were still there when their turn came, and as they were written."""
+    fold = (f"aggregate({phrases}, named_struct('w', _w, 'hits', {EMPTY}, 'terms', {EMPTY}), (s, g) -> if(rlike(s.w, {_phrase('g')}), "
+            f"named_struct('w', regexp_replace(s.w, {_phrase('g')}, ' '), 'hits', array_append(s.hits, g), "
+            f"'terms', array_append(s.terms, regexp_extract(s.w, {_phrase('g')}, 0))), s))")
+    return df.withColumn("_f", F.expr(fold)).withColumns(
+        {"_w": F.col("_f.w"), hits: F.col("_f.hits"), f"{hits}_terms": F.col("_f.terms")}).drop("_f")
 
 
 def brand_grams(brands: DataFrame, anywhere: bool) -> DataFrame:
@@ -98,7 +141,7 @@ def _take_brands(df: DataFrame, brands: DataFrame) -> DataFrame:
     The row travels with its word sequences and is folded back by query, so no round is computed twice.
     """
     known = known_brands(brands)
-    df = df.withColumns({"brands": F.expr(EMPTY), "brand_names": F.expr(EMPTY)})
+    df = df.withColumns({"brands": F.expr(EMPTY), "brand_names": F.expr(EMPTY), "_brand_signals": F.array().cast(f"array<{SIGNAL}>")})
     for n in (3, 2, 1):
         df = df.withColumn("_w", collapse_spaces(F.col("_w")))
         words = "filter(split(lower(_w), ' '), x -> x <> '')"
@@ -112,44 +155,61 @@ def _take_brands(df: DataFrame, brands: DataFrame) -> DataFrame:
         ).select("query_id", "_row.*", "_found")
         df = _take_phrases(df, "array_distinct(transform(_found, x -> x.gram))", "_hits")
         used = F.expr("filter(_found, x -> array_contains(_hits, x.gram))")
+        named = F.transform("_hits", lambda g: F.get(F.filter("_found", lambda x: x["gram"] == g), F.lit(0))["canonical"])
         df = df.withColumn("_used", used).withColumns({
+            "_brand_signals": F.concat("_brand_signals", _signals("brand", "_hits_terms", named, True)),
             "brands": F.array_distinct(F.concat("brands", F.flatten(F.transform("_used", lambda x: x["expanded"])))),
             "brand_names": F.array_distinct(F.concat("brand_names", F.transform("_used", lambda x: x["canonical"]))),
-        }).drop("_found", "_hits", "_used")
+        }).drop("_found", "_hits", "_hits_terms", "_used")
     return df
 
 
 def interpret(queries: DataFrame, brands: DataFrame) -> DataFrame:
     """``queries`` (query_id, text[, lexical_terms]) with price, sizes, brands, length classes, soft signals, residual words
-    and the text left for embedding. ``brands`` (brand) lists the catalog's brands."""
-    df = queries.repartition("query_id").withColumn("_w", F.col("text"))
+    and the text left for embedding. ``brands`` (brand) lists the catalog's brands.
+
+    ``lexical_terms`` are terms that the searcher took back: they are words only. ``signals`` lists what was read, in the order of the
+    rules: (kind, term as written, value, hard).
+    """
+    df = queries.repartition("query_id").withColumn("_w", F.coalesce("text", F.lit("")))
     if "lexical_terms" not in df.columns:
         df = df.withColumn("lexical_terms", F.expr(EMPTY))
-    df = df.withColumn("_terms", F.expr("filter(transform(lexical_terms, t -> lower(regexp_replace(trim(t), '\\\\s+', ' '))), t -> t <> '')"))
+    df = df.withColumn("_terms", F.expr(f"filter(transform(coalesce(lexical_terms, {EMPTY}), t -> lower(regexp_replace(trim(t), '\\\\s+', ' '))), t -> t <> '')"))
     df = _take_phrases(df, "_terms", "_forced")
 
-    lows, highs = [], []
+    lows, highs, priced = [], [], []
     for i, pattern in enumerate(PRICE_RANGES):
         a, b = _cents(F.regexp_extract("_w", pattern, 1)), _cents(F.regexp_extract("_w", pattern, 2))
-        df = _take(df.withColumns({f"_lo{i}": F.least(a, b), f"_hi{i}": F.greatest(a, b)}), pattern)
+        read = {f"_lo{i}": F.least(a, b), f"_hi{i}": F.greatest(a, b), f"_range{i}": _price_signals(pattern, 1, 2)}
+        df = _take(df.withColumns(read), pattern)
+        priced.append(f"_range{i}")
         lows.append(f"_lo{i}")
         highs.append(f"_hi{i}")
-    df = _take(df.withColumn("_max", _cents(F.regexp_extract("_w", PRICE_MAX, 1))), PRICE_MAX)
-    df = _take(df.withColumn("_min", _cents(F.regexp_extract("_w", PRICE_MIN, 1))), PRICE_MIN)
+    df = _take(df.withColumns({"_max": _cents(F.regexp_extract("_w", PRICE_MAX, 1)), "_under": _price_signals(PRICE_MAX, None, 1)}), PRICE_MAX)
+    df = _take(df.withColumns({"_min": _cents(F.regexp_extract("_w", PRICE_MIN, 1)), "_over": _price_signals(PRICE_MIN, 1, None)}), PRICE_MIN)
     df = df.withColumns({"price_min_cents": F.coalesce(*lows, "_min"), "price_max_cents": F.coalesce(*highs, "_max")})
     sizes = F.transform(F.regexp_extract_all("_w", F.lit(SIZE), F.lit(1)), lambda s: s.cast("int"))
-    df = _take(df.withColumn("sizes", F.array_distinct(F.filter(sizes, lambda s: s <= V.MAX_US_SIZE))), SIZE)
+    said = _signals("size", F.regexp_extract_all("_w", F.lit(SIZE), F.lit(0)), sizes.cast("array<string>"), True)
+    worn = F.transform(F.filter(said, lambda s: s["value"].cast("int") <= V.MAX_US_SIZE),
+                       lambda s: s.withField("value", F.concat(F.lit("size "), s["value"])))
+    df = _take(df.withColumns({"_sizes": worn, "sizes": F.array_distinct(F.filter(sizes, lambda s: s <= V.MAX_US_SIZE))}), SIZE)
     df = _take_brands(df, brands)
     df = df.withColumn("semantic_text", collapse_spaces(F.col("_w")))
 
-    df = _take(df.withColumn("_gown", F.col("_w").rlike(GOWN)), GOWN)
+    df = _take(df.withColumns({"_gown": F.col("_w").rlike(GOWN), "_gown_term": F.regexp_extract("_w", GOWN, 0)}), GOWN)
     df = _take_table(df, V.LENGTH_WORDS, "_lengths")
     style = {kind: [F.expr(EMPTY)] for kind in ("occasions", "colors", "patterns", "silhouettes")}
     for pattern, adds in STYLE_WORDS:
         for kind, found in adds.items():
             style[kind].append(F.when(F.col("_w").rlike("(?i)" + pattern), F.array(*[F.lit(v) for v in found]))
                                .otherwise(F.expr(EMPTY)))
-    df = df.withColumns({f"_s_{kind}": F.concat(*parts) for kind, parts in style.items()})
+    styled = []
+    for pattern, adds in STYLE_WORDS:
+        term = F.nullif(F.regexp_extract("_w", "(?i)" + pattern, 0), F.lit(""))
+        for kind in (k for k in style if k in adds):
+            found = F.when(term.isNotNull(), F.array(*[F.lit(v) for v in adds[kind]])).otherwise(F.expr(EMPTY))
+            styled.append(_signals(SOFT[kind], F.array_repeat(term, F.size(found)), found))
+    df = df.withColumns({f"_s_{kind}": F.concat(*parts) for kind, parts in style.items()} | {"_styled": F.concat(*styled)})
     df = _take_table(df, V.SILHOUETTE_WORDS, "_t_silhouettes")
     df = _take_table(df, V.NECKLINE_WORDS, "_t_necklines")
     df = _take_table(df, [(p, v.split()[0]) for p, v in V.FABRIC_WORDS], "_t_fabrics")
@@ -163,9 +223,15 @@ def interpret(queries: DataFrame, brands: DataFrame) -> DataFrame:
     residual = (f"array_distinct(concat(filter(split(lower(_w), '[^a-z0-9'']+'), t -> length(t) > 1 and not (t in ({stop}))), {forced}))")
     formal = F.when(F.col("_gown"), F.array(F.lit("formal"))).otherwise(F.expr(EMPTY))
     gown = F.when(F.col("_gown"), F.array(F.lit("maxi"), F.lit("floor"))).otherwise(F.expr(EMPTY))
-    keep = [c for c in queries.columns if c != "lexical_terms"]
+    of_gown = F.when(F.col("_gown"), F.concat(
+        _signals("length", F.array("_gown_term", "_gown_term"), F.array(F.lit("maxi"), F.lit("floor")), True),
+        _signals("occasion", F.array("_gown_term"), F.array(F.lit("formal"))))).otherwise(F.array().cast(f"array<{SIGNAL}>"))
+    tables = [_signals(SOFT[kind], f"_t_{kind}_terms", f"_t_{kind}") for kind in ("silhouettes", "necklines", "fabrics", "patterns", "colors", "occasions")]
+    soft = F.concat(of_gown, _signals("length", "_lengths_terms", "_lengths", True), "_styled", *tables)
+    signals = F.concat(*priced, "_under", "_over", "_sizes", "_brand_signals", "_soft_signals")
+    df = df.withColumn("_soft_signals", soft).withColumn("_soft_signals", _first_of_each(F.col("_soft_signals")))
     return df.select(
-        *keep, "price_min_cents", "price_max_cents", "sizes", "brands", "brand_names",
+        *queries.columns, "price_min_cents", "price_max_cents", "sizes", "brands", "brand_names",
         F.array_distinct(F.concat(gown, "_lengths")).alias("length_classes"),
         F.array_distinct(F.concat(formal, "_s_occasions", "_t_occasions")).alias("occasions"),
         F.array_distinct(F.concat("_s_colors", "_t_colors")).alias("colors"),
@@ -173,7 +239,7 @@ def interpret(queries: DataFrame, brands: DataFrame) -> DataFrame:
         F.array_distinct(F.concat("_s_silhouettes", "_t_silhouettes")).alias("silhouettes"),
         F.array_distinct("_t_necklines").alias("necklines"),
         F.array_distinct(F.concat("_s_patterns", "_t_patterns")).alias("patterns"),
-        F.expr(residual).alias("residual"), "semantic_text",
+        F.expr(residual).alias("residual"), "semantic_text", signals.alias("signals"),
     )
 
 
@@ -181,37 +247,64 @@ def merge_parse(stage1: DataFrame, other: DataFrame, brands: DataFrame) -> DataF
     """Fill gaps of the rule parse from another parse of the same queries (query_id, price_min_cents, price_max_cents, sizes,
     length_classes, brands, occasions, colors, fabrics, silhouettes, vibe_text).
 
-    Hard fields are taken only where the rules found none; soft lists are united; unknown brand names never filter.
+    Hard fields are taken only where the rules found none; soft lists are united; unknown brand names never filter. What the searcher
+    took back (``lexical_terms`` of ``stage1``) does not come back from the other parse: neither a price as it would be named, a size,
+    a class, a brand, a soft value as given or as it would be stored, nor a word of the vibe. What is taken joins ``signals``.
     """
     hard = ["price_min_cents", "price_max_cents", "sizes", "length_classes", "brands"]
     soft = ["occasions", "colors", "fabrics", "silhouettes"]
-    named = other.select("query_id", F.explode("brands").alias("_b")).withColumn("gram", F.lower(F.trim("_b")))
+    if "lexical_terms" not in stage1.columns:
+        stage1 = stage1.withColumn("lexical_terms", F.expr(EMPTY))
+    gone = F.array_compact(F.transform(F.coalesce("lexical_terms", F.expr(EMPTY)), lambda t: F.lower(F.trim(t))))
+
+    def stays(*names: Column) -> Column:
+        return ~F.arrays_overlap(gone, F.transform(F.array(*names), lambda n: F.lower(F.trim(n))))
+
+    named = other.select("query_id", F.posexplode("brands").alias("_at", "_b")).withColumn(
+        "gram", F.array_join(F.filter(F.split(F.lower("_b"), r"\s+"), lambda w: w != ""), " "))
     resolved = named.join(known_brands(brands), "gram").groupBy("query_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("expanded")))).alias("_o_brands"))
+        F.array_sort(F.collect_list(F.struct("_at", "_b", "canonical", "expanded"))).alias("_named"))
     o = other.select("query_id", *[F.col(c).alias(f"_o_{c}") for c in [*hard, *soft, "vibe_text"] if c != "brands"])
     rows = stage1.join(o, "query_id", "left").join(resolved, "query_id", "left")
-    no_price = F.col("price_min_cents").isNull() & F.col("price_max_cents").isNull()
     blank = F.expr(EMPTY)
-
-    def gap(name: str) -> Column:
-        return F.when(F.size(name) > 0, F.col(name)).otherwise(F.coalesce(f"_o_{name}", F.col(name)))
-
-    def united(name: str) -> Column:
-        extra = F.coalesce(f"_o_{name}", blank)
-        if name == "colors":
-            extra = F.transform(extra, lambda v: F.lower(v))
-        if name == "fabrics":
-            extra = F.transform(extra, lambda v: F.get(F.split(F.lower(v), r"\s+"), F.lit(0)))
-        return F.filter(F.array_union(name, extra), lambda v: v != "")
-
+    low, high = F.col("_o_price_min_cents"), F.col("_o_price_max_cents")
+    no_price = F.col("price_min_cents").isNull() & F.col("price_max_cents").isNull()
+    priced = no_price & (low.isNotNull() | high.isNotNull()) & stays(price_label(low, high))
+
+    def added(name: str) -> Column:
+        """Values of the other parse that are new to a soft list and were not taken back."""
+        def stored(raw: Column) -> Column:
+            return F.lower(raw) if name == "colors" else F.get(F.split(F.lower(raw), r"\s+"), F.lit(0)) if name == "fabrics" else raw
+
+        kept = F.filter(F.coalesce(f"_o_{name}", blank), lambda raw: (stored(raw) != "") & stays(raw, stored(raw)))
+        return F.array_except(F.transform(kept, stored), name)
+
+    sizes = F.filter(F.coalesce("_o_sizes", F.array().cast("array<int>")), lambda s: s.between(0, V.MAX_US_SIZE)
+                     & stays(s.cast("string"), F.concat(F.lit("size "), s.cast("string"))))
+    lengths = F.filter(F.coalesce("_o_length_classes", blank), lambda c: stays(c))
+    # Taken once as columns: fields and signals are made from the same lists.
+    rows = rows.withColumns({
+        "_priced": priced, "_sizes": F.when(F.size("sizes") == 0, sizes).otherwise(F.slice(sizes, 1, 0)),
+        "_lengths": F.when(F.size("length_classes") == 0, lengths).otherwise(blank),
+        "_named": F.when(F.size("brands") == 0, F.filter("_named", lambda x: stays(x["_b"]))),
+        **{f"_new_{c}": added(c) for c in soft},
+    })
+    size_words = F.transform("_sizes", lambda s: F.concat(F.lit("size "), s.cast("string")))
+    none = F.array().cast(f"array<{SIGNAL}>")
+    label = F.array(price_label(low, high))
+    vibe = F.array_join(F.filter(F.split(F.trim("_o_vibe_text"), r"\s+"), lambda w: stays(w)), " ")
     merged = {
-        "price_min_cents": F.when(no_price, F.col("_o_price_min_cents")).otherwise(F.col("price_min_cents")),
-        "price_max_cents": F.when(no_price, F.col("_o_price_max_cents")).otherwise(F.col("price_max_cents")),
-        "sizes": F.when(F.size("sizes") > 0, F.col("sizes")).otherwise(F.coalesce(
-            F.filter("_o_sizes", lambda s: s.between(0, V.MAX_US_SIZE)), F.col("sizes"))),
-        "length_classes": gap("length_classes"), "brands": gap("brands"),
-        **{c: united(c) for c in soft},
-        "vibe_text": F.nullif(F.trim("_o_vibe_text"), F.lit("")),
+        "price_min_cents": F.when(F.col("_priced"), low).otherwise(F.col("price_min_cents")),
+        "price_max_cents": F.when(F.col("_priced"), high).otherwise(F.col("price_max_cents")),
+        "sizes": F.array_distinct(F.concat("sizes", "_sizes")), "length_classes": F.concat("length_classes", "_lengths"),
+        "brands": F.concat("brands", F.coalesce(F.array_sort(F.array_distinct(F.flatten("_named.expanded"))), blank)),
+        **{c: F.concat(c, f"_new_{c}") for c in soft},
+        "vibe_text": F.nullif(vibe, F.lit("")),
+        "signals": F.concat(
+            "signals", F.when(F.col("_priced"), _signals("price", label, label, True)).otherwise(none),
+            _signals("size", size_words, size_words, True), _signals("length", "_lengths", "_lengths", True),
+            F.coalesce(_signals("brand", "_named._b", "_named.canonical", True), none),
+            *[_signals(SOFT[c], f"_new_{c}", f"_new_{c}") for c in soft]),
     }
     return rows.select(*[c for c in stage1.columns if c not in merged], *[v.alias(k) for k, v in merged.items()])
 

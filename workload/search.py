@@ -49,17 +49,52 @@ def _(spark, d):
                     *[F.array_join(c, ",").alias(c) for c in flat])
 
 
-@query("search_parse_merged", sql("""SELECT query_id, coalesce(price_min_cents, CASE WHEN price_max_cents IS NULL THEN 12300 END) AS price_min_cents, price_max_cents,
-  CASE WHEN brands <> '' THEN brands ELSE 'Brand#7' END AS brands, CASE WHEN colors IN ('', 'green') THEN 'green' ELSE colors || ',green' END AS colors FROM parsed""", "listings", parsed=PARSED))
+SIGNALS = """SELECT p_partkey AS query_id, array_to_string(list_filter([
+    CASE p_partkey % 6 WHEN 0 THEN 'price|under $' || (900 + p_partkey % 90) || '|under $' || (900 + p_partkey % 90) || '|true'
+      WHEN 1 THEN 'price|$' || (950 + p_partkey % 9) || '-' || (900 + p_partkey % 9) || '|$' || (900 + p_partkey % 9) || '–$' || (950 + p_partkey % 9) || '|true'
+      WHEN 2 THEN 'price|over ' || (930 + p_partkey % 20) || ' dollars|over $' || (930 + p_partkey % 20) || '|true' END,
+    CASE WHEN p_partkey % 7 < 2 AND p_size <= 26 THEN 'size|Size ' || p_size || '|size ' || p_size || '|true' END,
+    CASE WHEN p_partkey % 9 = 0 AND p_brand IN (SELECT brand FROM listings WHERE removed_ms IS NULL) THEN 'brand|' || p_brand || '|' || p_brand || '|true' END]
+    || CASE p_partkey % 4 WHEN 0 THEN ['length|mini|mini|true'] WHEN 1 THEN ['length|midi|midi|true']
+      WHEN 2 THEN ['length|evening gown|maxi|true', 'length|evening gown|floor|true', 'occasion|evening gown|formal|false'] ELSE [] END
+    || CASE p_partkey // 4 % 4 WHEN 0 THEN ['occasion|sundress|casual|false', 'occasion|sundress|vacation|false']
+      WHEN 3 THEN ['pattern|boho|floral|false', 'silhouette|boho|tent|false'] ELSE [] END
+    || [{shape}, CASE WHEN split_part(p_name, ' ', 1) IN ('red', 'blue') THEN 'color|' || split_part(p_name, ' ', 1) || '|' || split_part(p_name, ' ', 1) || '|false' END,
+      CASE p_partkey // 4 % 4 WHEN 1 THEN 'occasion|wedding guest|wedding_guest|false' END], lambda x: x IS NOT NULL), ';') AS signals FROM part""".format(
+    shape=pick([s and f"silhouette|{s}|{v}|false" for s, v in zip(SHAPES, SHAPE_VALUES)], "p_partkey % 5"))
+
+
+def listed(signals):
+    """Signals as one text, in order."""
+    return F.array_join(F.transform(signals, lambda s: F.concat_ws("|", s["kind"], s["term"], s["value"], s["hard"].cast("string"))), ";")
+
+
+@query("search_signals", sql("SELECT * FROM s", "listings", s=SIGNALS))
 def _(spark, d):
     brands = T.listings(spark, d).filter(active() & F.col("brand").isNotNull()).select("brand")
-    p = interpret(texts(spark, d).select("query_id", "text"), brands)
+    return interpret(texts(spark, d).select("query_id", "text"), brands).select("query_id", listed(F.col("signals")).alias("signals"))
+
+
+# What the searcher took back: the price, color or brand that the other parse would bring, or nothing.
+GONE = ["over $123", " GREEN ", "brand#7", None]
+
+
+@query("search_parse_merged", sql("""SELECT query_id, coalesce(price_min_cents, CASE WHEN price_max_cents IS NULL AND NOT no_price THEN 12300 END) AS price_min_cents, price_max_cents,
+  brand AS brands, CASE WHEN no_green THEN colors WHEN colors IN ('', 'green') THEN 'green' ELSE colors || ',green' END AS colors,
+  (price_min_cents IS NULL AND price_max_cents IS NULL AND NOT no_price)::INT + (brand <> '' AND own = '')::INT + (NOT no_green)::INT AS added
+  FROM (SELECT *, CASE WHEN own <> '' THEN own WHEN no_brand THEN '' ELSE 'Brand#7' END AS brand FROM
+  (SELECT *, query_id % 4 = 0 AS no_price, query_id % 4 = 1 AS no_green, query_id % 4 = 2 AS no_brand,
+    CASE WHEN query_id % 4 = 2 AND brands = 'Brand#7' THEN '' ELSE brands END AS own FROM parsed))""", "listings", parsed=PARSED))
+def _(spark, d):
+    brands = T.listings(spark, d).filter(active() & F.col("brand").isNotNull()).select("brand")
+    p = interpret(texts(spark, d).selectExpr("query_id", "text", f"array_compact(array({T.pick(GONE, 'query_id % 4')})) as lexical_terms"), brands)
     none = "cast(array() as array<string>)"
     other = texts(spark, d).selectExpr("query_id", "12300L as price_min_cents", "cast(null as bigint) as price_max_cents", "cast(array() as array<int>) as sizes",
                                        f"{none} as length_classes", "array('brand#7', 'nobody') as brands", f"{none} as occasions", "array('Green') as colors",
                                        f"{none} as fabrics", f"{none} as silhouettes", "'airy' as vibe_text")
-    return merge_parse(p, other, brands).select("query_id", "price_min_cents", "price_max_cents", F.array_join("brands", ",").alias("brands"),
-                                                F.array_join("colors", ",").alias("colors"))
+    both = merge_parse(p.withColumn("_n", F.size("signals")), other, brands)
+    return both.select("query_id", "price_min_cents", "price_max_cents", F.array_join("brands", ",").alias("brands"),
+                       F.array_join("colors", ",").alias("colors"), (F.size("signals") - F.col("_n")).alias("added"))
 
 
 def asked(spark, d):
