@@ -87,7 +87,7 @@ def batch_search(queries: DataFrame, users: DataFrame, catalog: DataFrame, sourc
     live = feed.live_catalog(catalog, sources, now_ms)
     plans = stage(plan_queries(queries, catalog, other_parse, explicit), "search-plans")
     pools = query_pools(plans, live)
-    found = relevance(plans, pools, live, query_vectors, vectors)
+    found = stage(relevance(plans, pools, live, query_vectors, vectors), "search-found")  # read twice below
     searchers = queries.select("query_id", "user_id").join(users, "user_id").withColumns({
         "user_id": F.col("query_id"), "profile_id": F.col("query_id"),
         "length_prefs": F.array().cast("array<string>"),

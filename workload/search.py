@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from garderobe.functions.interpret import interpret, merge_parse
 from garderobe.operators.filters import active
 from garderobe.plans import feed, search
+from garderobe.session import stage
 from garderobe.sources import tables as T
 from workload.bindings import NOW, pick, sql
 from workload.registry import query
-from workload.ranking import LIVE
+from workload.ranking import LIVE, POOLS
 
 SHAPES = ["wrap", "slip", "a-line", "bodycon", None]
 SHAPE_VALUES = ["wrap", "slip", "a_line", "bodycon", None]
@@ -117,10 +118,52 @@ def _(spark, d):
     return search.query_pools(search.plan_queries(q, catalog), live).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+SEARCH_POOL = dict(live=LIVE, parsed=PARSED, matched="""SELECT query_id AS profile, listing_id, l.source_id, l.brand, l.last_seen_ms FROM
+  (SELECT query_id, price_min_cents AS lo, price_max_cents AS hi, sizes AS size, brands AS brand, length_classes AS lens FROM parsed) q
+  JOIN live l ON (q.lo IS NULL OR usd_cents >= q.lo) AND (q.hi IS NULL OR usd_cents <= q.hi)
+  AND (q.size = '' OR len(size_normalized) = 0 OR list_contains(size_normalized, TRY_CAST(q.size AS INTEGER))) AND (q.brand = '' OR lower(l.brand) = lower(q.brand))
+  JOIN attrs a USING (listing_id) WHERE q.lens = '' OR list_contains(string_split(q.lens, ','), a.length_class)""", pool=POOLS.format(cap=500))
+# Parts of the relevance of a pool row: tags found of those wanted, words found of those left, and the place of its vector in the pool.
+RELEVANCE = """SELECT query_id, listing_id, CASE WHEN tagged > 0 OR worded > 0 OR semantic THEN (0.5::DOUBLE * coalesce(attr, 0) + 0.3::DOUBLE * coalesce(sem, 0) + 0.2::DOUBLE * coalesce(lex, 0))
+  / nullif(0.5::DOUBLE * (attr IS NOT NULL)::INT + 0.3::DOUBLE * (sem IS NOT NULL)::INT + 0.2::DOUBLE * (lex IS NOT NULL)::INT, 0) END AS relevance
+  FROM (SELECT *, CASE WHEN raw IS NOT NULL THEN CASE WHEN top = low THEN 0.5::DOUBLE ELSE (raw - low) / (top - low) END END AS sem FROM
+  (SELECT p.profile AS query_id, p.listing_id, coalesce(n_tags, 0) AS tagged, coalesce(n_words, 0) AS worded, n_hit::DOUBLE / n_tags AS attr, n_said::DOUBLE / n_words AS lex, raw,
+    min(raw) OVER w AS low, max(raw) OVER w AS top, s.vec_id IS NOT NULL AS semantic, row_number() OVER (w ORDER BY raw DESC NULLS LAST, p.listing_id) AS near
+   FROM pool p LEFT JOIN tagged t USING (profile, listing_id) LEFT JOIN said d USING (profile, listing_id) LEFT JOIN raws r USING (profile, listing_id)
+   LEFT JOIN embeddings s ON s.vec_id = p.profile WINDOW w AS (PARTITION BY p.profile)))
+  WHERE (tagged = 0 AND worded = 0 AND NOT semantic) OR coalesce(attr, 0) > 0 OR coalesce(lex, 0) > 0 OR (raw IS NOT NULL AND near <= 50)"""
+RELEVANCE_PARTS = dict(
+    wanted="""SELECT query_id, unnest(list_filter(list_transform(string_split(occasions, ','), lambda x: 'occasion:' || x) || list_transform(string_split(colors, ','), lambda x: 'color:' || x)
+      || list_transform(string_split(silhouettes, ','), lambda x: 'silhouette:' || x) || list_transform(string_split(patterns, ','), lambda x: 'pattern:' || x),
+      lambda x: NOT ends_with(x, ':'))) AS tag FROM parsed""",
+    tagged="""SELECT profile, p.listing_id, count(*) AS n_tags, count(t.tag) AS n_hit FROM pool p JOIN wanted w ON w.query_id = p.profile
+      LEFT JOIN tags t ON t.listing_id = p.listing_id AND t.tag = w.tag GROUP BY ALL""",
+    said="""SELECT profile, p.listing_id, count(*) AS n_words, count(*) FILTER (contains(lower(title || ' ' || coalesce(brand, '') || ' ' || coalesce(description, '')), word)) AS n_said
+      FROM (SELECT profile, listing_id FROM pool) p JOIN (SELECT query_id, unnest(string_split(residual, ',')) AS word FROM parsed WHERE residual <> '') w ON w.query_id = p.profile
+      JOIN listings l ON l.listing_id = p.listing_id GROUP BY ALL""",
+    raws="""SELECT profile, p.listing_id, round((list_cosine_similarity(q.embedding::DOUBLE[], v.vector::DOUBLE[]) + 1) / 2, 9) AS raw
+      FROM pool p JOIN embeddings q ON q.vec_id = p.profile JOIN vectors v ON v.listing_id = p.listing_id""", found=RELEVANCE)
+
+
+def text_vectors(spark, d):
+    return T.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query("search_relevance", sql("SELECT query_id, listing_id, round(relevance, 6) AS relevance FROM found", "listings", "attrs", "sources", "tags", "vectors",
+                               **SEARCH_POOL, **RELEVANCE_PARTS))
+def _(spark, d):
+    q, _ = asked(spark, d)
+    catalog = T.candidates(spark, d)
+    live = feed.live_catalog(catalog, T.sources(spark, d), NOW)
+    plans = stage(search.plan_queries(q, catalog), "search-plans")
+    found = search.relevance(plans, search.query_pools(plans, live), live, text_vectors(spark, d), T.embeddings(spark, d))
+    return found.select("query_id", "listing_id", F.round("relevance", 6).alias("relevance"))
+
+
 @query("batch_search")
 def _(spark, d):
     q, users = asked(spark, d)
     vectors = T.embeddings(spark, d)
-    qv = T.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    qv = text_vectors(spark, d)
     out = search.batch_search(q, users, T.candidates(spark, d), T.sources(spark, d), NOW, query_vectors=qv, vectors=vectors)
     return out.select("query_id", "position", "listing_id", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"))
