@@ -131,9 +131,9 @@ def attribute_fraction(tags: Column, attributes: Column) -> Column:
     return F.when(F.size(tags) > 0, hit / F.size(tags))
 
 
-def lexical_fraction(tokens: Column, haystack: Column) -> Column:
-    hay = F.lower(haystack)
-    hit = F.size(F.filter(tokens, lambda t: F.contains(hay, F.lower(t))))
+def lexical_fraction(tokens: Column, said: Column) -> Column:
+    """Fraction of distinct tokens among those that a text was found to contain; NULL without tokens."""
+    hit = F.coalesce(F.size(F.array_intersect(tokens, said)), F.lit(0))
     return F.when(F.size(tokens) > 0, hit / F.size(tokens))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garderobe.functions import scoring as S
@@ -48,17 +48,33 @@ def query_pools(plans: DataFrame, live: DataFrame, cap: int = CANDIDATE_CAP) ->
     return keyed.select("query_id", "profile_id").join(pools.select("profile_id", "listing_id"), "profile_id").drop("profile_id")
 
 
+def said_tokens(texts: DataFrame, tokens: DataFrame, text: Column) -> DataFrame:
+    """(listing_id, said): the tokens (token, without white space) that occur anywhere in a listing's text, in words or parts of words.
+
+    Tokens meet the catalog's distinct words by their first three letters, and every word is compared once however many listings say
+    it, so no text travels with the pairs of a search. Listings that say none have no row.
+    """
+    spoken = texts.select("listing_id", F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("word")).filter("word <> ''")
+    starts = "transform(sequence(1, length(word)), i -> substring(word, i, {n}))"
+    grams = F.array_distinct(F.concat(*[F.expr(starts.format(n=n)) for n in (1, 2, 3)]))
+    asked = tokens.select(F.lower("token").alias("token")).distinct().filter("token <> ''").withColumn("gram", F.substring("token", 1, 3))
+    inside = spoken.select("word").distinct().withColumn("gram", F.explode(grams)).join(asked, "gram").filter(
+        F.contains(F.col("word"), F.col("token"))).select("word", "token")
+    return spoken.join(inside, "word").groupBy("listing_id").agg(F.collect_set("token").alias("said"))
+
+
 def relevance(plans: DataFrame, pools: DataFrame, catalog: DataFrame, query_vectors: DataFrame | None = None,
               vectors: DataFrame | None = None, top_k: int = SEMANTIC_TOP_K) -> DataFrame:
     """(query_id, listing_id, relevance) of pool rows with evidence: a matching tag, a matching word, or a place among the
     ``top_k`` closest vectors. Queries without any signal keep their whole pool with NULL relevance."""
     text = F.concat_ws(" ", "title", F.coalesce("brand", F.lit("")), F.coalesce("description", F.lit("")))
-    shown = catalog.select("listing_id", "attribute_vector", text.alias("_text"))
+    said = said_tokens(catalog, plans.select(F.explode("residual").alias("token")), text)
+    shown = catalog.select("listing_id", "attribute_vector").join(said, "listing_id", "left")
     rows = pools.join(shown, "listing_id").join(plans.select("query_id", "tags", "residual"), "query_id")
     rows = rows.withColumns({
         "attr": S.attribute_fraction(F.col("tags"), F.col("attribute_vector")),
-        "lex": S.lexical_fraction(F.col("residual"), F.col("_text")),
-    }).drop("_text", "attribute_vector")
+        "lex": S.lexical_fraction(F.col("residual"), F.col("said")),
+    }).drop("said", "attribute_vector")
     if query_vectors is not None and vectors is not None:
         rows = (
             rows.join(query_vectors.select("query_id", F.col("vector").alias("_q")), "query_id", "left")
