@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from garderobe.functions import markup as M
 from garderobe.functions.model_info import model_info
+from garderobe.functions.named import register
 from garderobe.plans import deck, feed, fit, ledger, seasons
 from garderobe.session import scratch_path, stage
 from garderobe.sources import crawl, marketplace, storefront, structured_pages
@@ -175,6 +176,18 @@ def _(spark, d):
     return T.read(spark, d, "part").select(K, M.decode_entities(raw).alias("text"))
 
 
+@query("named_functions", sql(f"""SELECT listing_id, usd_cents, CASE WHEN x < 31.5 THEN 'micro' WHEN x < 34.5 THEN 'mini' WHEN x < 37.5 THEN 'above_knee' WHEN x < 41.5 THEN 'knee'
+  WHEN x < 45.5 THEN 'midi' WHEN x < 51 THEN 'mid_calf' WHEN x < 57.5 THEN 'maxi' ELSE 'floor' END AS length_class, chr(65 + CAST(listing_key % 26 AS INTEGER)) || lower(title) || '€' AS text,
+  len(list_filter(string_split(lower(title), ' '), lambda w: w <> '')) AS n_words FROM (SELECT *, 20 + p_size AS x FROM listings)""", "listings"))
+def _(spark, d):
+    register(spark)
+    T.listings(spark, d).createOrReplaceTempView("named_listings")
+    T.read(spark, d, "part").createOrReplaceTempView("named_parts")
+    return spark.sql("""select listing_id, us_cents(price_cents, currency) as usd_cents, length_class_of(20 + p_size) as length_class,
+        numeric_references(concat('&#', 65 + listing_key % 26, ';', lower(title), '&#x20aC;')) as text, size(words_of(title)) as n_words
+        from named_listings join named_parts on p_partkey = listing_key""")
+
+
 @query("stated_model_heights", sql("""SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 1) THEN 68.0 + doc_id % 4 WHEN doc_id % 4 = 2 THEN floor(178 / 2.54 * 10 + 0.5) / 10 END AS height,
   CASE WHEN doc_id % 4 = 0 THEN 'S' WHEN doc_id % 4 = 2 THEN 'US 4' END AS size_worn FROM documents"""))
 def _(spark, d):
