@@ -343,6 +343,23 @@ def _(spark, d):
     return seasons.classify(rows).select("user_id", "season")
 
 
+# A table of palettes from the nations: each is a color of one season, every fourth one to avoid; some seasons have none.
+PALETTE_SEASONS = ["dark_autumn", "dark_winter", "light_spring", "light_summer", "bright_spring", "soft_summer", "true_autumn", None]
+
+
+@query("season_palettes", sql(f"""SELECT user_id, season, coalesce(palette, '') AS palette, coalesce(avoid, '') AS avoid FROM (SELECT user_id, {SEASON} AS season FROM a) LEFT JOIN
+  (SELECT season, string_agg(name || '#' || n_nationkey, ',' ORDER BY n_nationkey) FILTER (n_nationkey % 4 <> 0) AS palette, string_agg(name || '#' || n_nationkey, ',' ORDER BY n_nationkey) FILTER (n_nationkey % 4 = 0) AS avoid
+   FROM (SELECT *, lower(n_name) AS name, {pick(PALETTE_SEASONS, 'n_nationkey % 8')} AS season FROM nation) WHERE season IS NOT NULL GROUP BY season) USING (season)""", a=AXES))
+def _(spark, d):
+    colors = T.read(spark, d, "nation").selectExpr(f"{T.pick(PALETTE_SEASONS, 'n_nationkey % 8')} as season", "n_nationkey as place", "concat('#', n_nationkey) as hex",
+                                                   "lower(n_name) as name", "n_nationkey % 4 = 0 as avoid")
+    c = T.read(spark, d, "customer").select("c_custkey", *[F.expr(v.replace("::DOUBLE", "D")).alias(k) for k, v in MEASURED.items()])
+    rows = c.select(F.col("c_custkey").alias("user_id"), F.lit("good").alias("sample_quality"),
+                    seasons.axes_from_measured(F.col("skin"), F.col("hair"), F.col("warmth"), F.col("chroma"), F.col("contrast")).alias("axes"))
+    said = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat(x["name"], x["hex"])), ","), F.lit(""))
+    return seasons.classify(rows, seasons.palette_table(colors)).select("user_id", "season", said("palette").alias("palette"), said("avoid").alias("avoid"))
+
+
 def calls(spark, d):
     return T.read(spark, d, "events").selectExpr("cast(ts as timestamp) as ts", "if(event_type = 'view', 'small', if(event_type = 'click', 'large', 'other')) as model",
                                                  "event_id % 1000 * 100 as input_tokens", "event_id % 77 * 10 as output_tokens", "event_id % 5 * 1000 as cache_read", "event_id % 3 * 1000 as cache_write",
