@@ -149,14 +149,20 @@ def accepted_hits(hits: DataFrame, limit: int = 20, window_ms: int = 60_000, hom
 
 
 def deck_completions(swipes: DataFrame, home: str | None = None) -> DataFrame:
-    """(user_id, reason, at_ms, positives, cards) once per user: the first moment the deck is complete."""
+    """(user_id, reason, at_ms, positives, cards) once per user: the first moment the deck is complete.
+
+    Of a user's rows in a micro-batch only the earliest that the deck has cards left for are held, chunk by chunk: a deck is complete
+    with its last card at the latest, so later rows say nothing.
+    """
     key_type = swipes.schema["user_id"].dataType.simpleString()
 
     def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         likes, cards, over = state.get if state.exists else (0, 0, False)
         if over:
             return
-        rows = pd.concat(list(chunks)).sort_values(["created_ms", "swipe_id"])
+        rows = None
+        for chunk in chunks:
+            rows = (chunk if rows is None else pd.concat([rows, chunk])).sort_values(["created_ms", "swipe_id"]).head(CARD_CAP - cards)
         up = rows["verdict"].isin(["like", "save"]).cumsum().to_numpy() + likes
         seen = pd.Series(range(1, len(rows) + 1)).to_numpy() + cards
         hit = ((up >= LIKE_TARGET) | (seen >= CARD_CAP)).nonzero()[0]

@@ -72,3 +72,24 @@ def test_state_table_replays(spark, tmp_path):
 def test_registered_streams_run(spark, sf, name):
     from workload import QUERIES
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_a_user_with_very_many_swipes(spark, tmp_path):
+    """One user has most rows of a batch, in many chunks and no order: the deck ends where a walk in order ends it."""
+    rng, folder = random.Random(8), str(tmp_path / "swipes.parquet")
+    rows = [(i, "hot" if i % 10 else f"u{i % 70}", "like" if rng.random() < 0.1 else "skip", rng.randrange(10**6)) for i in range(30_000)]
+    write(spark, folder, [rows], "swipe_id long, user_id string, verdict string, created_ms long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    try:
+        got = {r.user_id: (r.reason, r.at_ms, r.positives, r.cards) for r in jobs.deck_completions(file_stream(spark, folder, "*.parquet")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for user in {r[1] for r in rows}:
+        likes = 0
+        for n, (_, _, verdict, at) in enumerate(sorted((r for r in rows if r[1] == user), key=lambda r: (r[3], r[0])), 1):
+            likes += verdict == "like"
+            if likes >= jobs.LIKE_TARGET or n >= jobs.CARD_CAP:
+                want[user] = ("target" if likes >= jobs.LIKE_TARGET else "cap", at, likes, n)
+                break
+    assert got == want and "hot" in got

@@ -74,7 +74,12 @@ def _(spark, d):
     return after.select("listing_id", "price_cents", "last_seen_ms")
 
 
-@query("stream_accepted_hits")
+@query("stream_accepted_hits", f"""WITH RECURSIVE h AS (SELECT user_id AS key, event_id AS hit_id, epoch_us(ts) // 1000 AS at_ms FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY at_ms, hit_id) AS nth FROM h),
+  walk AS (SELECT key, hit_id, at_ms, nth, true AS accepted, [at_ms] AS kept FROM n WHERE nth = 1
+    UNION ALL SELECT key, hit_id, at_ms, nth, len(recent) < 2, CASE WHEN len(recent) < 2 THEN recent || [at_ms] ELSE recent END FROM
+      (SELECT n.*, list_filter(walk.kept, lambda t: t > n.at_ms - {6 * HOUR}) AS recent FROM walk JOIN n ON n.key IS NOT DISTINCT FROM walk.key AND n.nth = walk.nth + 1))
+  SELECT key, hit_id, at_ms, accepted FROM walk""")
 def _(spark, d):
     hits = feed(spark, d).selectExpr("user_id as key", "event_id as hit_id", "unix_millis(cast(ts as timestamp)) as at_ms", "cast(ts as timestamp) as ts")
     return jobs.accepted_hits(hits, 2, 6 * HOUR).select("key", "hit_id", "at_ms", "accepted")
