@@ -98,3 +98,12 @@ def test_estimate_clamp(spark):
     assert one(spark, lengths.clamp_estimate(F.lit(44.04), F.lit("midi")))["inches"] == 44.0
     assert one(spark, lengths.clamp_estimate(F.lit(50.0), F.lit("midi")))["clamped"] is True
     assert one(spark, lengths.clamp_estimate(F.lit(75.0), F.lit(None).cast("string")))["clamped"] is True
+
+
+def test_model_info_scans_a_text_once_for_heights(spark):
+    """Places of heights are found by two passes over a text made once; their parts are read from short texts."""
+    from garderobe.functions.model_info import STATED
+    rows = spark.createDataFrame([("7 " * 3000 + "The model is 5\u20198\u201d tall. Length: 5'2\". She is 6'1\" tall",)], "t string")
+    plan = rows.select(model_info(F.col("t")).alias("m")).select("m.*")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count(STATED) <= 2
+    assert plan.first().height == 68.0
