@@ -38,3 +38,11 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="checkpoint.dir"):
         session.shared_dir(type("Spark", (), {"conf": Conf, "sparkContext": Context})())
+
+
+def test_spread_after_a_join_on_its_key(spark):
+    """Rows joined on a key and spread by it reach as many tasks as were asked for, though few bytes would fill one."""
+    from garderobe.session import spread
+    a = spark.range(2000).withColumnRenamed("id", "k")
+    rows = spread(a.join(a.selectExpr("k", "k * 2 as v"), "k"), "k")
+    assert rows.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism and rows.count() == 2000
