@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ UNKNOWN_CONFIDENCE = 0.5
 NUMBER_KINDS = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out one time, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def field(payload: Column, path: str) -> Column:
     return F.try_variant_get(payload, path, "variant")
 
@@ -27,10 +34,17 @@ def number_of(value: Column) -> Column:
 
 def word_of(value: Column, allowed: list[str]) -> Column:
     """A word of the vocabulary, other spellings of case, spaces and hyphens included; anything else is "other" where there is such a word."""
-    given = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-    spelled = F.regexp_replace(F.trim(F.lower(given)), r"[\s-]+", "_")
-    missing = value.isNull() | (F.schema_of_variant(value) == "VOID")
-    return F.when(missing, None).when(given.isin(allowed), given).when(spelled.isin(allowed), spelled).otherwise(F.lit("other" if "other" in allowed else None))
+    other = F.lit("other" if "other" in allowed else None)
+
+    def word(given: Column) -> Column:
+        spelled = F.regexp_replace(F.trim(F.lower(given)), r"[\s-]+", "_")
+        return F.when(given.isin(allowed), given).otherwise(once(spelled, lambda s: F.when(s.isin(allowed), s).otherwise(other)))
+
+    def read(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return once(kind, lambda k: F.when(v.isNull() | (k == "VOID"), None).otherwise(once(F.when(k == "STRING", F.try_variant_get(v, "$", "string")), word)))
+
+    return once(value, read)
 
 
 def items_of(value: Column) -> Column:
@@ -38,8 +52,11 @@ def items_of(value: Column) -> Column:
 
 
 def coerced(payload: Column) -> Column:
-    """Struct of all fields from a JSON text; null if the text is no JSON object."""
-    v = F.try_parse_json(payload)
+    """Struct of all fields from a JSON text, which is parsed once; null if the text is no JSON object."""
+    return once(F.try_parse_json(payload), _fields)
+
+
+def _fields(v: Column) -> Column:
     color = lambda c: F.struct(text_of(field(c, "$.name")).alias("name"), text_of(field(c, "$.family")).alias("family"), text_of(field(c, "$.hex")).alias("hex"))
     colors = F.filter(F.transform(items_of(field(v, "$.colors")), color), lambda c: c["name"].isNotNull() & c["family"].isNotNull())
     occasions = F.filter(F.transform(items_of(field(v, "$.occasions")), text_of), lambda o: o.isin(V.OCCASIONS))

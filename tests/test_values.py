@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from garderobe.functions import audience, brands, hem, markup, scoring, sizes
+from garderobe import values as V
+from garderobe.functions.coerce import coerced
 from garderobe.functions.extraction import measurement_values, measurements
 from garderobe.functions.model_info import model_info
-from garderobe.functions.text import color_tags
+from garderobe.functions.text import all_matches, color_tags, first_match, lowered, needed
 from garderobe.plans import lengths
 
 
@@ -107,3 +109,32 @@ def test_model_info_scans_a_text_once_for_heights(spark):
     plan = rows.select(model_info(F.col("t")).alias("m")).select("m.*")
     assert plan._jdf.queryExecution().optimizedPlan().toString().count(STATED) <= 2
     assert plan.first().height == 68.0
+
+
+WORDED = ["Mid-Calf tea length WRAP dress", "FLOOR-length gown, gr\u00e9en", "micro\u212anit \u0130vory", "3/4 Sleeve off  shoulder fit&flare", "Black-Tie Evening", "", None,
+          "waist to hem: 30 in, CHEST 92 CM, Hips 40 in flat", "laid FLAT: waist 14, length 44"]
+
+
+def test_rules_by_their_words_give_what_the_rules_give(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(WORDED)], "i int, t string").withColumn("low", lowered(F.col("t")))
+    tables = [V.LENGTH_WORDS, V.SILHOUETTE_WORDS, V.NECKLINE_WORDS, V.SLEEVE_WORDS, V.PATTERN_WORDS, V.FABRIC_WORDS, V.OCCASION_WORDS]
+    rows = df.select(*[F.struct(read("t", table).alias("plain"), read("t", table, "low").alias("worded")) for table in tables for read in (first_match, all_matches)],
+                     F.struct(measurement_values("t").alias("plain"), measurement_values("t", "low").alias("worded"))).collect()
+    assert all(c["plain"] == c["worded"] for r in rows for c in r)
+    assert any(c["worded"] for r in rows for c in r)
+
+
+@pytest.mark.parametrize("pattern, words", [
+    (r"\b(mid[-\s]?calf|tea[-\s]?length)\b", {"calf", "length"}), (r"\bhips?\s*:", {"hip"}), (r"a?b*", set()), (r"(?:x|)y", {"y"}), (r"(?:red|\d)", set())])
+def test_words_that_a_match_holds(pattern, words):
+    assert set(needed(pattern)) == words
+
+
+def test_payload_is_parsed_once(spark):
+    """The text is parsed in one place of the plan, not once for each mention of a field."""
+    df = spark.createDataFrame([('{"lengthClass":" MINI ","silhouette":["wrap"],"confidence":0.25}',), ("[1]",), ("no json",), (None,)], "t string")
+    rows = df.select(coerced(F.col("t")).alias("c"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") <= 1
+    first, *rest = [r["c"] for r in rows.collect()]
+    assert (first["length_class"], first["silhouette"], first["sleeve"], first["confidence"]) == ("mini", "other", None, 0.25) and rest == [None] * 3

@@ -8,6 +8,7 @@ from garderobe.functions import extraction as X
 from garderobe.functions.coerce import coerced
 from garderobe.operators.joins import first_images
 from garderobe.plans import cleanup, errors, extract, ingest, lengths, profiles, reconcile, verify
+from garderobe.session import spread
 from garderobe.sources import tables as T
 from workload.bindings import DAY, EVENT_LISTING, HOUR, NOW, pick, source_of, sql
 from workload.registry import query
@@ -366,7 +367,7 @@ def _(spark, d):
     body = f"""concat('{{"lengthClass":', {T.pick(['"Above Knee"', '" MINI "', '"ankle-ish"', '7', 'null'], f'{k} % 5')}, ',"lengthInches":', if({k} % 3 = 0, cast(p_size as string), concat('"', p_size, '"')),
       ',"silhouette":', {T.pick(['"A-Line"', '"mermaid"', '["wrap"]', 'null'], f'{k} % 4')}, ',"colors":', if({k} % 2 = 0, '[{{"name":"Ruby","family":"red"}},{{"name":"x"}},"blue",null]', '"red"'),
       ',"occasions":', if({k} % 6 = 0, '["work",3,"Party","party","gala"]', '{{}}'), ',"measurements":', {T.pick(['null', '{"bust":33.5,"waist":"27"}', '[1]'], f'{k} % 3')}, if({k} % 3 = 2, ',"confidence":0.25', ',"confidence":"high"'), '}}')"""
-    rows = T.read(spark, d, "part").select(k, coerced(F.expr(f"if({k} % 10 = 9, if({k} % 20 = 9, '[1, 2]', 'no json'), {body})")).alias("c"))
+    rows = spread(T.read(spark, d, "part"), k).select(k, coerced(F.expr(f"if({k} % 10 = 9, if({k} % 20 = 9, '[1, 2]', 'no json'), {body})")).alias("c"))
     return rows.select(k, "c.length_class", "c.length_inches", "c.silhouette", F.array_join(F.transform("c.colors", lambda c: c["family"]), ",").alias("colors"),
                        F.array_join("c.occasions", ",").alias("occasions"), "c.measurements.bust", "c.confidence")
 
