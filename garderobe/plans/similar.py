@@ -56,11 +56,18 @@ def tag_neighbours(probes: DataFrame, pool: DataFrame, k: int = SIMILAR, same_id
     offered = top.join(members, F.col("id") == F.col("sig")).select(
         F.col("qid").alias("psig"), "listing_id", "last_seen_ms", "score")
     order = [F.desc("score"), *newest()]
-    offered = top_n(offered, ["psig"], order, keep, "_o").drop("_o")
-    rows = asked.select("probe_id", "psig").join(offered, "psig")
+    offered = stage(top_n(offered, ["psig"], order, keep, "_o"), "tag-offered")
+    # A probe that is asked once takes its signature's list in place, in order: its rows are neither sorted nor shuffled.
+    asked, best = asked.select("probe_id", "psig"), offered.groupBy("psig").agg(F.array_sort(F.collect_list(F.struct("_o", "listing_id", "score"))).alias("_best"))
+    repeated = asked.groupBy("probe_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("probe_id").alias("_again"))
+    again = F.col("probe_id").eqNullSafe(F.col("_again"))
+    others = F.filter("_best", lambda b: F.col("probe_id") != b["listing_id"]) if same_ids else F.col("_best")
+    once = asked.join(repeated, again, "left_anti").join(best, "psig").select("probe_id", F.posexplode(F.slice(others, 1, k)).alias("_at", "_b")).select(
+        "probe_id", "_b.listing_id", "_b.score", (F.col("_at") + 1).alias("rank"))
+    rows = asked.join(repeated, again, "left_semi").join(offered.drop("_o"), "psig")
     if same_ids:
         rows = rows.filter(F.col("probe_id") != F.col("listing_id"))
-    return top_n(rows, ["probe_id"], order, k).select("probe_id", "listing_id", "score", "rank")
+    return once.unionByName(top_n(rows, ["probe_id"], order, k).select("probe_id", "listing_id", "score", "rank"))
 
 
 def attribute_fallback(lonely: DataFrame, pool: DataFrame, k: int = SIMILAR) -> DataFrame:

@@ -60,3 +60,28 @@ def test_nothing_to_search(spark):
     probes = spark.createDataFrame([(1, {"x": 1.0})], "probe_id int, attribute_vector map<string,double>")
     pool = spark.createDataFrame([], "listing_id string, attribute_vector map<string,double>, last_seen_ms long, confidence double")
     assert similar.nearest_or_newest(probes, pool, 3).collect() == []
+
+
+@pytest.mark.parametrize("same_ids", [True, False])
+def test_probes_asked_more_than_once(spark, same_ids):
+    """Probes that are asked once take their list as it is; repeated and missing ids still share one ranking."""
+    pool = spark.createDataFrame([(f"p{i}", {"a": 1.0, "b": i / 10}, i) for i in range(6)], "listing_id string, attribute_vector map<string,double>, last_seen_ms long")
+    probes = spark.createDataFrame([("p1", {"a": 1.0}), ("x", {"a": 1.0}), ("p2", {"b": 1.0}), ("p2", {"a": 1.0}), (None, {"a": 1.0}), (None, {"a": 1.0}), ("none", {})],
+                                   "probe_id string, attribute_vector map<string,double>")
+    got = {}
+    for r in similar.tag_neighbours(probes, pool, 3, same_ids).collect():
+        got.setdefault(r.probe_id, []).append((r["rank"], r.listing_id))
+    got = {p: sorted(rows) for p, rows in got.items()}
+    near = ["p0", "p1", "p2", "p3"]
+    assert got["x"] == list(enumerate(near[:3], 1))
+    assert got["p1"] == list(enumerate([p for p in near if p != "p1" or not same_ids][:3], 1))
+    assert [r for r, _ in got["p2"]] == [1, 2, 3]
+    assert (None in got) != same_ids and (same_ids or [i for _, i in got[None]] == ["p0", "p0", "p1"])
+    assert "none" not in got
+
+
+def test_lists_of_probes_are_not_sorted_again(spark):
+    pool = spark.createDataFrame([("p1", {"a": 1.0}, 1)], "listing_id string, attribute_vector map<string,double>, last_seen_ms long")
+    probes = spark.range(5).select(F.col("id").alias("probe_id"), F.expr("map('a', 1.0D)").alias("attribute_vector"))
+    plan = similar.tag_neighbours(probes, pool, 3, same_ids=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan.lower()
