@@ -6,7 +6,7 @@ from garderobe.functions import markup as M
 from garderobe.functions.model_info import model_info
 from garderobe.functions.named import register
 from garderobe.plans import deck, feed, fit, ledger, seasons
-from garderobe.session import scratch_path, stage
+from garderobe.session import scratch_path, spread, stage
 from garderobe.sources import crawl, marketplace, storefront, structured_pages
 from garderobe.sources import events as EV
 from garderobe.sources import tables as T
@@ -115,7 +115,7 @@ def shop_pages(spark, d):
              f"<div itemprop=\"offers\" itemscope itemtype=\"http://schema.org/Offer\"><meta itemprop=\"price\" content=\"', p_retailprice, '\"><meta itemprop=\"priceCurrency\" content=\"USD\"><link itemprop=\"availability\" "
              f"href=\"http://schema.org/InStock\"></div></div>')")
     doubled = f"if({K} % 4 = 0, concat('{{\"note\":1,\"note\":2,', substring({plain}, 2)), {plain})"
-    return T.read(spark, d, "part").selectExpr(
+    return spread(T.read(spark, d, "part"), K).selectExpr(
         f"{K} as page_id", f"concat('shop', {K} % 5, '.example.com') as domain", f"concat('https://shop', {K} % 5, '.example.com/products/item-', {K}, '.html') as url",
         f"case {K} % 6 when 0 then concat({block.format(j=doubled)}, if({K} % 12 = 0, {micro}, '')) when 1 then {block.format(j=graph)} when 2 then {block.format(j=group)} "
         f"when 3 then {block.format(j=f'''replace({plain}, ' dress', concat(' ', chr(1), 'dress'))''')} when 4 then {micro} "
