@@ -9,6 +9,7 @@ from garderobe.functions.audience import child_reason
 from garderobe.functions.brands import resolved_brand
 from garderobe.operators.filters import active
 from garderobe.operators.ranking import top_n
+from garderobe.session import stage
 
 SAMPLES = 5
 
@@ -46,6 +47,7 @@ def flagged_children(listings: DataFrame) -> DataFrame:
 def kept_flags(flags: DataFrame, extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(flags that stand, flags cleared by an adult verdict)."""
     adult = extractions.filter(F.col("audience") == "adult").select("listing_id")
+    flags = stage(flags, "child-flags")  # read by both
     return flags.join(adult, "listing_id", "left_anti"), flags.join(adult, "listing_id", "left_semi")
 
 
