@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garderobe import values as V
-from garderobe.functions.text import collapse_spaces, quoted
+from garderobe.functions.text import collapse_spaces, lowered, needed, quoted
+from garderobe.session import spread
 
 # Fixed values.
 STOPWORDS = ["a", "an", "the", "and", "or", "for", "with", "without", "in", "on", "of", "to", "me", "my", "i", "im", "i'm", "it", "that", "this", "some", "something", "someone", "please", "want", "need",
@@ -93,9 +94,14 @@ def _price_signals(pattern: str, low: int | None, high: int | None) -> Column:
 
 def _take_table(df: DataFrame, table: list[tuple[str, str]], out: str) -> DataFrame:
     """Fold over a rule table: a rule that hits adds its value and blanks its words for the rules after it. The words that were
-    read come as ``out`` with ``_terms`` at its end."""
-    rules = ", ".join(f"named_struct('p', {quoted('(?i)' + p)}, 'v', {quoted(v)})" for p, v in table)
-    fold = (f"aggregate(array({rules}), named_struct('w', _w, 'hits', {EMPTY}, 'terms', {EMPTY}), (s, r) -> if(rlike(s.w, r.p), "
+    read come as ``out`` with ``_terms`` at its end.
+
+    Only rules whose words are in ``_low`` are asked; blanked words leave a space, so none of these words appears later.
+    """
+    words = [f"cast(array({', '.join(quoted(w) for w in needed(p))}) as array<string>)" for p, _ in table]
+    rules = ", ".join(f"named_struct('p', {quoted('(?i)' + p)}, 'v', {quoted(v)}, 'n', {w})" for (p, v), w in zip(table, words))
+    said = f"filter(array({rules}), r -> size(r.n) = 0 or exists(r.n, n -> contains(_low, n)))"
+    fold = (f"aggregate({said}, named_struct('w', _w, 'hits', {EMPTY}, 'terms', {EMPTY}), (s, r) -> if(rlike(s.w, r.p), "
             "named_struct('w', regexp_replace(s.w, r.p, ' '), 'hits', array_append(s.hits, r.v), "
             "'terms', array_append(s.terms, regexp_extract(s.w, r.p, 0))), s))")
     return df.withColumn("_f", F.expr(fold)).withColumns(
@@ -171,7 +177,7 @@ def interpret(queries: DataFrame, brands: DataFrame) -> DataFrame:
     ``lexical_terms`` are terms that the searcher took back: they are words only. ``signals`` lists what was read, in the order of the
     rules: (kind, term as written, value, hard).
     """
-    df = queries.repartition("query_id").withColumn("_w", F.coalesce("text", F.lit("")))
+    df = spread(queries, "query_id").withColumn("_w", F.coalesce("text", F.lit("")))
     if "lexical_terms" not in df.columns:
         df = df.withColumn("lexical_terms", F.expr(EMPTY))
     df = df.withColumn("_terms", F.expr(f"filter(transform(coalesce(lexical_terms, {EMPTY}), t -> lower(regexp_replace(trim(t), '\\\\s+', ' '))), t -> t <> '')"))
@@ -194,7 +200,7 @@ def interpret(queries: DataFrame, brands: DataFrame) -> DataFrame:
                        lambda s: s.withField("value", F.concat(F.lit("size "), s["value"])))
     df = _take(df.withColumns({"_sizes": worn, "sizes": F.array_distinct(F.filter(sizes, lambda s: s <= V.MAX_US_SIZE))}), SIZE)
     df = _take_brands(df, brands)
-    df = df.withColumn("semantic_text", collapse_spaces(F.col("_w")))
+    df = df.withColumns({"semantic_text": collapse_spaces(F.col("_w")), "_low": lowered(F.col("_w"))})
 
     df = _take(df.withColumns({"_gown": F.col("_w").rlike(GOWN), "_gown_term": F.regexp_extract("_w", GOWN, 0)}), GOWN)
     df = _take_table(df, V.LENGTH_WORDS, "_lengths")
