@@ -7,12 +7,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from garderobe.session import stage
+
 # Fixed values.
 DECK_SIZE = 12
 LIKE_TARGET = 5
 CARD_CAP = 30
 EXTENSION = 7
 EXCLUDE_DISLIKES = 2
+MOST_SENT = 200_000  # looks that are sent to every executor, some hundred bytes each
 
 
 def positive() -> Column:
@@ -40,18 +43,19 @@ def exclusions(swipes: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def turns(rows: DataFrame) -> DataFrame:
-    """Adds ``turn``: when a source's brand gets its next card, whichever card that will be.
+    """Adds ``turn``: when a source's brand gets its next card, whichever card that will be. Cards already seen have turns of their own.
 
     A brand gets a turn for each of its cards. In a source all brands have their first turn before any has its second, and so with
     sources: both in order of their best rank. Turns depend on numbers of cards only, so windows can lay them out beforehand.
     """
-    source, brand = ["user_id", "soft", "source_id"], ["user_id", "soft", "source_id", "spread"]
+    deck = ["user_id", "seen", "soft"]
+    source, brand = [*deck, "source_id"], [*deck, "source_id", "spread"]
     return rows.withColumns({
         "_round": F.row_number().over(Window.partitionBy(*brand).orderBy("rank")),
         "_brand_best": F.min("rank").over(Window.partitionBy(*brand)),
         "_source_best": F.min("rank").over(Window.partitionBy(*source)),
     }).withColumn("_in_source", F.row_number().over(Window.partitionBy(*source).orderBy("_round", "_brand_best"))).withColumn(
-        "turn", F.row_number().over(Window.partitionBy("user_id", "soft").orderBy("_in_source", "_source_best"))
+        "turn", F.row_number().over(Window.partitionBy(*deck).orderBy("_in_source", "_source_best"))
     ).drop("_round", "_brand_best", "_source_best", "_in_source")
 
 
@@ -77,13 +81,17 @@ def calibration_deck(ranked: DataFrame, catalog: DataFrame, excluded: DataFrame
 
     ``excluded`` holds the learned exclusions, kept out while other items last; ``shown`` (user_id, listing_id) the cards
     already seen, whose shapes count as explored.
+
+    Pairs that come by user stay where they are: all that is joined to them is sent (looks, up to ``MOST_SENT``) or joined by user, a user's
+    seen cards of ``catalog`` as one list. A ``catalog`` of the listings in the pools alone keeps both short.
     """
     look = catalog.select(
         "listing_id", F.coalesce("silhouette", F.lit("unknown")).alias("shape"), F.col("silhouette").alias("_s"),
         F.get(F.transform("colors", lambda c: c["family"]), F.lit(0)).alias("_c"),
         F.concat_ws("|", F.coalesce("length_class", F.lit("null")), F.coalesce("silhouette", F.lit("null")),
                     F.coalesce(F.get(F.transform("colors", lambda c: c["family"]), F.lit(0)), F.lit("undefined"))).alias("combo"))
-    rows = ranked.select("user_id", "listing_id", "rank", "source_id", "spread").join(look, "listing_id")
+    look = stage(look.filter(F.col("listing_id").isNotNull()), "looks")
+    rows = ranked.select("user_id", "listing_id", "rank", "source_id", "spread").join(F.broadcast(look) if look.limit(MOST_SENT + 1).count() <= MOST_SENT else look, "listing_id")
     if excluded is not None:
         per_user = excluded.groupBy("user_id").agg(
             F.collect_set(F.when(F.col("kind") == "silhouette", F.col("value"))).alias("_xs"),
@@ -94,8 +102,8 @@ def calibration_deck(ranked: DataFrame, catalog: DataFrame, excluded: DataFrame
         rows = rows.withColumn("soft", F.lit(False))
     rows = rows.withColumn("seen", F.lit(False))
     if shown is not None:
-        marks = shown.select("user_id", "listing_id", F.lit(True).alias("_m")).distinct()
-        rows = rows.join(marks, ["user_id", "listing_id"], "left").withColumn("seen", F.coalesce("_m", F.lit(False)))
+        marks = shown.join(look.select("listing_id").distinct(), "listing_id", "left_semi").groupBy("user_id").agg(F.collect_set("listing_id").alias("_shown"))
+        rows = rows.join(marks, "user_id", "left").withColumn("seen", F.coalesce(F.array_contains("_shown", F.col("listing_id")), F.lit(False)))
     user_type = ranked.schema["user_id"].dataType.simpleString()
 
     def sample(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,6 +117,5 @@ def calibration_deck(ranked: DataFrame, catalog: DataFrame, excluded: DataFrame
         cards = fresh[fill_turns(brands[fresh], shapes[fresh], combos[fresh], brands[order], seen_shapes, seen_combos)]
         return pd.DataFrame({"user_id": pdf["user_id"].iloc[cards], "card": range(len(cards)), "listing_id": pdf["listing_id"].iloc[cards]})
 
-    narrow = rows.select("user_id", "listing_id", "rank", "source_id", "spread", "shape", "combo", "soft", "seen")
-    narrow = turns(narrow.filter("not seen")).unionByName(narrow.filter("seen").withColumn("turn", F.lit(0)))
+    narrow = turns(rows.select("user_id", "listing_id", "rank", "source_id", "spread", "shape", "combo", "soft", "seen"))
     return narrow.groupBy("user_id").applyInPandas(sample, f"user_id {user_type}, card int, listing_id string")

@@ -196,3 +196,20 @@ def test_calibration_deck(spark, seed):
                 taken[s, b] = taken.get((s, b), 0) + 1
                 others = [c for c in {items[q][2] for q in pool_of if items[q][1] == s} if len([q for q in pool_of if items[q][1:] == (s, c)]) > taken.get((s, c), 0)]
                 assert all(taken.get((s, c), 0) >= taken[s, b] - 1 for c in others)  # no brand of the source waits while another has two turns
+
+
+def test_deck_leaves_pairs_in_place(spark):
+    """Pairs that come by user are not shuffled by listing, nor made twice."""
+    ranked = spark.createDataFrame([(u, f"p{i}", i, "x", "a") for u in range(4) for i in range(6)], "user_id long, listing_id string, rank int, source_id string, spread string").repartition(3, "user_id")
+    catalog = spark.createDataFrame([(f"p{i}", "wrap", [{"family": "red"}], "midi") for i in range(6)], "listing_id string, silhouette string, colors array<struct<family: string>>, length_class string")
+    excluded = spark.createDataFrame([(1, "color", "red")], "user_id long, kind string, value string")
+    shown = spark.createDataFrame([(1, "p0")], "user_id long, listing_id string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        deal = deck.calibration_deck(ranked, catalog, excluded, shown)
+        plan = deal._jdf.queryExecution().executedPlan().toString()
+        assert "Union" not in plan and "hashpartitioning(user_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(" in x and "user_id" in x.split("hashpartitioning(")[1].split("),")[0] and "listing_id" in x.split("hashpartitioning(")[1].split("),")[0]]
+        assert deal.filter("user_id = 1 and listing_id = 'p0'").count() == 0 and deal.count() == 23
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -299,9 +299,11 @@ def _(spark, d):
 def _(spark, d):
     users, catalog = T.users(spark, d), T.candidates(spark, d)
     live = feed.live_catalog(catalog, T.sources(spark, d), NOW)
-    ranked = feed.ranked(feed.scored_pairs(users, live, feed.pools(users, live), NOW))
+    pools = stage(feed.pools(users, live), "pools")
+    ranked = feed.ranked(feed.scored_pairs(users, live, pools, NOW))
     swipes = T.swipes(spark, d)
-    return deck.calibration_deck(ranked, catalog, deck.exclusions(swipes, catalog), swipes)
+    pooled = catalog.join(pools.select("listing_id").distinct(), "listing_id", "left_semi")
+    return deck.calibration_deck(ranked, pooled, deck.exclusions(swipes, catalog), swipes)
 
 
 # --- seasons, ledger -------------------------------------------------------------------------------------------
