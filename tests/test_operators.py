@@ -198,6 +198,27 @@ def test_calibration_deck(spark, seed):
                 assert all(taken.get((s, c), 0) >= taken[s, b] - 1 for c in others)  # no brand of the source waits while another has two turns
 
 
+def test_a_vector_is_sent_once_to_a_lot(spark, monkeypatch):
+    """Vectors are multiplied by lots and chunks, not by blocks, and a query id on two rows has both ranked together."""
+    rng = np.random.default_rng(4)
+    rows = [(f"v{i}", [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    catalog = spark.createDataFrame(rows, "id string, vector array<double>")
+    queries = spark.createDataFrame([*rows[:40], rows[0], (None, rows[1][1])], "qid string, vector array<double>")
+    sent, search = [], neighbours._search
+
+    def counted(asked, held, *rest):
+        sent.append((asked.count(), held.count(), held.select("cell", "sub").distinct().count()))
+        return search(asked, held, *rest)
+
+    monkeypatch.setattr(neighbours, "_search", counted)
+    got = neighbours.dense_top_k(queries, catalog, 3, block_rows=16).collect()
+    near, all_ = sent
+    assert near[:2] == (41, 300) or near[0] == 41 and near[1] < 300
+    blocks, lots, chunks = all_[2], -(-300 // 64), -(-41 // 16)
+    assert blocks > 2 * lots and all_[0] <= 41 * lots and all_[1] == 300 * chunks
+    assert len(got) == 40 * 3 and [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.qid == "v0"][:2] == ["v0", "v0"]
+
+
 def test_deck_leaves_pairs_in_place(spark):
     """Pairs that come by user are not shuffled by listing, nor made twice."""
     ranked = spark.createDataFrame([(u, f"p{i}", i, "x", "a") for u in range(4) for i in range(6)], "user_id long, listing_id string, rank int, source_id string, spread string").repartition(3, "user_id")
