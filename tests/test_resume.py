@@ -93,3 +93,19 @@ def test_a_user_with_very_many_swipes(spark, tmp_path):
                 want[user] = ("target" if likes >= jobs.LIKE_TARGET else "cap", at, likes, n)
                 break
     assert got == want and "hot" in got
+
+
+def test_a_version_holds_changed_rows_only(spark, tmp_path):
+    """A batch writes the rows of its keys, not the buckets they are in, until so many changed that a bucket is written whole."""
+    table = StateTable(spark, str(tmp_path / "state"), ["k"], "k string, n long", buckets=2)
+    rows = lambda pairs: spark.createDataFrame(list(pairs), "k string, n long")
+    want = {f"k{i}": i for i in range(12)} | {None: 7}
+    table.write(rows(want.items()), -1, {})
+    written = []
+    for v in range(12):
+        table.advance(rows([(f"k{v}", 100), (None, 1)] if v == 3 else [(f"k{v}", 100)]), v, added)
+        want |= {f"k{v}": v + 100} | ({None: 8} if v == 3 else {})
+        written.append(spark.read.parquet(f"{table.folder}/data/v={v}").count())
+        if v in (0, 3, 11):
+            assert {r.k: r.n for r in table.current().collect()} == want
+    assert written[:4] == [1, 1, 1, 2] and sum(written) < 4 * 13 and max(written) > 2
