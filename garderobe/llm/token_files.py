@@ -12,7 +12,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -208,6 +208,16 @@ class Reader:
 EASY = re.compile("[ \t\n\r\x0b\f\x21-\x7eÀ-įı-ž]*")
 CHUNKS = re.compile("[^ \t\n\r\x0b\f]+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+MARKS = frozenset(".,;:!?")
+
+
+def words(chunk: str) -> Sequence[str]:
+    """What ``WORDS`` finds in a chunk without white space; letters alone, or before one of the commonest marks, need no search."""
+    if chunk.isalpha():
+        return (chunk,)
+    if chunk[-1] in MARKS and chunk[:-1].isalpha():
+        return chunk[:-1], chunk[-1]
+    return WORDS.findall(chunk)
 
 
 class WordPairs:
@@ -219,7 +229,7 @@ class WordPairs:
         self.library.no_truncation()
         self.model = self.library.model
         self.letter = {b: c for c, b in byte_letters().items()}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.pieces = Pieces(self._chunk)
 
     def _chunk(self, chunk: str | tuple[str]) -> list[int]:
@@ -228,10 +238,11 @@ class WordPairs:
         out: list[int] = []
         if len(self.known) > 100_000:
             self.known.clear()
-        for word in WORDS.findall(chunk):
+        for word in words(chunk):
             ids = self.known.get(word)
-            if ids is None:
-                ids = self.known[word] = [t.id for t in self.model.tokenize("".join(map(self.letter.__getitem__, word.encode())))]
+            if ids is None:  # printable ASCII stands for itself in byte letters
+                letters = word if word.isascii() else "".join(map(self.letter.__getitem__, word.encode()))
+                ids = self.known[word] = tuple([t.id for t in self.model.tokenize(letters)])
             out += ids
         return out
 

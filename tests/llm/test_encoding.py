@@ -146,3 +146,8 @@ def test_attribution_query_gives_every_line(spark):
         ids = tokens.encode([texts[r.doc_id] or ""])[0]
         assert r.tokens_by_section == attribution.allocate(np.cumsum(tokens.width[ids]), attribution.lines(texts[r.doc_id] or ""))[0].tolist()
         assert sum(r.tokens_by_section) == r.section_tokens and len(r.tokens_by_section) == r.n_sections
+
+
+def test_words_of_a_chunk_as_the_pattern_finds_them():
+    odd = ["word", "Žluť", "word.", "été,", "it's", "'s", "s'", ".", "..", "a..", "a1", "1.", "x²", "don't!", "a:b", "naïve?!", "×", "×."]
+    assert [list(token_files.words(c)) for c in odd] == [token_files.WORDS.findall(c) for c in odd]
