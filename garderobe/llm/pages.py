@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,8 @@ DEPTH = 64  # levels below the body that the tree keeps apart; what lies deeper
 LEAST_IMPORTANCE = 0.4
 EVIDENCE = 4  # pages whose weight the assumption has that a host's text is important, so that few pages decide little
 OUTSIDE_EVIDENCE, OUTSIDE_PRIOR = 20, 0.05  # the same for text outside the article of pages that mark one: assumed to be none until many pages tell otherwise
-WORDS = 2  # words of least hash that stand for a block beside the block as a whole
 MOST_SENT = 20_000  # leaves, two numbers each
+MOST_HELD = 2_000_000  # features that a task holds while it counts equal ones
 DISCOUNT = 0.9  # weight of a branch's content falls with its number of styles
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,13 +44,15 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\
 RAW_ENDS = {tag: re.compile(rf"</{tag}(?:[\s/>]|\Z)", re.I) for tag in RAW}
 NAME_PARTS = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
-READ = """row_id long, page_id long, url string, host string, blocks array<struct<leaf: long, text: string>>, styles array<struct<key: long, style: long, first: boolean>>,
- leaves array<struct<leaf: long, branch: long, path: array<long>, outside: boolean, features: array<long>>>"""
+READ = """row_id long, page_id long, url string, host string, page long, blocks array<struct<leaf: long, text: string>>, styles array<struct<key: long, style: long, first: boolean>>,
+ leaves array<struct<leaf: long, branch: long, path: array<long>, outside: boolean, at: array<int>>>"""
 ARROW = {
+    "page": pa.int64(),
     "blocks": pa.list_(pa.struct([("leaf", pa.int64()), ("text", pa.string())])),
     "styles": pa.list_(pa.struct([("key", pa.int64()), ("style", pa.int64()), ("first", pa.bool_())])),
-    "leaves": pa.list_(pa.struct([("leaf", pa.int64()), ("branch", pa.int64()), ("path", pa.list_(pa.int64())), ("outside", pa.bool_()), ("features", pa.list_(pa.int64()))])),
+    "leaves": pa.list_(pa.struct([("leaf", pa.int64()), ("branch", pa.int64()), ("path", pa.list_(pa.int64())), ("outside", pa.bool_()), ("at", pa.list_(pa.int32()))])),
 }
+COUNTED = "host string, leaf long, lot long, feature array<long>, weight array<int>, n array<int>"
 
 
 def hashed(*parts) -> int:
@@ -86,8 +89,8 @@ def doubtful(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 class Page:
     """What one pass over a page, in time that grows with its length, takes from it.
 
-    ``blocks``: the leaf of the tree and the text of each block. ``styles``: the styles of each element, outermost name first. ``leaves``:
-    for each place of text its branch, the elements above it, whether it is outside the article, and what its blocks say.
+    ``blocks``: the leaf of the tree and the text of each block. ``styles``: the styles of each element, outermost name first. ``places``:
+    for each leaf its branch, the elements above it, whether it is outside the article, and its different texts with the first block of each.
 
     An element of the tree is a tag with its class under such elements; equal elements of a page are one, and so are elements that lie
     directly in one of their own name. A style is the row of children, where of equal neighbours the number is kept up to powers of two.
@@ -246,14 +249,21 @@ class Page:
         kept = [(path, text, inside) for path, text, doubt, inside in self.found if doubt < 0 or cleared[doubt]]
         marked = sum(len(text) if inside else -len(text) for _, text, inside in kept) >= 0 and any(inside for _, _, inside in kept)
         self.blocks: list[tuple[int, str]] = []
-        self.leaves: dict[int, tuple[int, tuple[int, ...], bool, set[int]]] = {}
-        for path, text, inside in kept:
+        self.places: dict[int, tuple[int, tuple[int, ...], bool, dict[str, int]]] = {}
+        for at, (path, text, inside) in enumerate(kept):
             outside = marked and not inside
             leaf = hashed(path[-1], "#text", outside)
             self.blocks.append((leaf, text))
-            features = self.leaves.setdefault(leaf, (path[-2] if len(path) > 2 else path[-1], path, outside, set()))[3]
-            features.add(hashed(text))
-            features.update(sorted({hashed("#word", w) for w in text.lower().split(" ")})[:WORDS])
+            self.places.setdefault(leaf, (path[-2] if len(path) > 2 else path[-1], path, outside, {}))[3].setdefault(text, at)
+
+    @property
+    def leaves(self) -> dict[int, tuple[int, tuple[int, ...], bool, set[tuple[str, int]]]]:
+        """The places with what their texts say, feature by feature; ``features`` counts the same, a block once with its weight."""
+        return {leaf: (*place, {(word, -1) for t in texts for word in words(t)} | {(t, k) for t in texts for k in range((len(words(t)) + 1) // 2)}) for leaf, (*place, texts) in self.places.items()}
+
+
+def words(text: str) -> set[str]:
+    return set(text.lower().split(" "))
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -261,7 +271,7 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """One row a page with the ``blocks``, ``styles`` and ``leaves`` of ``Page``; ``first`` marks one style of each element."""
+    """One row a page with the ``blocks``, ``styles`` and ``places`` of ``Page``; ``first`` marks one style of each element, ``page`` stands for the blocks."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,9 +279,10 @@ def read_pages(pages: DataFrame) -> DataFrame:
             for source in batch.column("html").to_pylist():
                 page = Page(source or "")
                 met: set[int] = set()
+                out["page"].append(hashed(*(part for block in page.blocks for part in block)))
                 out["blocks"].append([{"leaf": leaf, "text": text} for leaf, text in page.blocks])
                 out["styles"].append([{"key": key, "style": style, "first": not (key in met or met.add(key))} for key, style in page.styles])
-                out["leaves"].append([{"leaf": leaf, "branch": branch, "path": path, "outside": outside, "features": list(features)} for leaf, (branch, path, outside, features) in page.leaves.items()])
+                out["leaves"].append([{"leaf": leaf, "branch": branch, "path": path, "outside": outside, "at": list(texts.values())} for leaf, (branch, path, outside, texts) in page.places.items()])
             kept = ("row_id", "page_id", "url", "host")
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(out[c], t) for c, t in ARROW.items())], [*kept, *ARROW])
 
@@ -281,17 +292,67 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
 
 def distinct_pages(read: DataFrame) -> DataFrame:
-    """(host, styles, leaves), one row for those pages of a host that have the same blocks: copies under several addresses are no boilerplate."""
-    marked = read.select("row_id", "host", F.xxhash64("blocks").alias("page"))
-    one = marked.groupBy("host", "page").agg(F.min("row_id").alias("row_id"))
-    return read.select("row_id", "host", "styles", "leaves").join(one.select("row_id"), "row_id", "left_semi")
+    """(host, styles, leaves, blocks), one row for those pages of a host that have the same blocks: copies under several addresses are no boilerplate."""
+    marked = read.select("row_id", "host", "page")
+    several = marked.groupBy("host", "page").agg(F.min("row_id").alias("kept"), F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
+    copies = stage(marked.join(several, ["host", "page"]).filter(F.col("row_id") > F.col("kept")).select("row_id"), "copies")
+    return read.select("row_id", "host", "styles", "leaves", "blocks").join(copies, "row_id", "left_anti")
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal features of a leaf become one with their number, in ``COUNTED`` rows: each has those of a leaf whose hashes begin alike."""
+    places: dict[tuple[str, int], int] = {}
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def rows() -> pa.RecordBatch:
+        place, feature, weight = (np.concatenate(part) for part in zip(*held, strict=True))
+        order = np.lexsort((feature, place))
+        place, feature, weight = place[order], feature[order], weight[order]
+        first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (feature[1:] != feature[:-1])])
+        n = np.diff(first, append=len(place)).astype(np.int32)
+        place, feature, weight = place[first], feature[first], weight[first]
+        lot = feature >> 58
+        cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (lot[1:] != lot[:-1])])
+        ends = pa.array(np.append(cut, len(place)), pa.int32())
+        hosts, leaves = zip(*places, strict=True)
+        at = pa.array(place[cut])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()).take(at), pa.array(leaves, pa.int64()).take(at), pa.array(lot[cut]), *(pa.ListArray.from_arrays(ends, pa.array(part)) for part in (feature, weight, n))],
+            ["host", "leaf", "lot", "feature", "weight", "n"],
+        )
+
+    for batch in batches:
+        host, leaf, feature, weight = (batch.column(c) for c in ("host", "leaf", "feature", "weight"))
+        own = np.array([places.setdefault(key, len(places)) for key in zip(host.to_pylist(), leaf.to_pylist(), strict=True)], np.int64)
+        held.append((np.repeat(own, np.diff(feature.offsets.to_numpy())), feature.flatten().to_numpy(), weight.flatten().to_numpy()))
+        if sum(len(part) for part, _, _ in held) >= MOST_HELD:
+            yield rows()
+            places.clear()
+            held.clear()
+    if any(len(part) for part, _, _ in held):
+        yield rows()
+
+
+def features(pages: DataFrame) -> DataFrame:
+    """(host, leaf, feature, weight, n): what n of the pages say in a leaf, each block as a whole and every word of its blocks.
+
+    A word weighs 1, a block half as much as its different words, rounded up; a page's leaf says a text or a word once, in however many blocks.
+    """
+    hashes = lambda text: F.array_distinct(F.transform(F.split(F.lower(text), " "), lambda word: F.xxhash64(word)))
+    part = lambda text: F.struct(F.xxhash64(F.lit("#block"), text).alias("block"), hashes(text).alias("words"))
+    parts = F.transform("leaves", lambda leaf: F.struct(leaf["leaf"].alias("leaf"), F.transform(leaf["at"], lambda at: part(F.get("blocks", at)["text"])).alias("parts")))
+    said = pages.select("host", F.explode(parts).alias("l")).select("host", "l.leaf", F.col("l.parts.block").alias("blocks"), F.array_distinct(F.flatten("l.parts.words")).alias("words"), F.transform("l.parts.words", F.size).alias("sizes"))
+    weights = F.concat(F.transform("sizes", lambda k: F.floor((k + 1) / 2).cast("int")), F.transform("words", lambda _: F.lit(1)))
+    alike = said.select("host", "leaf", F.concat("blocks", "words").alias("feature"), weights.alias("weight")).mapInArrow(counted, COUNTED).repartition("host", "leaf", "lot")
+    each = alike.select("host", "leaf", "lot", F.inline(F.arrays_zip("feature", "weight", "n")))
+    return each.groupBy("host", "leaf", "lot", "feature").agg(F.first("weight").alias("weight"), F.sum("n").alias("n")).drop("lot")
 
 
 def importance(read: DataFrame) -> DataFrame:
     """(host, leaf, m, content, branch_importance, importance) of every leaf of the hosts' trees.
 
-    Content of a leaf: what its blocks say (each block as a whole and its ``WORDS`` words of least hash), each 1 - log n / log m where n of
-    the m distinct pages with the leaf say it: 1 if no other page does, 0 if all do; their mean. Presentation of an element: the entropy of
+    Content of a leaf: what its blocks say (see ``features``), each 1 - log n / log m where n of the m distinct pages with the leaf say it:
+    1 if no other page does, 0 if all do; their mean by weight and pages. Presentation of an element: the entropy of
     its styles, to the base of its pages. A branch is as important as its presentation and the mean content of all leaves in it, by their
     pages, the latter weighing ``DISCOUNT`` to the number of the branch's styles. A leaf's branch is the element around its own, or its own
     directly below the body. The mean of content and branch is drawn to 1 by the weight of ``EVIDENCE`` pages, outside a marked article to
@@ -306,9 +367,9 @@ def importance(read: DataFrame) -> DataFrame:
     shown = shown.select("host", "key", "n_styles", entropy.alias("presentation"))
     said = pages.select("host", F.explode("leaves").alias("l"))
     leaves = said.groupBy("host", "l.leaf").agg(F.count(F.lit(1)).alias("m"), F.first("l.branch").alias("branch"), F.first("l.path").alias("path"), F.first("l.outside").alias("outside"))
-    features = said.select("host", "l.leaf", F.explode("l.features").alias("feature")).groupBy("host", "leaf", "feature").agg(F.count(F.lit(1)).alias("n"))
-    read_alike = features.groupBy("host", "leaf").agg(F.sum("n").alias("n"), F.sum(n * F.log(n)).alias("logs"))
-    content = F.when(m > 1, 1 - F.col("logs") / n / base).otherwise(1.0)
+    told = n * F.col("weight")
+    read_alike = features(pages).groupBy("host", "leaf").agg(F.sum(told).alias("told"), F.sum(told * F.log(n)).alias("logs"))
+    content = F.when(m > 1, 1 - F.col("logs") / F.col("told") / base).otherwise(1.0)
     leaves = stage(leaves.join(read_alike, ["host", "leaf"]).select("host", "leaf", "m", "branch", "path", "outside", content.alias("content")), "leaves")
     below = leaves.select("host", "m", "content", F.explode("path").alias("key")).groupBy("host", "key").agg((F.sum(m * F.col("content")) / F.sum("m")).alias("inner"))
     keep = F.pow(F.lit(DISCOUNT), F.col("n_styles"))
@@ -343,7 +404,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null or empty page has no text; a null or odd url counts to one nameless host; repeated rows give a row each; a null ``page_id``
     stays null; other columns are left out; an empty table gives an empty result.
     """
-    read = stage(read_pages(pages), "pages")
+    read = stage(read_pages(pages), "pages", compression="zstd")
     low = stage(importance(read).filter(F.col("importance") < LEAST_IMPORTANCE).select("host", F.col("leaf").alias("low_leaf")), "low-leaves")
     joined = read.select("row_id", "page_id", "url", "host", "blocks").join(*removed_leaves(read, low), "left")
     kept = F.filter("blocks", lambda b: F.coalesce(~F.array_contains(F.col("removed"), b["leaf"]), F.lit(True)))

@@ -172,3 +172,33 @@ def test_copies_are_no_boilerplate(spark):
     assert all(t.endswith(f"Text of story {k % 2}") for k, t in told([0, 1] * 5).items())
     mixed = [0] * 40 + list(range(1, 11))
     assert told(mixed) == {k: f"Story {i}\n\nText of story {i}" for k, i in enumerate(mixed)}
+
+
+@pytest.mark.parametrize("words", ["we use things on this site", "ab cd ef gh ij kl mn op qr st uv", "one"])
+def test_every_word_counts(spark, words):
+    """Of a block's words all are compared, not some: those on all pages and those of one, by their number; twice in a leaf of a page is once."""
+    sources = [f"<div class=q><p>{words} own{i}</p><p>{words.title()}</p></div>" for i in range(20)]
+    frame = spark.createDataFrame([(i, f"http://h/{i}", source, 1, 2) for i, source in enumerate(sources)], SCHEMA)
+    (got,) = pages.importance(pages.stage(pages.read_pages(frame), "test")).collect()
+    same = len(words.split())
+    whole, alike = (same + 2) // 2, (same + 1) // 2  # weights of the blocks
+    assert got.m == 20 and abs(got.content - (whole + 1) / (whole + alike + same + 1)) < 1e-9
+    found = {(r.weight, r.n): r.found for r in pages.features(pages.distinct_pages(pages.stage(pages.read_pages(frame), "test"))).groupBy("weight", "n").agg(pages.F.count("*").alias("found")).collect()}
+    assert sum(found.values()) == same + 1 + 20 + 20 and sum(w * n * k for (w, n), k in found.items()) == 20 * (whole + alike + same + 1)
+
+
+@pytest.mark.parametrize("held", [1, 5, 1000])
+def test_equal_features_become_one(monkeypatch, held):
+    monkeypatch.setattr(pages, "MOST_HELD", held)
+    r = random.Random(held)
+    rows = [(r.choice(["a", "b", ""]), r.randint(-1, 1), [(r.choice([-(2**63), -1, 0, 7, 2**62, 2**63 - 1])) for _ in range(r.randint(1, 4))]) for _ in range(40)]
+    frames = [{"host": [h for h, _, _ in part], "leaf": [leaf for _, leaf, _ in part], "feature": [f for *_, f in part], "weight": [[1 + x % 3 for x in f] for *_, f in part]} for part in (rows[:15], [], rows[15:])]
+    schema = pages.pa.schema([("host", pages.pa.string()), ("leaf", pages.pa.int64()), ("feature", pages.pa.list_(pages.pa.int64())), ("weight", pages.pa.list_(pages.pa.int32()))])
+    got, lots = collections.Counter(), collections.defaultdict(set)
+    for batch in pages.counted(pages.pa.RecordBatch.from_pydict(f, schema) for f in frames):
+        for row in batch.to_pylist():
+            for feature, weight, n in zip(row["feature"], row["weight"], row["n"], strict=True):
+                assert weight == 1 + feature % 3
+                got[row["host"], row["leaf"], feature] += n
+                lots[feature].add(row["lot"])
+    assert got == collections.Counter((h, leaf, x) for h, leaf, f in rows for x in f) and all(len(lot) == 1 for lot in lots.values())
