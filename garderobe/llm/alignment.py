@@ -166,7 +166,7 @@ class AlignedPieces(Pieces):
             rows = list(map(self.__getitem__, own))
             groups = [self.texts[r] for r in rows]
             if not rows or None in groups:
-                links.append(table[:0])
+                links.append(np.zeros(0, np.int64))  # not a part of ``table``: what the caller keeps would hold it, and the next text could not be added
                 said.append(None)
                 continue
             at = np.array(rows)

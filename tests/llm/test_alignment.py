@@ -106,3 +106,11 @@ def test_memory_is_bounded(monkeypatch):
     pieces = alignment.AlignedPieces(alignment.TwoTokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
     whole = [pieces.align([t])[2] for t in ("one two three four", "five six seven", "one two three four")]
     assert whole[0] == whole[2] and len(pieces) <= 7
+
+
+def test_texts_without_tokens_between_others():
+    pieces = alignment.AlignedPieces(alignment.TwoTokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+    for text in ("", "a▁b"):  # a caller holds what it got while it asks for more
+        n, links, said = pieces.align([f"one {text}x", text, "two three"])
+        more = pieces.align([f"four five {text or 'six'} seven", "eight"])
+        assert said[1] is None and not len(links[1]) and not n[1].any() and said[2] and more[2][1]
