@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from garderobe.session import stage
@@ -42,37 +42,85 @@ def exclusions(swipes: DataFrame, catalog: DataFrame) -> DataFrame:
     return tally.filter((F.col("downs") >= EXCLUDE_DISLIKES) & (F.col("ups") == 0)).select("user_id", "kind", "value")
 
 
-def turns(rows: DataFrame) -> DataFrame:
-    """Adds ``turn``: when a source's brand gets its next card, whichever card that will be. Cards already seen have turns of their own.
+def _places(group: np.ndarray, *order: np.ndarray) -> np.ndarray:
+    """Place of every row in its group, from 0: by ``order``, the first one last to decide, then as the rows stand."""
+    by = np.lexsort((*order, group))
+    starts = np.flatnonzero(np.diff(group[by], prepend=-1))
+    out = np.empty(len(by), np.int64)
+    out[by] = np.arange(len(by)) - np.repeat(starts, np.diff(starts, append=len(by)))
+    return out
 
-    A brand gets a turn for each of its cards. In a source all brands have their first turn before any has its second, and so with
-    sources: both in order of their best rank. Turns depend on numbers of cards only, so windows can lay them out beforehand.
+
+def turns(deck: np.ndarray, source: np.ndarray, brand: np.ndarray) -> np.ndarray:
+    """When a source's brand gets its next card, whichever card that will be, from 0 in each deck; cards stand by rank.
+
+    ``deck``, ``source`` and ``brand`` are numbers from 0; one of a source names its deck too, one of a brand its source. A brand gets a turn
+    for each of its cards. In a source all brands have their first turn before any has its second, and so with sources: both in order
+    of their best rank. Turns depend on numbers of cards only, so they can be laid out beforehand for all decks of a batch.
     """
-    deck = ["user_id", "seen", "soft"]
-    source, brand = [*deck, "source_id"], [*deck, "source_id", "spread"]
-    return rows.withColumns({
-        "_round": F.row_number().over(Window.partitionBy(*brand).orderBy("rank")),
-        "_brand_best": F.min("rank").over(Window.partitionBy(*brand)),
-        "_source_best": F.min("rank").over(Window.partitionBy(*source)),
-    }).withColumn("_in_source", F.row_number().over(Window.partitionBy(*source).orderBy("_round", "_brand_best"))).withColumn(
-        "turn", F.row_number().over(Window.partitionBy(*deck).orderBy("_in_source", "_source_best"))
-    ).drop("_round", "_brand_best", "_source_best", "_in_source")
+    at = np.arange(len(deck))
+
+    def best(group: np.ndarray) -> np.ndarray:
+        first = np.full(group.max(initial=-1) + 1, len(group))
+        np.minimum.at(first, group, at)
+        return first[group]
+
+    in_source = _places(source, best(brand), _places(brand))
+    return _places(deck, best(source), in_source)
 
 
-def fill_turns(brands: np.ndarray, shapes: np.ndarray, combos: np.ndarray, order: np.ndarray, seen_shapes: np.ndarray, seen_combos: np.ndarray) -> list[int]:
-    """The card for each brand in ``order``: of those left, by rank, the first of an unseen shape, else of an unseen combination, else the first.
+def fill_turns(own: list[list[int]], shapes: list[int], combos: list[int], seen_shapes: set[int], seen_combos: set[int]) -> list[int]:
+    """The card for each turn: of those left of its brand (``own``, by rank), the first of an unseen shape, else of an unseen combination, else the first.
 
-    Cards stand by rank; brands, shapes and combinations are numbers from 0; ``seen_*`` say which are seen already.
+    Shapes and combinations are numbers; the sets say which are seen already, and those of the cards are added.
     """
-    left, chosen = np.ones(len(brands), bool), []
-    new_shape, new_combo = ~seen_shapes, ~seen_combos
-    for brand in order:
-        of_brand = np.flatnonzero(left & (brands == brand))
-        worth = 2 * new_shape[shapes[of_brand]] + (new_combo[combos[of_brand]] & ~new_shape[shapes[of_brand]])
-        card = of_brand[int(worth.argmax())]
-        left[card] = new_shape[shapes[card]] = new_combo[combos[card]] = False
-        chosen.append(int(card))
-    return chosen
+    chosen: dict[int, None] = {}
+    for cards in own:
+        left = [card for card in cards if card not in chosen]
+        card = next((c for c in left if shapes[c] not in seen_shapes), None)
+        if card is None:
+            card = next((c for c in left if combos[c] not in seen_combos), left[0])
+        chosen[card] = None
+        seen_shapes.add(shapes[card])
+        seen_combos.add(combos[card])
+    return list(chosen)
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    """Values as numbers from 0; null is a value."""
+    return values.dictionary_encode("encode").indices.to_numpy().astype(np.int64)
+
+
+def deal(cards: pa.ListArray, n: int) -> pa.Array:
+    """For each user the indices of the cards dealt, in order. Users' cards are structs (rank, source_id, spread, shape, combo, soft, seen)."""
+    ends = cards.offsets.to_numpy().astype(np.int64)
+    fields = dict(zip((f.name for f in cards.type.value_type), cards.values.slice(ends[0], ends[-1] - ends[0]).flatten(), strict=True))
+    ends -= ends[0]
+    user = np.repeat(np.arange(len(cards)), np.diff(ends))
+    by = np.lexsort((fields["rank"].to_numpy(), user))
+    soft, seen = (fields[c].to_numpy(zero_copy_only=False)[by] for c in ("soft", "seen"))
+    shape, combo, source, spread = (_codes(fields[c])[by] for c in ("shape", "combo", "source_id", "spread"))
+    deck = user * 4 + seen * 2 + soft
+    source = np.unique(deck * (source.max(initial=0) + 1) + source, return_inverse=True)[1]
+    brand = np.unique(source * (spread.max(initial=0) + 1) + spread, return_inverse=True)[1]
+    turn = turns(deck, source, brand)
+    strict = np.bincount(user[~seen & ~soft], minlength=len(cards))
+    place = turn + np.where(soft, strict[user], 0)
+    dealt = np.flatnonzero(~seen & (place < n))
+    dealt = dealt[np.lexsort((place[dealt], user[dealt]))]
+    by_brand = np.argsort(brand, kind="stable")
+    upto = np.concatenate(([0], np.cumsum(np.bincount(brand)))).astype(np.int64)
+    known: dict[int, list[int]] = {}
+    for card in np.flatnonzero(seen).tolist():
+        known.setdefault(int(user[card]), []).append(card)
+    out, stop = [], np.searchsorted(user[dealt], np.arange(len(cards)), "right").tolist()
+    own = [by_brand[a:b].tolist() for a, b in zip(upto[brand[dealt]], upto[brand[dealt] + 1], strict=True)]
+    shapes, combos, at, done = shape.tolist(), combo.tolist(), by - ends[user[by]], 0
+    for u, until in enumerate(stop):
+        shown = known.get(u, ())
+        out.append(at[fill_turns(own[done:until], shapes, combos, {shapes[c] for c in shown}, {combos[c] for c in shown})].astype(np.int32) if until > done else np.zeros(0, np.int32))
+        done = until
+    return pa.array(out, pa.list_(pa.int32()))
 
 
 def calibration_deck(ranked: DataFrame, catalog: DataFrame, excluded: DataFrame | None = None, shown: DataFrame | None = None,
@@ -104,18 +152,7 @@ def calibration_deck(ranked: DataFrame, catalog: DataFrame, excluded: DataFrame
     if shown is not None:
         marks = shown.join(look.select("listing_id").distinct(), "listing_id", "left_semi").groupBy("user_id").agg(F.collect_set("listing_id").alias("_shown"))
         rows = rows.join(marks, "user_id", "left").withColumn("seen", F.coalesce(F.array_contains("_shown", F.col("listing_id")), F.lit(False)))
-    user_type = ranked.schema["user_id"].dataType.simpleString()
-
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", ignore_index=True)
-        shapes, combos = (pd.factorize(pdf[c])[0] for c in ("shape", "combo"))
-        brands = pd.factorize(pd.MultiIndex.from_frame(pdf[["soft", "source_id", "spread"]]))[0]
-        fresh = np.flatnonzero(~pdf["seen"].to_numpy())
-        seen_shapes, seen_combos = np.zeros(len(pdf), bool), np.zeros(len(pdf), bool)
-        seen_shapes[shapes[pdf["seen"]]] = seen_combos[combos[pdf["seen"]]] = True
-        order = fresh[np.lexsort((pdf["turn"].to_numpy()[fresh], pdf["soft"].to_numpy()[fresh]))][:n]
-        cards = fresh[fill_turns(brands[fresh], shapes[fresh], combos[fresh], brands[order], seen_shapes, seen_combos)]
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[cards], "card": range(len(cards)), "listing_id": pdf["listing_id"].iloc[cards]})
-
-    narrow = turns(rows.select("user_id", "listing_id", "rank", "source_id", "spread", "shape", "combo", "soft", "seen"))
-    return narrow.groupBy("user_id").applyInPandas(sample, f"user_id {user_type}, card int, listing_id string")
+    dealt = F.arrow_udf(lambda cards: deal(cards, n), "array<int>")
+    cards = F.collect_list(F.struct("rank", "source_id", "spread", "shape", "combo", "soft", "seen"))
+    users = rows.groupBy("user_id").agg(cards.alias("_cards"), F.collect_list(F.struct("listing_id")).alias("_ids")).withColumn("_dealt", dealt("_cards"))
+    return users.select("user_id", F.posexplode(F.transform("_dealt", lambda i: F.get("_ids", i)["listing_id"])).alias("card", "listing_id"))
