@@ -156,7 +156,9 @@ def _(spark, d):
     catalog = T.candidates(spark, d)
     live = feed.live_catalog(catalog, T.sources(spark, d), NOW)
     plans = stage(search.plan_queries(q, catalog), "search-plans")
-    found = search.relevance(plans, search.query_pools(plans, live), live, text_vectors(spark, d), T.embeddings(spark, d))
+    queries, listings = text_vectors(spark, d), T.embeddings(spark, d)
+    sides = search.query_side(plans, queries), search.listing_side(plans, live, listings)
+    found = search.relevance(plans, search.query_pools(plans, live, asked=sides[0], shown=sides[1]), live, queries, listings)
     return found.select("query_id", "listing_id", F.round("relevance", 6).alias("relevance"))
 
 
