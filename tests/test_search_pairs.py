@@ -62,3 +62,24 @@ def test_a_wanted_tag_twice_counts_twice(tables):
     rows = {(r.query_id, r.listing_id): r.relevance for r in search.relevance(plans, search.query_pools(plans, live), live).collect()}
     # query 8: tags color:red twice and shape:wrap, no words; p2 carries red only, p5 both
     assert rows[8, "p2"] == pytest.approx(2 / 3) and rows[8, "p5"] == pytest.approx(1.0) and (8, "p0") not in rows
+
+
+def test_a_batch_of_searches_makes_its_pairs_once(spark, sf, monkeypatch):
+    """Nothing of the size of the pairs is staged, and equal ids, whose rows multiply, take the way of joins with the same rows."""
+    from garderobe.sources import tables as T
+    from workload import search as named
+
+    queries, users = named.asked(spark, sf)
+    queries = queries.filter("query_id % 7 = 0")
+    staged, stage = [], search.stage
+    monkeypatch.setattr(search, "stage", lambda df, label: staged.append(label) or stage(df, label))
+    vectors, of_queries = stage(T.embeddings(spark, sf), "v"), named.text_vectors(spark, sf)
+
+    def rows():
+        found = search.batch_search(queries, users, T.candidates(spark, sf), T.sources(spark, sf), T.CATALOG_NOW_MS, query_vectors=of_queries, vectors=vectors)
+        return found.columns, sorted(found.select("query_id", "position", "listing_id", "rank", "score", F.round("relevance", 6)).collect())
+
+    in_place = rows()
+    assert "search-found" not in staged and in_place[1]
+    monkeypatch.setattr(search, "unique", lambda df, key: False)
+    assert rows() == in_place and "search-found" in staged
